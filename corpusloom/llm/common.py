@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,11 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
     return spark.read.schema(df.schema).parquet(path) if not partition_by else spark.read.parquet(path)
 
 
+def share(spark: SparkSession, value: object) -> Broadcast:
+    """A broadcast of a model of bounded size, as bytes for pickle.loads; classes of this package travel by value."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Spark's own estimate of a table's size in bytes (file sizes for a scan)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import chat_format
+from corpusloom.llm import chat_format, language_id, packing, quality_rules
 
 QUERIES = {
+    "op3_language_id": language_id.op3_language_id,
     "op4_chat_format": chat_format.op4_chat_format,
+    "op6_packing": packing.op6_packing,
+    "op7_quality_rules": quality_rules.op7_quality_rules,
 }
 
 ORACLE_SQL = {
     "op4_chat_format": chat_format.OP4_SQL,
+    "op7_quality_rules": quality_rules.OP7_SQL,
 }
