@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import chat_format, language_id, packing, quality_rules
+from corpusloom.llm import chat_format, decontamination, html_extract, language_id, near_dedup, packing, quality_rules, toxicity
 
 QUERIES = {
+    "op2_decontamination": decontamination.op2_decontamination,
     "op3_language_id": language_id.op3_language_id,
     "op4_chat_format": chat_format.op4_chat_format,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_packing": packing.op6_packing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op9_html_extraction": html_extract.op9_html_extraction,
+    "op10_toxicity": toxicity.op10_toxicity,
 }
 
 ORACLE_SQL = {
