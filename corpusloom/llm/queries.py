@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import chat_format, decontamination, html_extract, language_id, near_dedup, packing, quality_rules, toxicity
+from corpusloom.llm import chat_format, decontamination, html_extract, language_id, near_dedup, packing, quality_rules, suffix_dedup, toxicity
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_language_id": language_id.op3_language_id,
     "op4_chat_format": chat_format.op4_chat_format,
