@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from corpusloom.llm import chat_format, decontamination, html_extract, language_id, near_dedup, packing, quality_rules, suffix_dedup, toxicity
+from corpusloom.llm import chat_format, decontamination, html_extract, language_id, lm_scoring, near_dedup, packing, quality_rules, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_packing": packing.op6_packing,
     "op7_quality_rules": quality_rules.op7_quality_rules,
+    "op8_lm_scoring": lm_scoring.op8_lm_scoring,
     "op9_html_extraction": html_extract.op9_html_extraction,
     "op10_toxicity": toxicity.op10_toxicity,
 }
