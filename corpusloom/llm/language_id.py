@@ -180,22 +180,22 @@ def train(df: DataFrame, text: str = "text", label: str = "lang", id_col: str =
     return CrossParser({k: " ".join(t for _, t in sorted(v)[:SAMPLE_DOCS])[:SAMPLE_CHARS] for k, v in samples.items()})
 
 
-def identify(df: DataFrame, parser: CrossParser, text: str = "text") -> DataFrame:
-    """df with lang_pred and score. A null text, an empty one or one without letters is `und` with score 0.
+def identify(df: DataFrame, parser: CrossParser, text: str = "text", out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """df with the columns of `out`: the language and its score. A null text, an empty one or one without letters is `und` with score 0.
 
     Rows are judged one by one, so repeated rows get equal results; columns of these two names are replaced.
     """
-    df = df.drop("lang_pred", "score")
+    df = df.drop(*out)
     names = df.columns
     shared = share(df.sparkSession, parser)  # bounded by the sample's parameters
-    schema = df.select("*").schema.add("lang_pred", "string").add("score", "double")
+    schema = df.select("*").schema.add(out[0], "string").add(out[1], "double")
     at = names.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(shared.value)
         for batch in slices(batches, text, 8 << 20):
             found, score = model.predict([t or "" for t in batch.column(at).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[*names, *out])
 
     return df.mapInArrow(run, schema)
 

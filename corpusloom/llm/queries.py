@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from corpusloom.llm import chat_format, decontamination, html_extract, language_id, lm_scoring, near_dedup, packing, quality_rules, suffix_dedup, toxicity
 
 QUERIES = {
@@ -15,6 +16,7 @@ QUERIES = {
     "op8_lm_scoring": lm_scoring.op8_lm_scoring,
     "op9_html_extraction": html_extract.op9_html_extraction,
     "op10_toxicity": toxicity.op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL = {

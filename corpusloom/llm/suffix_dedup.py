@@ -264,16 +264,16 @@ def remove_repeats(df: DataFrame, length: int = 400, text: str = "text") -> Data
 
 def clean(df: DataFrame, length: int = 400, text: str = "text") -> DataFrame:
     """df with its texts rid of repeats; a character that a removed run cuts goes as a whole, a null text stays null."""
-    names = df.columns
-    at = names.index(text)
-    found = remove_repeats(df, length, text)
+    given, names = df.schema, [f"_{i}" for i in range(len(df.columns))]  # so that no name clashes with the operator's own
+    at = df.columns.index(text)
+    found = remove_repeats(df.toDF(*names), length, names[at])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [None if old is None else new if gone == 0 else left.decode("utf-8", "ignore") for old, new, gone, left in zip(batch.column(at).to_pylist(), batch.column(at).to_pylist(), batch.column(len(names)).to_pylist(), batch.column(len(names) + 1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if i == at else c for i, c in enumerate(batch.columns[: len(names)])], names=names)
+            kept = [old if not gone else left.decode("utf-8", "ignore") for old, gone, left in zip(*(batch.column(i).to_pylist() for i in (at, len(names), len(names) + 1)), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if i == at else c for i, c in enumerate(batch.columns[: len(names)])], names=given.names)
 
-    return found.select(*names, "n_removed", "kept_bytes").mapInArrow(run, df.schema)
+    return found.select(*names, "n_removed", "kept_bytes").mapInArrow(run, given)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
