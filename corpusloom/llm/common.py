@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -59,6 +61,14 @@ def share(spark: SparkSession, value: object) -> Broadcast:
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))
 
 
+def in_worker(name: str, make: Callable[[], object]):
+    """What `make` makes, once in each Python worker: later tasks of the worker get the same object."""
+    kept = sys.modules.setdefault("_corpusloom_worker", types.ModuleType("_corpusloom_worker"))
+    if not hasattr(kept, name):
+        setattr(kept, name, make())
+    return getattr(kept, name)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Spark's own estimate of a table's size in bytes (file sizes for a scan)."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))

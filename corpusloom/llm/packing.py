@@ -8,19 +8,21 @@ document knows its global place and is cut at the windows' ends; every piece is
 from __future__ import annotations
 
 import os
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import materialize, slices
+from corpusloom.llm.common import in_worker, materialize, slices
 
-#: Words no longer than this are remembered, so many at a time in each worker.
-REMEMBERED_BYTES, REMEMBERED_WORDS = 64, 400_000
+#: Words no longer than this are remembered, so many at a time in each worker, from task to task.
+REMEMBERED_BYTES, REMEMBERED_WORDS = 64, 1_000_000
 #: Totals of up to so many tasks are joined by broadcast (16 bytes each); more by a shuffle join.
 BROADCAST_TASKS = 100_000
 
@@ -31,10 +33,15 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: A run of ASCII signs that ends a word and stands behind an ASCII letter or digit: the tokenizer's split parts it anyway.
+_SIGNS = re.compile(rb"([a-z0-9])([!-/:-@\[-`{-~]+)(?=[ \t-\r]|\Z)")
+
+
 class WordEncoder:
-    """ids of a text as bytes (little-endian, 2 or 4 each), by way of its words.
+    """ids of a text as bytes (little-endian, 2 or 4 each), by way of its words, which are remembered.
 
-    Right for tokenizers that never join what ASCII white space separates: their ids are the words' ids in turn.
+    Right for tokenizers that lower-case, split letters from signs, and never join what ASCII white space separates: their
+    ids are the words' ids in turn.
     """
 
     def __init__(self, path: str):
@@ -42,30 +49,55 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.kind = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.kind = "<u2" if len(vocabulary) <= 1 << 16 else "<u4"
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
 
+    def one_by_one(self, words: list[bytes], strings: list[str], into: dict[bytes, bytes]) -> None:
+        found = self.tokenizer.encode_batch(strings, add_special_tokens=False)
+        into.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(words, found, strict=True))
+
     def learn(self, new: list[bytes], into: dict[bytes, bytes]) -> None:
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            found = self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            into.update((w, np.array(e.ids, self.kind).tobytes()) for w, e in zip(part, found, strict=True))
+        """Words of letters alone are one piece each, so many are encoded as one text and told apart by the pieces' ends."""
+        letters, rest = ([], []), ([], [])
+        for w in new:
+            s = w.decode("utf-8", "replace")
+            one = s.isalpha() and (s.isascii() or s.lower().isalpha() and unicodedata.is_normalized("NFC", s))
+            for kept, x in zip(letters if one else rest, (w, s), strict=True):
+                kept.append(x)
+        for at in range(0, len(rest[0]), 20_000):
+            self.one_by_one(rest[0][at : at + 20_000], rest[1][at : at + 20_000], into)
+        width = int(self.kind[-1])
+        for at in range(0, len(letters[0]), 50_000):
+            words, strings = letters[0][at : at + 50_000], letters[1][at : at + 50_000]
+            joined = [" ".join(strings[k : k + 200]) for k in range(0, len(strings), 200)]
+            ids = np.concatenate([np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+            cuts = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
+            if len(cuts) == len(words):
+                whole = ids.tobytes()
+                into.update(zip(words, (whole[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
+            else:
+                self.one_by_one(words, strings, into)
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        parts = [t.split() for t in texts]
-        once: dict[bytes, bytes] = {}
-        new = {w for p in parts for w in p if w not in self.known}
+        # a special token's name must be seen whole and in its own case
+        parts = [(t if b"<|" in t else _SIGNS.sub(rb"\1 \2", t.lower())).split() for t in texts]
+        every = set(chain.from_iterable(parts))
+        new = every.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED_WORDS:
             self.known.clear()
-            new = {w for p in parts for w in p}
+            new = every
         short = [w for w in new if len(w) <= REMEMBERED_BYTES]
         self.learn(short, self.known)
-        long = [w for w in new if len(w) > REMEMBERED_BYTES]
-        if not long:
+        if len(short) == len(new):
             get = self.known.__getitem__
-            return [b"".join(map(get, p)) for p in parts]
-        self.learn(long, once)
-        return [b"".join([self.known[w] if w in self.known else once[w] for w in p]) for p in parts]
+        else:
+            once: dict[bytes, bytes] = {}
+            self.learn([w for w in new if len(w) > REMEMBERED_BYTES], once)
+            get = lambda w: self.known[w] if w in self.known else once[w]
+        return [b"".join(map(get, p)) for p in parts]
 
 
 def encode_documents(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -75,7 +107,7 @@ def encode_documents(df: DataFrame, path: str, end_id: int = 2, id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        task, before, encoder = TaskContext.get().partitionId(), 0, WordEncoder(path)
+        task, before, encoder = TaskContext.get().partitionId(), 0, in_worker(f"words {path}", lambda: WordEncoder(path))
         end, width = np.array([end_id], encoder.kind).tobytes(), int(encoder.kind[-1])
         for batch in slices(batches, "text", 4 << 20):
             texts = batch.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
