@@ -134,13 +134,14 @@ class CrossParser:
             c = classes[begin[:live] + t]
             old = state[:, :live]
             new = flat[old * CLASSES + c].astype(np.int64)
-            missed = new < 0
+            missed, fresh = new < 0, old == roots
+            if t:
+                count[:, :live] += fresh  # behind a letter that the language lacks, which is a phrase of its own
             if missed.any():
-                count[:, :live] += missed & (old != roots)
+                count[:, :live] += missed & ~fresh
                 again = flat[roots * CLASSES + c[None, :]].astype(np.int64)
                 lost = missed & (again < 0)
                 new = np.where(missed, np.where(lost, roots, again), new)
-                count[:, :live] += lost  # a letter that the language lacks is a phrase of its own
             state[:, :live] = new
         out = np.zeros((k, len(texts)), np.int64)
         for i in range(k):
