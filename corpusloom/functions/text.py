@@ -10,6 +10,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.functions.columns import let
 
@@ -25,7 +26,7 @@ DOT_LEADER = r"(?:\.\s?){5,}|…{2,}|_{5,}"
 INLINE_PAGE = r"(?i)\bPage\s+\d+\s+(?:of|/)\s+\d+\b"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode NFKC; Spark has no built-in, so this one runs in Arrow batches."""
     return text.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t))
