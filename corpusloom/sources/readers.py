@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 MANIFEST = T.StructType([T.StructField(n, T.StringType()) for n in ("file_name", "category", "publisher", "title", "url")])
 LOSS_LOG = T.StructType([T.StructField("step", T.IntegerType())] + [T.StructField(n, T.DoubleType()) for n in ("epoch", "loss", "eval_loss", "learning_rate", "grad_norm")])
-SPLIT_ROWS = T.StructType.fromDDL("document_id string, source string, sha256 string, words bigint, text string, part string")
+SPLIT_ROWS = "document_id string, source string, sha256 string, words bigint, text string, part string"
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
