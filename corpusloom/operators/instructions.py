@@ -58,7 +58,7 @@ def split_sections(docs: DataFrame) -> DataFrame:
 
     Lines before the first heading are the section `Overview`; a heading without lines gives none.
     """
-    lines = docs.select("doc_id", F.posexplode(F.transform(X.split_lines(F.coalesce(F.col("text"), F.lit(""))), F.trim)).alias("line_no", "line")).where("line <> ''")
+    lines = docs.select("doc_id", F.posexplode(F.transform(X.split_lines(F.coalesce(F.col("text"), F.lit(""))), lambda x: F.trim(x))).alias("line_no", "line")).where("line <> ''")
     title = F.regexp_extract("line", HEADING, 2)
     numbered = F.col("line").rlike(HEADING) & (X.word_count(title) <= 10)
     letters = F.length(F.regexp_replace("line", r"[^\p{L}]", ""))
@@ -92,7 +92,7 @@ def split_items(lines: Column) -> Column:
     def cut(item: Column) -> Column:
         plain = F.trim(F.regexp_replace(item, ITEM, ""))
         parts = F.when(X.word_count(plain) > 80, F.split(plain, r"(?<=[.;])\s+(?=[A-Z])")).otherwise(F.array(plain))
-        return F.transform(F.filter(F.transform(parts, F.trim), lambda p: p != ""), lambda p: F.struct(p.alias("t"), item.rlike(BULLET).alias("bullet")))
+        return F.transform(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != ""), lambda p: F.struct(p.alias("t"), item.rlike(BULLET).alias("bullet")))
 
     clauses = F.flatten(F.transform(wrapped, cut))
     kind = "struct<done:array<string>,open:string,tail:array<string>>"

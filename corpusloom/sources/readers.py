@@ -26,7 +26,7 @@ def read_loss_log(spark: SparkSession, path: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
     """doc_id (file name without its ending), text (the whole file), of the files that match; none is an error."""
-    rows = spark.read.option("wholetext", True).option("pathGlobFilter", glob).text(folder)
+    rows = spark.read.option("pathGlobFilter", glob).text(folder, wholetext=True)
     found = rows.select(F.regexp_extract(F.url_decode(F.input_file_name()), r"([^/]+)\.[^./]*$", 1).alias("doc_id"), F.col("value").alias("text"))
     if found.isEmpty():
         raise ValueError(f"no {glob} in {folder}")
