@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom.config import Settings
 from corpusloom.functions import scoring
 from corpusloom.functions import text as X
-from corpusloom.operators import blocks, conversations, dedup, funnel, instructions, metrics, pages, split, vocabulary
+from corpusloom.operators import blocks, conversations, dedup, evaluation, funnel, instructions, metrics, pages, split, vocabulary
 from corpusloom.plans.policies import policy_texts
 from corpusloom.sources import readers
 
@@ -587,3 +587,62 @@ def download_status(spark, sf_dir):
 def missing_files(spark, sf_dir):
     manifest = table(spark, sf_dir, "pages", "page_id").withColumn("file_name", F.col("page_id").cast("string"))
     return readers.missing_files(manifest, manifest.where("page_id % 3 = 0").select("file_name", F.lit(1).alias("length"))).select("page_id")
+
+
+# ---- model outputs -----------------------------------------------------------------------------------------------
+
+#: A conversation is a prompt: its first user turn against the first and the last assistant turn.
+OUTPUTS_SQL = """
+o AS (SELECT conv_id AS prompt_id, arg_min(text, turn) FILTER (role = 'user') AS prompt, arg_min(text, turn) FILTER (role = 'assistant') AS base, arg_max(text, turn) FILTER (role = 'assistant') AS cpt FROM conversations GROUP BY conv_id),
+v AS (SELECT prompt_id, coalesce(regexp_matches(lower(base), 'tion of|the an'), FALSE) AS base_correct, coalesce(regexp_matches(lower(cpt), 'tion of|the an'), FALSE) AS cpt_correct FROM o)
+"""
+
+
+def forgetting(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "prompt_id")
+    pick = lambda f, role: rows.where(F.col("role") == role).groupBy("prompt_id").agg(f("text", "turn").alias("output"))
+    prompts = rows.select("prompt_id").distinct().withColumn("keywords", F.array(F.lit("tion of"), F.lit("the an"), F.lit("unused")))
+    prompts = prompts.withColumn("keywords", F.slice("keywords", 1, 2))
+    return evaluation.forgetting_table(evaluation.join_outputs(prompts, ("base", pick(F.min_by, "assistant")), ("cpt", pick(F.max_by, "assistant"))))
+
+
+@query("forgetting_table", f"WITH {OUTPUTS_SQL} SELECT prompt_id, 'tion of / the an' AS expected_fact, base_correct, cpt_correct, CASE WHEN cpt_correct THEN 'Retained' WHEN base_correct THEN 'Degraded' ELSE 'Retained (base also wrong)' END AS verdict FROM v")
+def forgetting_table(spark, sf_dir):
+    return forgetting(spark, sf_dir).select("prompt_id", "expected_fact", "base_correct", "cpt_correct", "verdict")
+
+
+@query("review_counts", f"WITH {OUTPUTS_SQL} SELECT CASE WHEN prompt_id % 2 = 0 THEN 'domain' ELSE 'general' END AS \"set\", count(*) AS prompts, count(*) FILTER (base_correct) AS automatic, count(*) FILTER (cpt_correct) AS manual, count(*) FILTER (base_correct AND NOT cpt_correct) AS over_counted FROM v GROUP BY 1")
+def review_counts(spark, sf_dir):
+    rows = forgetting(spark, sf_dir).withColumn("set", F.when(F.col("prompt_id") % 2 == 0, "domain").otherwise("general"))
+    return evaluation.review_counts(rows.select("prompt_id", "set", F.col("base_correct").alias("correct")), rows.select("prompt_id", F.col("cpt_correct").alias("correct")))
+
+
+@query("adapter_summary")
+def adapter_summary(spark, sf_dir):
+    """ROUGE-L of first and last answers against the prompt's first user turn; tested with the scores it is made of."""
+    rows = table(spark, sf_dir, "conversations")
+    asked = rows.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("asked"))
+    answers = rows.where("role = 'assistant'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("first"), F.max_by("text", "turn").alias("last"))
+    scores = asked.join(answers, "conv_id").select(scoring.rouge_l(F.col("first"), F.col("asked")).alias("rougeL_cpt"), scoring.rouge_l(F.col("last"), F.col("asked")).alias("rougeL_sft"))
+    found = evaluation.adapter_summary(scores)
+    return found.withColumns({"mean_before": F.round("mean_before", 6), "mean_after": F.round("mean_after", 6)})
+
+
+@query("extraction_totals", "SELECT count(DISTINCT regexp_extract(url, '//([^/]+)/', 1)) AS documents, count(*) AS pages, count(*) FILTER (trim(coalesce(html, '')) = '') AS empty_pages, sum(length(coalesce(html, '')))::BIGINT AS characters FROM pages")
+def extraction_totals(spark, sf_dir):
+    return evaluation.extraction_totals(extraction_report(spark, sf_dir))
+
+
+@query("tokens_per_word", f"WITH {TOKENS_SQL} SELECT split, sum(len(ids))::BIGINT AS tokens, sum(len(ids) - 2)::BIGINT AS words, round(sum(len(ids)) / sum(len(ids) - 2), 2) AS tokens_per_word FROM e GROUP BY split")
+def tokens_per_word(spark, sf_dir):
+    rows = encoded_splits(spark, sf_dir).select("split", F.size("ids").alias("tokens"), X.word_count(F.col("text")).alias("words"))
+    return evaluation.tokens_per_word(rows)
+
+
+@query("originals_first", "SELECT source, min(doc_id) AS first_doc FROM documents WHERE doc_id % 3 <> 0 GROUP BY source")
+def originals_first(spark, sf_dir):
+    """Every third document is named as a copy; the first of each source in the order that puts originals first."""
+    name = F.concat(F.when(F.col("doc_id") % 3 == 0, "a_dup_").otherwise("b_"), F.lpad(F.col("doc_id").cast("string"), 12, "0"), F.lit(".txt"))
+    rows = documents(spark, sf_dir, "doc_id", "source").withColumn("name", name)
+    w = W.partitionBy("source").orderBy(*evaluation.originals_first(F.col("name")))
+    return rows.withColumn("i", F.row_number().over(w)).where("i = 1").select("source", F.col("doc_id").alias("first_doc"))
