@@ -25,9 +25,9 @@ from corpusloom.llm.common import HASH_CODES, INVERSE_BASE, materialize, mix, po
 
 #: Bytes of payload in a bin, contexts of a key that are still put into one bin, strings of a finer context.
 BIN_BYTES, BIN_CONTEXTS, FINE = 1 << 20, 1_000, 25
-#: Texts' spans up to this number are joined by broadcast (some 100 bytes each), more by a shuffle.
-BROADCAST_TEXTS = 50_000
-_RUN = T.StructType().add("key", T.LongType()).add("context", T.LongType()).add("tid", T.LongType()).add("place", T.LongType())
+#: Tables of up to so many rows are joined by broadcast (keys of 8 bytes, merged spans of some 30 bytes), larger by a shuffle.
+BROADCAST_KEYS, BROADCAST_SPANS = 2_000_000, 1_000_000
+_RUN = T.StructType().add("key", T.LongType()).add("context", T.LongType()).add("tid", T.LongType()).add("place", T.LongType()).add("weight", T.LongType())
 
 
 class Hashes:
@@ -85,17 +85,19 @@ def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def runs(docs: DataFrame, length: int) -> DataFrame:
-    """key, context, tid, place of every run of docs(tid, text)."""
+    """key, context, tid, place, weight of every run of docs(tid, text); a text that a batch has more than once weighs more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 4 << 20):
+            _, one, copies = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True, return_counts=True)
+            batch = batch.take(pa.array(one))
             raw, offsets = text_bytes(batch.column(1))
             hashes = Hashes(raw)
             text, first, last, anchor = anchor_runs(raw, offsets, length, hashes)
             tid = batch.column(0).to_numpy(zero_copy_only=False)[text] if len(text) else np.zeros(0, np.int64)
             key = hashes.of(anchor, anchor + length // 2).astype(np.int64)
             context = hashes.of(first, last + length, (anchor - first) << 16 | last - first).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(context), pa.array(tid, pa.int64()), pa.array(_pack(first - offsets[text], anchor - first, last - first), pa.int64())], names=_RUN.names)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(context), pa.array(tid, pa.int64()), pa.array(_pack(first - offsets[text], anchor - first, last - first), pa.int64()), pa.array(copies[text], pa.int64())], names=_RUN.names)
 
     return docs.select("tid", "text").mapInArrow(run, _RUN)
 
@@ -103,7 +105,7 @@ def runs(docs: DataFrame, length: int) -> DataFrame:
 def _finer(texts: DataFrame, length: int, width: int) -> DataFrame:
     """Runs of at most `width` strings, keyed by the bytes that the strings of their part of the alignment have in common.
 
-    texts: tid, text, runs array<struct<key, context, place>>.
+    texts: tid, text, runs array<struct<key, context, place, weight>>.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +115,7 @@ def _finer(texts: DataFrame, length: int, width: int) -> DataFrame:
             tids, lists = batch.column(0).to_pylist(), batch.column(2)
             bounds, flat = lists.offsets.to_numpy(), lists.flatten()
             place = flat.field("place").to_numpy(zero_copy_only=False)
+            weight = flat.field("weight").to_numpy(zero_copy_only=False)
             parent = flat.field("key").to_numpy(zero_copy_only=False).astype(np.uint64)
             whose = np.repeat(np.arange(len(tids)), np.diff(bounds))
             start, before, more = _unpack(place)
@@ -133,27 +136,58 @@ def _finer(texts: DataFrame, length: int, width: int) -> DataFrame:
             context = hashes.of(start[of] + lo, start[of] + hi + length, (before[of] - lo) << 16 | hi - lo)
             tid = np.array(tids, np.int64)[whose[of]] if len(of) else np.zeros(0, np.int64)
             packed = _pack(start[of] + lo - offsets[whose[of]], before[of] - lo, hi - lo)
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(context.astype(np.int64)), pa.array(tid), pa.array(packed, pa.int64())], names=_RUN.names)
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(context.astype(np.int64)), pa.array(tid), pa.array(packed, pa.int64()), pa.array(weight[of], pa.int64())], names=_RUN.names)
 
     return texts.select("tid", "text", "runs").mapInArrow(run, _RUN)
 
 
-def _grouped(found: DataFrame) -> DataFrame:
-    """Contexts under repeated keys: key, context, weight, tid and place of one occurrence, contexts of the key."""
-    contexts = found.groupBy("key", "context").agg(F.count("*").alias("weight"), F.min(F.struct("tid", "place")).alias("one"))
-    contexts = materialize(contexts.select("key", "context", "weight", "one.tid", "one.place"), "contexts")
-    keys = contexts.groupBy("key").agg(F.sum("weight").alias("occurrences"), F.count("*").alias("contexts")).where("occurrences > 1")
-    return materialize(contexts.join(keys.select("key", "contexts"), "key"), "repeated")
+def _few(df: DataFrame, most: int) -> DataFrame:
+    """df, marked for broadcast if it has at most so many rows; df is a table in the shared folder."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def _grouped(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(the runs under keys that occur twice or more, each text's once; their contexts: key, context, weight, tid and place
+    of one occurrence, contexts of the key)."""
+    keys = materialize(found.groupBy("key").agg(F.sum("weight").alias("n")).where("n > 1").select("key"), "keys")
+    rows = found.join(_few(keys, BROADCAST_KEYS), "key", "left_semi").groupBy("key", "context", "tid", "place").agg(F.sum("weight").alias("weight"))
+    rows = materialize(rows, "repeated")
+    contexts = materialize(rows.groupBy("key", "context").agg(F.sum("weight").alias("weight"), F.min(F.struct("tid", "place")).alias("one")).select("key", "context", "weight", "one.tid", "one.place"), "contexts")
+    return rows, contexts.join(contexts.groupBy("key").agg(F.count("*").alias("contexts")), "key")
 
 
 def _with_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
-    """tid, text, runs: each text once, with the runs wanted of it (bounded by its length)."""
-    lists = wanted.groupBy("tid").agg(F.collect_list(F.struct("key", "context", "place")).alias("runs"))
-    return docs.join(lists, "tid")
+    """tid, text, runs: the texts that runs are wanted of, with these (bounded by a text's length).
+
+    docs may hold a text more than once; then the same runs come from each.
+    """
+    wanted = materialize(wanted, "wanted")
+    tids = materialize(wanted.select("tid").distinct(), "tids")
+    lists = wanted.groupBy("tid").agg(F.collect_list(F.struct("key", "context", "place", "weight")).alias("runs"))
+    return docs.join(_few(tids, BROADCAST_KEYS), "tid", "left_semi").dropDuplicates(["tid"]).join(lists, "tid")
+
+
+def _merged(spans: DataFrame) -> DataFrame:
+    """tid, spans array<long>: of tid, span (start in the upper 32 bits, end in the lower) the union, as few spans as can be."""
+    schema = T.StructType().add("tid", T.LongType()).add("spans", T.ArrayType(T.LongType()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            bounds, flat = lists.offsets.to_numpy(), lists.flatten().to_numpy(zero_copy_only=False)
+            out = []
+            for a, z in zip(bounds, bounds[1:], strict=False):
+                packed = np.sort(flat[a - bounds[0] : z - bounds[0]])
+                start, reach = packed >> 32, np.maximum.accumulate(packed & 0xFFFFFFFF)
+                new = np.flatnonzero(np.concatenate([[True], start[1:] > reach[:-1]]))
+                out.append(start[new] << 32 | reach[np.append(new[1:] - 1, len(packed) - 1)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tolist() for x in out], pa.list_(pa.int64()))], names=schema.names)
+
+    return spans.groupBy("tid").agg(F.collect_set("span").alias("spans")).mapInArrow(run, schema)
 
 
 def _payloads(texts: DataFrame, length: int) -> DataFrame:
-    schema = T.StructType().add("key", T.LongType()).add("context", T.LongType()).add("payload", T.BinaryType())
+    schema = T.StructType().add("key", T.LongType()).add("context", T.LongType()).add("weight", T.LongType()).add("payload", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 1 << 20):
@@ -164,7 +198,7 @@ def _payloads(texts: DataFrame, length: int) -> DataFrame:
             begin = offsets[np.repeat(np.arange(batch.num_rows), np.diff(bounds))] + start
             whole = raw.tobytes()
             cut = [whole[b:e] for b, e in zip(begin.tolist(), (begin + more + length).tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([flat.field("key"), flat.field("context"), pa.array(cut, pa.binary())], names=schema.names)
+            yield pa.RecordBatch.from_arrays([flat.field("key"), flat.field("context"), flat.field("weight"), pa.array(cut, pa.binary())], names=schema.names)
 
     return texts.select("tid", "text", "runs").mapInArrow(run, schema)
 
@@ -190,35 +224,30 @@ def _expanded(payloads: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """tid, spans array<long>: starts (upper 32 bits) and ends of bytes covered by repeated strings. docs: tid, text, a row for each row of the input."""
-    every = materialize(runs(docs, length), "runs")
-    known = _grouped(every)
+    rows, known = _grouped(materialize(runs(docs, length), "runs"))
+    known = materialize(known, "known")
     whole = F.array(F.col("place").bitwiseAND(0xFFFF))  # from the run's first string to its last
-    done = known.where("contexts = 1 or weight > 1").select("key", "context", whole.alias("ranges"))
+    ranges = known.where("contexts = 1 or weight > 1").select("key", "context", whole.alias("ranges"))
     mixed = known.where(f"contexts > 1 and contexts <= {BIN_CONTEXTS}").select("key", "context", "weight", "tid", "place")
     each = mixed.agg(F.sum(F.col("place").bitwiseAND(0xFFFF) + length + 1)).first()[0] or 0
-    spans = [done]
     if each:
         bins = max(1, -(-each // BIN_BYTES))
-        # rows of one text give the same payloads: one of each is enough
-        cut = _payloads(_with_texts(mixed, docs), length).groupBy("key", "context").agg(F.first("payload").alias("payload"))
-        cut = cut.join(mixed.select("key", "context", "weight"), ["key", "context"]).withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins)))
-        spans.append(_expanded(cut, length))
-    ranges = spans[0]
-    for more in spans[1:]:
-        ranges = ranges.unionByName(more)
-    found = every.select("key", "context", "tid", "place").join(ranges.where("size(ranges) > 0"), ["key", "context"])
+        cut = _payloads(_with_texts(mixed, docs), length)
+        ranges = ranges.unionByName(_expanded(cut.withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins))), length))
     start = F.shiftright(F.col("place"), 32)
-    spans_of = found.select("tid", F.explode("ranges").alias("r"), start.alias("s")).select("tid", F.shiftleft(F.col("s") + F.shiftright("r", 32), 32).bitwiseOR(F.col("s") + F.col("r").bitwiseAND(0xFFFFFFFF) + length).alias("span"))
-    hot = materialize(every.join(known.where(f"contexts > {BIN_CONTEXTS}").select("key", "context").distinct(), ["key", "context"], "left_semi").distinct(), "hot")
+    found = rows.select("key", "context", "tid", "place").join(ranges, ["key", "context"]).select("tid", F.explode("ranges").alias("r"), start.alias("s"))
+    spans = found.select("tid", F.shiftleft(F.col("s") + F.shiftright("r", 32), 32).bitwiseOR(F.col("s") + F.col("r").bitwiseAND(0xFFFFFFFF) + length).alias("span"))
+    hot = rows.join(known.where(f"contexts > {BIN_CONTEXTS}").select("key", "context"), ["key", "context"], "left_semi")
     for width in (FINE, 1):
+        hot = materialize(hot, "hot")
         if hot.isEmpty():
             break
-        fine = materialize(_finer(_with_texts(hot, docs), length, width), "fine")
-        known = _grouped(fine)
-        repeated_here = fine.join(known.where("contexts = 1 or weight > 1").select("key", "context"), ["key", "context"], "left_semi")
-        spans_of = spans_of.unionByName(repeated_here.select("tid", F.shiftleft(F.shiftright("place", 32), 32).bitwiseOR(F.shiftright("place", 32) + F.col("place").bitwiseAND(0xFFFF) + length).alias("span")))
-        hot = materialize(fine.join(known.where("contexts > 1").select("key", "context").distinct(), ["key", "context"], "left_semi").distinct(), "hot")
-    return spans_of.groupBy("tid").agg(F.collect_set("span").alias("spans"))
+        rows, known = _grouped(materialize(_finer(_with_texts(hot, docs), length, width), "fine"))
+        known = materialize(known, "known")
+        here = rows.join(known.where("contexts = 1 or weight > 1").select("key", "context"), ["key", "context"], "left_semi")
+        spans = spans.unionByName(here.select("tid", F.shiftleft(F.shiftright("place", 32), 32).bitwiseOR(F.shiftright("place", 32) + F.col("place").bitwiseAND(0xFFFF) + length).alias("span")))
+        hot = rows.join(known.where("contexts > 1").select("key", "context"), ["key", "context"], "left_semi")
+    return _merged(spans)
 
 
 def remove_repeats(df: DataFrame, length: int = 400, text: str = "text") -> DataFrame:
@@ -231,7 +260,7 @@ def remove_repeats(df: DataFrame, length: int = 400, text: str = "text") -> Data
     df = df.drop("n_bytes", "n_removed", "n_spans", "kept_bytes", "tid", "spans")
     rows = df.withColumn("tid", F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.length(F.coalesce(F.col(text), F.lit("")))))
     spans = materialize(repeated_spans(rows.select("tid", F.coalesce(F.col(text), F.lit("")).alias("text")), length), "spans")
-    few = spans.count() <= BROADCAST_TEXTS
+    few = (spans.agg(F.sum(F.size("spans") + 1)).first()[0] or 0) <= BROADCAST_SPANS
     joined = rows.join(F.broadcast(spans) if few else spans, "tid", "left").drop("tid")
     names = df.columns
     at = names.index(text)
