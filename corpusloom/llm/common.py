@@ -74,9 +74,10 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def blocks_for(df: DataFrame, bytes_each: int, least: int = 1) -> int:
-    """How many partitions of about bytes_each this table fills, by Spark's estimate."""
-    return max(least, -(-plan_bytes(df) // bytes_each))
+def text_volume(df: DataFrame, text: str) -> int:
+    """About the bytes of a table of texts: Spark's estimate, or where it has none (rows that no file holds) their sum."""
+    estimate = plan_bytes(df)
+    return estimate if estimate < 1 << 56 else df.agg(F.sum(F.octet_length(text))).first()[0] or 0
 
 
 # ---- vectorised tokens -------------------------------------------------------------------------------------------
@@ -106,6 +107,19 @@ def power_table(n: int, base: int = HASH_BASE) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+HASHED_BYTES = 1 << 20
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers(n: int, base: int) -> np.ndarray:
+    """power_table, kept for sizes up to a megabyte."""
+    if n > HASHED_BYTES + 1:
+        return power_table(n, base)
+    if base not in _POWERS:
+        _POWERS[base] = power_table(HASHED_BYTES + 1, base)
+    return _POWERS[base][:n]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64 bits."""
     h = h ^ (h >> np.uint64(31))
@@ -135,9 +149,14 @@ def word_hashes(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     last = offsets[1:][offsets[1:] > 0] - 1
     after[last] = False
     ends = np.flatnonzero(solid & ~after) + 1
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum(HASH_CODES[LOWER_BYTES[raw]] * power_table(n), out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * power_table(n, INVERSE_BASE)[starts]
+    hashes, at = np.empty(len(starts), np.uint64), 0
+    while at < len(starts):  # a megabyte at a time, cut between words
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + HASHED_BYTES, side="right")))
+        base, part = starts[at], raw[starts[at] : ends[to - 1]]
+        sums = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(HASH_CODES[LOWER_BYTES[part]] * powers(len(part), HASH_BASE), out=sums[1:])
+        hashes[at:to] = (sums[ends[at:to] - base] - sums[starts[at:to] - base]) * powers(len(part) + 1, INVERSE_BASE)[starts[at:to] - base]
+        at = to
     hashes = mix(hashes ^ (ends - starts).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
     counts = np.searchsorted(starts, offsets[1:]) - np.searchsorted(starts, offsets[:-1])
     return hashes, counts, starts, ends

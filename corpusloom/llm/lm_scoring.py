@@ -21,11 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import materialize, mix, plan_bytes, share, text_bytes, word_hashes
+from corpusloom.llm.common import materialize, mix, share, text_bytes, text_volume, word_hashes
 from corpusloom.llm.language_id import fold
 
 #: Input bytes of a block by Spark's estimate (of compressed files), blocks at least, shares of training documents for the weights.
-BLOCK_BYTES, LEAST_BLOCKS, EM_SHARE = 8 << 20, 12, 10
+BLOCK_BYTES, LEAST_BLOCKS, EM_SHARE = 4 << 20, 12, 10
 #: Context buckets, steps of the estimates' natural logarithms in the weights' histogram, rounds of expectation-maximisation.
 BUCKETS, STEP, ROUNDS = 24, 0.1, 60
 END, START = np.uint64(0x1D872B41A3C5E6F7), np.uint64(0x7E57AB1E0DDBA115)
@@ -178,7 +178,7 @@ def score(df: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "te
     if they train. Without a training row every token is unknown. An empty table gives an empty one.
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"))
-    blocks = max(LEAST_BLOCKS, -(-plan_bytes(df) // BLOCK_BYTES))
+    blocks = max(LEAST_BLOCKS, -(-text_volume(df, text) // BLOCK_BYTES))
     bits = max(3, math.ceil(math.log2(blocks)))
     dealt = F.xxhash64(F.col("doc_id"), F.col("text"))
     weighs = F.col("trains") & (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("weights")), F.lit(EM_SHARE)) == 0)

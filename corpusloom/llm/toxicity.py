@@ -127,7 +127,7 @@ def hashed_terms(df: DataFrame, text: str = "text") -> DataFrame:
     schema = df.select(*rest).schema.add("terms", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 2 << 20):
             number, term = terms(*text_bytes(batch.column(names.index(text))))
             cuts = np.searchsorted(number, np.arange(batch.num_rows + 1))
             found = [term[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
@@ -166,7 +166,7 @@ def classify(df: DataFrame, machine: Machine, threshold: float = THRESHOLD, text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(shared.value)
-        for batch in slices(batches, text):
+        for batch in slices(batches, text, 2 << 20):
             score = model.score(*model.keep(*terms(*text_bytes(batch.column(names.index(text))))), batch.num_rows)
             yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in rest], pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())], names=[*rest, "score", "predicted"])
 
