@@ -88,7 +88,7 @@ def runs(docs: DataFrame, length: int) -> DataFrame:
     """key, context, tid, place, weight of every run of docs(tid, text); a text that a batch has more than once weighs more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             _, one, copies = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True, return_counts=True)
             batch = batch.take(pa.array(one))
             raw, offsets = text_bytes(batch.column(1))
@@ -267,7 +267,7 @@ def remove_repeats(df: DataFrame, length: int = 400, text: str = "text") -> Data
     schema = df.select("*").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_bytes", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, 4 << 20):
+        for batch in slices(batches, text, 1 << 20):
             raw, offsets = text_bytes(batch.column(at))
             whole = raw.tobytes()
             out = []
