@@ -1,4 +1,7 @@
-"""Connected components of links, by alternating large and small stars; links and labels stay in tables."""
+"""Connected components of links, by pointer jumping on forests and by alternating large and small stars.
+
+Links and labels stay in tables.
+"""
 
 from __future__ import annotations
 
@@ -37,3 +40,31 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = state
     raise RuntimeError(f"links did not settle in {most_rounds} rounds")
+
+
+def forest_roots(links: DataFrame, most_rounds: int = 50) -> DataFrame:
+    """node, component of a forest: links (u, v) with v smaller than u and one link for each u at most.
+
+    Each round replaces a node's ancestor by that ancestor's own, so the rounds grow with the logarithm of the depth, and
+    the rows of a round are the nodes.
+    """
+    state = materialize(links.select(F.col("u").alias("node"), F.col("v").alias("component")), "forest")
+    for _ in range(most_rounds):
+        above = state.select(F.col("node").alias("component"), F.col("component").alias("above"))
+        if state.join(above, "component", "left_semi").isEmpty():
+            return state.unionByName(state.select(F.col("component").alias("node"), "component").distinct())
+        state = materialize(state.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component")), "forest")
+    raise RuntimeError(f"the forest is deeper than {most_rounds} rounds reach")
+
+
+def merge(label: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels (node, component) after more links (u, v): only the components that these touch are joined anew."""
+    ends = links
+    for end in ("u", "v"):
+        of = label.select(F.col("node").alias(end), F.col("component").alias(f"c{end}"))
+        ends = ends.join(of, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    joined = components(ends.select(F.col("cu").alias("u"), F.col("cv").alias("v")))
+    fresh = links.select(F.col("u").alias("node")).unionByName(links.select(F.col("v").alias("node"))).distinct().join(label, "node", "left_anti")
+    every = label.unionByName(fresh.withColumn("component", F.col("node")))
+    above = joined.select(F.col("node").alias("component"), F.col("component").alias("above"))
+    return materialize(every.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component")), "labels")

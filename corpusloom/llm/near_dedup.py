@@ -4,9 +4,10 @@ A document's shingle set gives 128 minima. Bands of minima make candidates; of e
 packed into longs, and the similarity is estimated from the bit counts of their exclusive or, corrected for chance
 collisions. Candidates that the estimate allows are confirmed on the full sets.
 
-Documents of equal sets are one class from the start. In a bucket, every class is compared with the smallest one first; only
-classes that stay outside its component are then compared with the bucket's others. So a large group of copies costs one
-comparison for each copy, and no link between different components is missed.
+Documents of equal sets are one class from the start. Every class is compared with the smallest one of all its buckets
+first, then with those of its buckets' smallest that are in another component still; only classes that stay outside the
+component of a bucket's smallest are then compared with the bucket's others. So a large group of copies costs one comparison
+for each copy, and no link between different components is missed.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.common import materialize, mix, slices, text_bytes, word_hashes
-from corpusloom.llm.components import components
+from corpusloom.llm.components import forest_roots, merge
 
 SHINGLE, MINIMA, BITS = 5, 128, 4
 #: Greatest chance that a pair of just the threshold shares no band; deviations that the estimate may be too low by.
@@ -96,7 +97,7 @@ def sketches(df: DataFrame, threshold: float, id_col: str = "doc_id", text: str
             bands: list = [None] * len(sizes)
             if len(some):
                 least = minima(values, bounds[some])
-                low = (least >> np.uint64(60)) & np.uint64((1 << BITS) - 1)
+                low = least & np.uint64((1 << BITS) - 1)
                 per = 64 // BITS
                 packed = np.zeros((MINIMA // per, len(some)), np.uint64)
                 for k in range(MINIMA):
@@ -184,8 +185,14 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
         return (100 * F.least(n_a, n_b) >= percent * F.greatest(n_a, n_b)) & (mismatches(F.col(sig_a), F.col(sig_b)) <= allowed)
 
     starred = rest.join(pivots, ["band", "key"]).where((F.col("node") != F.col("p.node")) & close("n", "p.n", "signature", "p.signature"))
-    links = materialize(confirm(materialize(starred.select(F.col("node").alias("u"), F.col("p.node").alias("v")).distinct(), "pairs"), docs, percent), "confirmed")
-    label = components(links)
+    pairs = materialize(starred.select(F.col("node").alias("u"), F.col("p.node").alias("v")).distinct(), "pairs")
+    # first the smallest of a class's pivots, then those pivots that this has not put into its component
+    links = materialize(confirm(pairs.groupBy("u").agg(F.min("v").alias("v")), docs, percent), "confirmed")
+    label = materialize(forest_roots(links), "labels")
+    apart = pairs.join(label.select(F.col("node").alias("u"), F.col("component").alias("cu")), "u", "left").join(label.select(F.col("node").alias("v"), F.col("component").alias("cv")), "v", "left")
+    apart = materialize(apart.where(F.coalesce("cu", "u") != F.coalesce("cv", "v")).select("u", "v"), "apart")
+    if not apart.isEmpty():
+        label = merge(label, materialize(confirm(apart, docs, percent), "confirmed"))
     # members of a bucket that are outside its pivot's component, against the bucket's members of other components
     pivot_of = pivots.select("band", "key", F.col("p.node").alias("pivot"))
     member = rest.join(pivot_of, ["band", "key"]).join(label.withColumnRenamed("component", "c"), "node", "left").withColumn("c", F.coalesce("c", "node"))
@@ -194,9 +201,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     other = outside.join(member, (outside["band"] == member["band"]) & (outside["key"] == member["key"]) & (F.col("o_c") != F.col("c")) & ((F.col("c") == F.col("pc")) | (F.col("o_node") < F.col("node"))) & close("n", "o_n", "signature", "o_signature"))
     other = materialize(other.select(F.greatest("node", "o_node").alias("u"), F.least("node", "o_node").alias("v")).distinct(), "others")
     if not other.isEmpty():
-        more = materialize(confirm(other, docs, percent), "confirmed")
-        if not more.isEmpty():
-            label = components(links.unionByName(more))
+        label = merge(label, materialize(confirm(other, docs, percent), "confirmed"))
     of_class = classes.select("digest", "node").join(label, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     rows = every.select("doc_id", "n_shingles", "digest")
     found = rows.where("digest is not null").join(of_class, "digest", "left").unionByName(rows.where("digest is null").withColumn("component", F.lit(None).cast(dict(rows.dtypes)["doc_id"])))
