@@ -4,7 +4,8 @@ Words of documents and benchmark items are canonicalised: numbers, names (capita
 a number become typed placeholders, of which a run counts once. Windows of five canonical words are joined by hash. Windows
 that lie alike in a document and an item (within a few words) make up one alignment, which counts if it covers enough of the item
 and its slots are consistent: each value in the item stands for one value in the document, and the other way round. So a
-question with other numbers or names is found, and one with other relations between them is not.
+question with other numbers or names is found, and one with other relations between them is not. Where an item repeats a
+template inside itself, windows also match a clause further; chains of matches in one order tell the alignments apart.
 """
 
 from __future__ import annotations
@@ -77,6 +78,34 @@ def windows(words: Column, sizes: list[int]) -> Column:
     return let(words, of)
 
 
+def coverage(matches: Column) -> Column:
+    """Share of the item's words (n_words) in windows (of `size` words) of the matches."""
+    places = F.flatten(F.transform(matches, lambda m: F.sequence(m["at"], m["at"] + F.col("size") - 1)))
+    return F.size(F.array_distinct(places)) / F.col("n_words")
+
+
+def slot_pairs(matches: Column) -> Column:
+    return F.array_distinct(F.flatten(F.transform(matches, lambda m: m["pairs"])))
+
+
+def one_to_one(pairs: Column) -> Column:
+    return (F.size(F.array_distinct(F.transform(pairs, lambda p: p["a"]))) == F.size(pairs)) & (F.size(F.array_distinct(F.transform(pairs, lambda p: p["b"]))) == F.size(pairs))
+
+
+def chain(matches: Column, shift: Column) -> Column:
+    """The matches of one shift, then those of others, nearest first, that stand in the same order in item and document.
+
+    So an item's window has one window of the document and the other way round, and clauses that repeat a template inside an
+    item do not contradict each other. A match that fits in order is taken even if its slots do not agree.
+    """
+    others = F.array_sort(F.transform(F.filter(matches, lambda m: m["shift"] != shift), lambda m: F.struct(F.abs(m["shift"] - shift).alias("far"), m["at"].alias("at"), m.alias("m"))))
+
+    def fits(kept: Column, m: Column) -> Column:
+        return F.forall(kept, lambda k: (k["at"] - m["at"]) * (k["at"] + k["shift"] - m["at"] - m["shift"]) > 0)
+
+    return F.aggregate(others, F.filter(matches, lambda m: m["shift"] == shift), lambda kept, o: F.when(fits(kept, o["m"]), F.concat(kept, F.array(o["m"]))).otherwise(kept))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, coverage (best alignment), n_windows, exact.
 
@@ -101,18 +130,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED
     # two overlapping ranges of shifts, so that windows up to SHIFT words apart in shift always share one
     shift = F.col("pos") - F.col("item_pos")
     ranges = F.explode(F.array(F.floor(shift / (2 * SHIFT)) * 2, F.floor((shift + SHIFT) / (2 * SHIFT)) * 2 + 1))
-    places = F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda k: F.col("item_pos") + k)
     pairs = F.filter(
         F.zip_with(F.split("item_slots", "\x1f"), F.split("slots", "\x1f"), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
         lambda p: (F.coalesce(p["a"], F.lit("")) != "") | (F.coalesce(p["b"], F.lit("")) != ""),
     )
-    aligned = found.select("doc_id", "item_id", "n_words", ranges.alias("range"), places.alias("places"), pairs.alias("pairs")).groupBy("doc_id", "item_id", "n_words", "range").agg(
-        F.array_distinct(F.flatten(F.collect_set("places"))).alias("places"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs"), F.count("*").alias("n_windows")
-    )
-    one_to_one = (F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"]))) == F.size("pairs")) & (F.size(F.array_distinct(F.transform("pairs", lambda p: p["b"]))) == F.size("pairs"))
-    coverage = F.size("places") / F.col("n_words")
+    matched = found.select("doc_id", "item_id", "n_words", "size", ranges.alias("range"), F.struct(shift.alias("shift"), F.col("item_pos").alias("at"), pairs.alias("pairs")).alias("match"))
+    aligned = matched.groupBy("doc_id", "item_id", "n_words", "size", "range").agg(F.collect_set("match").alias("matches"), F.count("*").alias("n_windows"))
+    enough = aligned.where(coverage(F.col("matches")) >= covered)
+    whole = F.array(F.struct("n_windows", F.col("matches").alias("matches")))
+    chains = F.transform(F.array_distinct(F.transform("matches", lambda m: m["shift"])), lambda s: let(chain(F.col("matches"), s), lambda c: F.struct(F.size(c).cast("long").alias("n_windows"), c.alias("matches"))))
+    chosen = enough.select("doc_id", "item_id", "n_words", "size", F.explode(F.when(one_to_one(slot_pairs(F.col("matches"))), whole).otherwise(chains)).alias("c")).select("doc_id", "item_id", "n_words", "size", "c.n_windows", "c.matches")
+    told = chosen.withColumns({"coverage": coverage(F.col("matches")), "pairs": slot_pairs(F.col("matches"))})
     exact = F.forall("pairs", lambda p: p["a"].eqNullSafe(p["b"]))
-    best = aligned.where(one_to_one & (coverage >= covered)).groupBy("doc_id", "item_id").agg(F.max(F.struct(coverage.alias("coverage"), "n_windows", exact.alias("exact"))).alias("b"))
+    best = told.where(one_to_one(F.col("pairs")) & (F.col("coverage") >= covered)).groupBy("doc_id", "item_id").agg(F.max(F.struct("coverage", "n_windows", exact.alias("exact"))).alias("b"))
     return best.select("doc_id", "item_id", "b.coverage", "b.n_windows", "b.exact")
 
 

@@ -107,6 +107,29 @@ def test_decontamination_finds_copies_and_templates(spark):
     assert decontamination.contaminated(docs, benchmark.where("item_id in (3, 4)")).count() == 0
 
 
+def test_decontamination_finds_items_that_repeat_a_template(spark):
+    apples = "Tom has 3 apples and Ann has 4 apples and Bob has 7 apples and Sue has 9 apples. How many apples do they have together?"
+    weeks = "In week 1 he ran 5 km and rested, in week 2 he ran 8 km and rested, in week 3 he ran 9 km and rested. How far did he run in all?"
+    benchmark = spark.createDataFrame([(1, apples), (2, weeks)], "item_id long, text string")
+
+    def changed(text, values):
+        return re.sub(r"\w+", lambda m: values.get(m[0], m[0]), text)
+
+    other_apples = changed(apples, {"Tom": "Kim", "Ann": "Lee", "Bob": "Max", "Sue": "Pia", "3": "12", "4": "15", "7": "21", "9": "33"})
+    other_weeks = changed(weeks, {"1": "4", "2": "6", "3": "7", "5": "11", "8": "13", "9": "17"})
+    drifted = apples.replace("How many apples", "So how many red apples")
+    rows = []
+    for offset in range(16):
+        before = "we went " + " ".join("so"[: 1 + k % 2] + "abcdefghijklmnop"[k] for k in range(offset)) + " "
+        rows += [(10 * offset + k, before + t) for k, t in enumerate((apples, weeks, other_apples, other_weeks, drifted))]
+    rows.append((1000, "we went " + apples.replace("Sue has 9", "Ann has 9")))  # Ann for two names
+    found = {(r["doc_id"], r["item_id"]): r["exact"] for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), benchmark).collect()}
+    want = {(10 * o + k, i): e for o in range(16) for k, i, e in ((0, 1, True), (1, 2, True), (2, 1, False), (3, 2, False))}
+    assert {k: v for k, v in found.items() if k[0] % 10 < 4 and k[0] < 1000} == want
+    assert all((10 * o + 4, 1) in found for o in range(16))
+    assert (1000, 1) not in found
+
+
 # ---- op 3 --------------------------------------------------------------------------------------------------------
 
 
