@@ -20,7 +20,7 @@ from corpusloom.llm.common import slices
 
 #: Element names by what they do, and the words in classes, ids and roles that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg math".split())
+RAW = frozenset("script style noscript template textarea title iframe xmp noembed noframes svg".split())
 BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption head".split()
@@ -29,12 +29,16 @@ LEFT_OUT = frozenset("head nav header footer aside form menu search dialog butto
 NEVER_LEFT_OUT = frozenset("html body article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 MARKS = frozenset(
-    "ad ads adbox adunit adsense banner breadcrumb breadcrumbs byline captcha consent cookie cookies disqus dropdown footer footnote gdpr hdr header hidden "
+    "ad ads adbox adunit adsense banner breadcrumb breadcrumbs captcha consent cookie cookies dropdown gdpr hdr footer header "
     "login masthead menu menubar modal nav navbar navigation newsletter notice notices notification outbrain overlay pager pagination paywall popup "
-    "promo promotion related reply replies respond rss search share sharing sidebar sidenav signup skip social sponsor sponsored subscribe taboola toolbar "
-    "topbar widget widgets".split()
+    "promo promotion related reply replies respond rss search share sharing sidebar sidenav signup social sponsor sponsored subscribe taboola toolbar "
+    "topbar".split()
 )
-MARK_STARTS = ("advert", "comment", "cookie", "navig", "sidebar", "sponsor", "promo")
+MARK_STARTS = ("advert", "cookie", "navig", "sidebar", "sponsor", "promo")
+#: Marks of what is never the article, however long it is.
+SURE_MARKS = frozenset("comment comments commentlist commentform disqus".split())
+#: An element marked by another class or id alone stays if it holds this share of the page's points of paragraphs.
+MOST = 0.5
 PARAGRAPH = frozenset("p pre td th blockquote li dd dt h1 h2 h3 h4 h5 h6 figcaption".split())
 #: A start tag of the first kind ends an open element of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -46,32 +50,50 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-def left_out(tag: str, attributes: str) -> bool:
-    """Whether an element is not part of an article, by its tag, role, class or id."""
+def left_out(tag: str, attributes: str) -> int:
+    """Whether an element is not part of an article: 2 by its tag, role or a sure mark, 1 by another class or id, 0 if it may be."""
     if tag in NEVER_LEFT_OUT:
-        return False
+        return 0
     if tag in LEFT_OUT:
-        return True
+        return 2
     if not attributes or attributes.isspace():
-        return False
+        return 0
     found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "") in ROLES or _HIDDEN.search(found.get("style", "")):
-        return True
+        return 2
+    most = 0
     for value in (found.get("class", ""), found.get("id", "")):
         for name in value.split():
-            parts = _SPLIT.split(name)
-            if parts[0] in ("has", "no", "with", "without"):
+            parts = [p for p in _SPLIT.split(name) if p]
+            if not parts or parts[0] in ("has", "no", "with", "without"):
                 continue  # such as has-sidebar on a wrapper
-            if any(p in MARKS or p.startswith(MARK_STARTS) for p in parts):
-                return True
-    return False
+            if not SURE_MARKS.isdisjoint(parts):
+                return 2
+            for p in (parts[0], parts[-1]):  # such as cookie-notice, site-footer; not elementor-menu-anchor
+                if p in MARKS or p.startswith(MARK_STARTS):
+                    most = 1
+    return most
+
+
+def commas(text: str) -> int:
+    return text.count(",") + text.count("，") + text.count("、")
+
+
+def value(text: str) -> float:
+    """Points of a block of text."""
+    return (1 + commas(text) + min(len(text) / 100, 3)) if len(text) >= 25 else len(text) / 25
 
 
 class Page:
-    """Nodes in page order (parent before child) and blocks of text (node, text, characters in links)."""
+    """Nodes in page order (parent before child) and blocks of text (node, text, characters in links).
 
-    def __init__(self, source: str):
-        self.tag, self.parent, self.out = ["#root"], [-1], [False]
+    marked: the nodes left out for a class or id alone, if not in `spared`; held: at most how many points their text has.
+    """
+
+    def __init__(self, source: str, spared: frozenset | None = frozenset()):
+        """spared: nodes that a class or id does not leave out; None for all."""
+        self.spared, self.marked, self.held = spared, [], 0.0
+        self.tag, self.parent, self.out = ["#root"], [-1], [0]
         self.blocks: list[tuple[int, str, int]] = []
         self.links, self.pieces, self.linked = 0, [], []
         self.stack = [0]
@@ -100,9 +122,12 @@ class Page:
         self.flush()
 
     def text(self, raw: str) -> None:
-        if not self.out[self.stack[-1]]:
+        out = self.out[self.stack[-1]]
+        if not out:
             self.pieces.append(raw)
             self.linked.append(self.links > 0)
+        elif out == 1:
+            self.held += 0.05 * len(raw) + commas(raw)
 
     def holder(self) -> int:
         return next(n for n in reversed(self.stack) if self.tag[n] in BLOCK or n == 0)
@@ -137,7 +162,14 @@ class Page:
             return
         self.tag.append(name)
         self.parent.append(self.stack[-1])
-        self.out.append(self.out[self.stack[-1]] or left_out(name, attributes))
+        out = self.out[self.stack[-1]]
+        if out < 2:
+            mark = left_out(name, attributes)
+            if mark == 1:
+                self.marked.append(len(self.tag) - 1)
+                mark = self.spared is not None and self.marked[-1] not in self.spared
+            out = max(out, int(mark))
+        self.out.append(out)
         if not attributes.endswith("/") or name in BLOCK or name == "a":
             self.stack.append(len(self.tag) - 1)
             self.links += name == "a"
@@ -153,9 +185,31 @@ class Page:
                 return
 
 
+def read(source: str) -> Page:
+    """The page, without what its marks leave out; a marked element that holds most of the points and no article beside it stays."""
+    page = Page(source)
+    if page.held <= MOST * (page.held + sum(value(text) for _, text, _ in page.blocks)):
+        return page
+    full = Page(source, None)
+    inside = [0.0] * len(full.tag)
+    article = [0.0] * len(full.tag)
+    for node, text, _ in full.blocks:
+        inside[node] += value(text)
+    total = sum(inside)
+    for i in range(len(inside) - 1, 0, -1):
+        if full.tag[i] in ("article", "main"):
+            article[i] = inside[i]
+        inside[full.parent[i]] += inside[i]
+        article[full.parent[i]] += article[i]
+    within = [False] * len(full.tag)
+    for i in range(1, len(within)):
+        within[i] = within[full.parent[i]] or full.tag[i] in ("article", "main")
+    return Page(source, frozenset(i for i in full.marked if inside[i] > MOST * total and (within[i] or article[i] >= article[0])))
+
+
 def main_text(source: str | None) -> str:
     """The article's blocks, joined by a blank line; empty for a null or empty page or one without text."""
-    page = Page(source or "")
+    page = read(source or "")
     if not page.blocks:
         return ""
     n = len(page.tag)
@@ -163,12 +217,12 @@ def main_text(source: str | None) -> str:
     for node, text, in_links in page.blocks:
         size[node] += len(text)
         linked[node] += min(in_links, len(text))
-        value = (1 + text.count(",") + text.count("，") + text.count("、") + min(len(text) / 100, 3)) if len(text) >= 25 else len(text) / 25
+        worth = value(text)
         up = page.parent[node] if page.tag[node] in PARAGRAPH else node
         for level in range(5):
             if up < 0:
                 break
-            points[up] += value / (1 if level == 0 else 2 if level == 1 else level * 3)
+            points[up] += worth / (1 if level == 0 else 2 if level == 1 else level * 3)
             up = page.parent[up]
     for node in range(n - 1, 0, -1):
         size[page.parent[node]] += size[node]

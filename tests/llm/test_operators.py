@@ -355,6 +355,25 @@ def test_main_text_of_a_page():
     assert html_extract.main_text(PAGE) == "Title & more\n\nOne, two, three and a good deal of text that makes a paragraph. More text here link.\n\nShort.\n\nitem"
 
 
+BODY = [f"Paragraph {i} of the body, which is long enough, has commas, and reads like a text of an article." for i in range(10)]
+PARAGRAPHS = "".join(f"<p>{x}</p>" for x in BODY)
+
+
+@pytest.mark.parametrize("attributes", ["class='entry-content overflow-hidden'", "class='elementor-widget-container'", "class='commentary'", "class='post-body footnote'", "id='skip'", "class='content menu'"])
+@pytest.mark.parametrize("wrapper", ["div", "article", "body"])
+def test_a_class_that_marks_nothing_keeps_the_body(attributes, wrapper):
+    page = f"<html><nav>Home</nav><{wrapper}><div {attributes}>{PARAGRAPHS}</div></{wrapper}><div class='site-footer'>Imprint</div></html>"
+    assert html_extract.main_text(page) == "\n\n".join(BODY)
+
+
+def test_notes_and_formulas_stay_and_boilerplate_goes():
+    rest = "<div class=byline>By A. Writer</div><p>Where <math><mi>x</mi></math> is one.</p><div class=footnote>1 A note.</div>"
+    gone = "".join(f"<div class='{c}'>{PARAGRAPHS[:300]}</div>" for c in ("site-footer", "main-nav", "cookie-notice", "ad", "comment-list", "commentlist", "related-posts", "advertisement"))
+    assert html_extract.main_text(f"<body><article>{PARAGRAPHS}{rest}{gone}</article></body>") == "\n\n".join([*BODY, "By A. Writer", "Where x is one.", "1 A note."])
+    # readers' comments are left out even if they are longer than the article
+    assert html_extract.main_text(f"<body><div><p>{BODY[0]}</p></div><div id=comments>{PARAGRAPHS}</div></body>") == BODY[0]
+
+
 def test_main_text_of_odd_pages(spark):
     assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<nav>x</nav>") == ""
     assert html_extract.main_text("just text &lt;b&gt;") == "just text <b>"
