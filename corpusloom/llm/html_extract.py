@@ -2,8 +2,8 @@
 
 A page becomes a flat tree (nodes in page order, each with its parent). Menus, headers, footers, side bars, notices, adverts,
 forms, scripts and comments are left out by tag, role or class. Every block of text passes points for its length and commas
-to its ancestors; a container's points are discounted by the share of its text that stands in links. The best container,
-and those of its siblings that read like text, are kept, with all their blocks.
+to its ancestors; a container's points are discounted by the share of its text that stands in links. The best container is kept with
+all its blocks, and so are siblings that read like text and the headings, lists and paragraphs beside them.
 """
 
 from __future__ import annotations
@@ -40,6 +40,8 @@ SURE_MARKS = frozenset("comment comments commentlist commentform disqus".split()
 #: An element marked by another class or id alone stays if it holds this share of the page's points of paragraphs.
 MOST = 0.5
 PARAGRAPH = frozenset("p pre td th blockquote li dd dt h1 h2 h3 h4 h5 h6 figcaption".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
+FLOW = HEADINGS | frozenset("p pre blockquote ul ol dl table figure details".split())
 #: A start tag of the first kind ends an open element of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("table td th ul ol dl div section article main body html blockquote form".split())
@@ -234,6 +236,9 @@ def main_text(source: str | None) -> str:
         if page.tag[up] == "article":
             best = up
         up = page.parent[up]
+    if page.tag[best] not in ("article", "main"):  # wrappers that hold nothing else
+        while page.parent[best] > 0 and page.tag[best] != "main" and size[page.parent[best]] == size[best]:
+            best = page.parent[best]
     kept = [False] * n
     kept[best] = True
     least = max(10, 0.2 * score[best])
@@ -241,9 +246,54 @@ def main_text(source: str | None) -> str:
         if page.parent[i] == page.parent[best] and best and page.tag[best] != "main" and i != best and size[i]:
             few_links = linked[i] < 0.25 * size[i]
             kept[i] = score[i] >= least and few_links or page.tag[i] in ("p", "pre", "blockquote") and few_links and size[i] > 80
+    loose = beside(page, best, kept, size, linked) if best and page.tag[best] not in ("article", "main") else set()
     for i in range(1, n):
         kept[i] = kept[i] or kept[page.parent[i]]
-    return "\n\n".join(text for node, text, _ in page.blocks if kept[node])
+    return "\n\n".join(text for k, (node, text, _) in enumerate(page.blocks) if kept[node] or k in loose)
+
+
+def beside(page: Page, best: int, kept: list[bool], size: list[int], linked: list[int]) -> set[int]:
+    """Blocks right under best's parent that are kept, and kept set for siblings: those that go with best and its kept siblings.
+
+    A sibling with few links goes with them if its own text has a fifth of best's points, or if it is a heading, list,
+    paragraph or text of its own, or a container with two points, and stands between kept ones or next to them. Headings
+    that nothing kept follows do not.
+    """
+    above = page.parent[best]
+    units: list[list] = []  # node or -1, blocks, points, whether it may go with kept ones, whether it is kept
+    for k, (node, text, in_links) in enumerate(page.blocks):
+        child = node
+        while child > 0 and page.parent[child] != above:
+            child = page.parent[child]
+        if node == above:
+            units.append([-1, [k], value(text), min(in_links, len(text)) < 0.25 * len(text), False])
+        elif child > 0:
+            if not units or units[-1][0] != child:
+                few_links = linked[child] < 0.25 * size[child] or page.tag[child] in HEADINGS
+                units.append([child, [], 0.0, few_links, kept[child]])
+            units[-1][1].append(k)
+            units[-1][2] += value(text)
+    least = 0.2 * next(u[2] for u in units if u[0] == best)
+    for u in units:
+        few_links = u[3]
+        u[4] = u[4] or few_links and u[2] >= max(2, least)
+        u[3] = few_links and (u[0] < 0 or page.tag[u[0]] in FLOW or u[2] >= 2)
+    first, last = (f(i for i, u in enumerate(units) if u[4]) for f in (min, max))
+    while first > 0 and units[first - 1][3]:
+        first -= 1
+    end = last
+    while last + 1 < len(units) and units[last + 1][3]:
+        last += 1
+    while last > end and page.tag[units[last][0]] in HEADINGS and units[last][0] > 0:
+        last -= 1
+    loose = set()
+    for u in units[first : last + 1]:
+        if u[3] or u[4]:
+            if u[0] < 0:
+                loose.update(u[1])
+            else:
+                kept[u[0]] = True
+    return loose
 
 
 def extract(df: DataFrame, column: str = "html", out: str = "text") -> DataFrame:

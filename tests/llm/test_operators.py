@@ -374,6 +374,16 @@ def test_notes_and_formulas_stay_and_boilerplate_goes():
     assert html_extract.main_text(f"<body><div><p>{BODY[0]}</p></div><div id=comments>{PARAGRAPHS}</div></body>") == BODY[0]
 
 
+def test_parts_beside_the_best_container_stay():
+    whole = "\n\n".join(["Title", *BODY, "Closing remark."])
+    menu, links = "<ul><li><a href=/>Home page of the site</a></li></ul>", "<h2>More</h2><ul><li><a href=/x>Another article, with a long title</a></li></ul>"
+    assert html_extract.main_text(f"<div><h1>Title</h1><div>{PARAGRAPHS}</div><p>Closing remark.</p></div>") == whole
+    assert html_extract.main_text(f"<body>{menu}<h1>Title</h1><div>{PARAGRAPHS}</div>Closing remark.{links}</body>") == whole
+    assert html_extract.main_text(f"<body><div><h1><a href=/>Title</a></h1><div><div>{PARAGRAPHS}</div></div><ul><li>Closing remark.</ul></div>{links}</body>") == whole
+    parts = f"<div>{PARAGRAPHS}</div><h2>Part</h2><ul><li>one<li>two</ul><p>Short.</p><div><p>{BODY[0]}</p></div>"
+    assert html_extract.main_text(f"<main><h1>Title</h1>{parts}<p>Closing remark.</p></main>") == "\n\n".join(["Title", *BODY, "Part", "one", "two", "Short.", BODY[0], "Closing remark."])
+
+
 def test_main_text_of_odd_pages(spark):
     assert html_extract.main_text(None) == html_extract.main_text("") == html_extract.main_text("<nav>x</nav>") == ""
     assert html_extract.main_text("just text &lt;b&gt;") == "just text <b>"
