@@ -2,8 +2,8 @@
 
 Labelled text of each language becomes a suffix automaton. A text is parsed greedily into the longest phrases that occur in
 a language's text; phrases times log2 of that text's length, over the characters parsed, estimates the cross entropy. The
-language that needs fewest normalised phrases wins. The automata are dense tables, and all texts of a batch walk through
-them at once, a character at a time.
+language that needs fewest normalised phrases wins. The automata's transitions stand in sparse tables over every letter of
+the samples, and all texts of a batch walk through them at once, a character at a time.
 """
 
 from __future__ import annotations
@@ -18,43 +18,75 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import share, slices
 
-#: The bounded labelled sample: languages, characters of each, documents each, characters from one document.
-MAX_LANGUAGES, SAMPLE_CHARS, SAMPLE_DOCS, DOC_CHARS = 64, 40_000, 200, 1_000
-#: Letter classes in the tables (0 stands between words, the last for letters no sample holds); a parse begins anew
-#: every SEGMENT characters, so that a long text is as many short parses.
-CLASSES, SEGMENT = 64, 2_048
-_UNKNOWN = CLASSES - 1
+#: The bounded labelled sample of each language: characters, documents, characters from one document.
+SAMPLE_CHARS, SAMPLE_DOCS, DOC_CHARS = 40_000, 200, 1_000
+#: Languages that texts are parsed against at once; a parse begins anew every SEGMENT characters, so that a long text is
+#: as many short parses.
+AT_ONCE, SEGMENT = 64, 2_048
 
 
-def suffix_automaton(codes: np.ndarray, classes: int = CLASSES) -> np.ndarray:
-    """States by classes: the state after one more character, or -1. State 0 is the root."""
-    n = len(codes)
-    jump = np.full((2 * n + 2, classes), -1, np.int32)
-    link, length, last, size = [-1] * (2 * n + 2), [0] * (2 * n + 2), 0, 1
+def suffix_automaton(codes: np.ndarray) -> list[dict[int, int]]:
+    """For each state, the state after one more character. State 0 is the root."""
+    jump: list[dict[int, int]] = [{}]
+    link, length, last = [-1], [0], 0
     for c in codes.tolist():
-        new = size
-        size += 1
-        length[new] = length[last] + 1
+        new = len(jump)
+        jump.append({})
+        link.append(0)
+        length.append(length[last] + 1)
         p = last
-        while p >= 0 and jump[p, c] < 0:
-            jump[p, c] = new
+        while p >= 0 and c not in jump[p]:
+            jump[p][c] = new
             p = link[p]
-        if p < 0:
-            link[new] = 0
-        else:
-            q = int(jump[p, c])
+        if p >= 0:
+            q = jump[p][c]
             if length[p] + 1 == length[q]:
                 link[new] = q
             else:
-                twin = size
-                size += 1
-                jump[twin], length[twin], link[twin] = jump[q], length[p] + 1, link[q]
-                while p >= 0 and jump[p, c] == q:
-                    jump[p, c] = twin
+                twin = len(jump)
+                jump.append(dict(jump[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and jump[p].get(c) == q:
+                    jump[p][c] = twin
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    return jump[:size]
+    return jump
+
+
+def packed(jump: list[dict[int, int]], classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(base of each state, owner and target of each place): the transition of a state by c stands at base + c, if it owns that.
+
+    Rows are laid over each other in the gaps, longest first; a search begins where the last row of its length came to stand.
+    """
+    base, taken, begin = np.zeros(len(jump), np.int32), bytearray(2 * classes + 4 * len(jump)), {}
+    owner, target = [], []
+    for state in sorted(range(len(jump)), key=lambda i: -len(jump[i])):
+        letters = sorted(jump[state])
+        if not letters:
+            break
+        first = letters[0]
+        at = begin.get(len(letters), classes)
+        while True:
+            at = taken.find(0, at)
+            if at < 0 or at + classes >= len(taken):
+                at = len(taken) if at < 0 else at
+                taken.extend(bytes(len(taken)))
+            if not any(taken[at - first + c] for c in letters):
+                break
+            at += 1
+        begin[len(letters)] = at
+        base[state] = at - first
+        for c in letters:
+            taken[at - first + c] = 1
+            owner.append((at - first + c, state))
+            target.append(jump[state][c])
+    places = np.array(owner, np.int64).reshape(-1, 2)
+    size = max(int(base.max()), int(places[:, 0].max(initial=0))) + classes + 1
+    owners, targets = np.full(size, -1, np.int32), np.full(size, -1, np.int32)
+    owners[places[:, 0]], targets[places[:, 0]] = places[:, 1], target
+    return base, owners, targets
 
 
 _LETTER: np.ndarray | None = None
@@ -83,25 +115,30 @@ class CrossParser:
         """samples: labelled text by language; each is normalised like any text: runs of other than letters are one gap."""
         self.languages = sorted(samples)
         codes, _ = code_points(["".join(samples[k] for k in self.languages)])
-        seen, counts = np.unique(codes[is_letter()[codes]], return_counts=True)
-        top = seen[np.argsort(-counts, kind="stable")[: CLASSES - 2]]
-        self.alphabet = np.sort(top)
+        self.alphabet = np.unique(codes[is_letter()[codes]])
+        self.classes = len(self.alphabet) + 2  # 0 stands between words, the last for letters no sample holds
         self.class_of: np.ndarray | None = None
-        self.sizes, self.starts, tables, at = [], [], [], 0
+        self.sizes, self.starts, bases, owners, targets, states, places = [], [], [], [], [], 0, 0
         for k in self.languages:
             letters, _, _ = self.normalise([samples[k]])
-            known = np.where(letters == _UNKNOWN, 0, letters)
-            table = suffix_automaton(known)
-            self.sizes.append(max(2, len(known)))
-            self.starts.append(at)
-            tables.append(np.where(table >= 0, table + at, -1))
-            at += len(table)
-        self.table = np.concatenate(tables) if tables else np.zeros((0, CLASSES), np.int32)
+            base, owner, target = packed(suffix_automaton(letters), self.classes)
+            self.sizes.append(max(2, len(letters)))
+            self.starts.append(states)
+            bases.append(base + places)
+            owners.append(np.where(owner >= 0, owner + states, -1))
+            targets.append(np.where(target >= 0, target + states, -1))
+            states, places = states + len(base), places + len(owner)
+        self.base, self.owner, self.target = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (bases, owners, targets))
+
+    def step(self, states: np.ndarray, classes: np.ndarray) -> np.ndarray:
+        """The states after one more character, or -1."""
+        at = self.base[states] + classes
+        return np.where(self.owner[at] == states, self.target[at], -1).astype(np.int64)
 
     def normalise(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(classes of all kept characters, n + 1 offsets, letters of each text)."""
         if self.class_of is None:
-            self.class_of = np.where(is_letter(), _UNKNOWN, 0).astype(np.uint8)
+            self.class_of = np.where(is_letter(), self.classes - 1, 0).astype(np.int32)
             self.class_of[self.alphabet] = np.arange(1, len(self.alphabet) + 1)
         points, offsets = code_points(texts)
         classes = self.class_of[points]
@@ -125,27 +162,28 @@ class CrossParser:
         length = np.minimum(SEGMENT, sizes[text_of] - within * SEGMENT)
         order = np.argsort(-length, kind="stable")
         begin, length, text_of = begin[order], length[order], text_of[order]
-        k, n = len(self.languages), len(order)
-        flat, roots = self.table.ravel(), np.array(self.starts, np.int64)[:, None]
-        state, count = np.repeat(roots, n, axis=1), np.ones((k, n), np.int64)
-        live = n
-        for t in range(int(length[0]) if n else 0):
-            live = int(np.searchsorted(-length, -t, side="left"))
-            c = classes[begin[:live] + t]
-            old = state[:, :live]
-            new = flat[old * CLASSES + c].astype(np.int64)
-            missed, fresh = new < 0, old == roots
-            if t:
-                count[:, :live] += fresh  # behind a letter that the language lacks, which is a phrase of its own
-            if missed.any():
-                count[:, :live] += missed & ~fresh
-                again = flat[roots * CLASSES + c[None, :]].astype(np.int64)
-                lost = missed & (again < 0)
-                new = np.where(missed, np.where(lost, roots, again), new)
-            state[:, :live] = new
-        out = np.zeros((k, len(texts)), np.int64)
-        for i in range(k):
-            out[i] = np.bincount(text_of, count[i], len(texts)).astype(np.int64)
+        n = len(order)
+        out = np.zeros((len(self.languages), len(texts)), np.int64)
+        for at in range(0, len(self.languages), AT_ONCE):
+            roots = np.array(self.starts[at : at + AT_ONCE], np.int64)[:, None]
+            state, count = np.repeat(roots, n, axis=1), np.ones((len(roots), n), np.int64)
+            live = n
+            for t in range(int(length[0]) if n else 0):
+                live = int(np.searchsorted(-length, -t, side="left"))
+                c = classes[begin[:live] + t]
+                old = state[:, :live]
+                new = self.step(old, c)
+                missed, fresh = new < 0, old == roots
+                if t:
+                    count[:, :live] += fresh  # behind a letter that the language lacks, which is a phrase of its own
+                if missed.any():
+                    count[:, :live] += missed & ~fresh
+                    again = self.step(np.broadcast_to(roots, old.shape), c)
+                    lost = missed & (again < 0)
+                    new = np.where(missed, np.where(lost, roots, again), new)
+                state[:, :live] = new
+            for i, row in enumerate(count):
+                out[at + i] = np.bincount(text_of, row, len(texts)).astype(np.int64)
         return out.T, sizes, letters
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
@@ -165,16 +203,16 @@ def train(df: DataFrame, text: str = "text", label: str = "lang", id_col: str =
     """Automata from labelled rows: of each language the documents with the smallest hashes, so the sample is the same every time.
 
     Rows with a null label or text teach nothing. The label counts choose the hash threshold, so what reaches the driver is
-    bounded by MAX_LANGUAGES, SAMPLE_DOCS and DOC_CHARS.
+    bounded by SAMPLE_DOCS and DOC_CHARS for each label; every label is learnt.
     """
     rows = df.where(F.col(label).isNotNull() & F.col(text).isNotNull()).select(F.col(label).cast("string").alias("lang"), F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    rank = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")), F.lit(1 << 30))
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return CrossParser({})
-    rank = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("language sample")), F.lit(1 << 30))
-    limits = {k: min(1 << 30, -(-(2 * SAMPLE_DOCS << 30) // n)) for k, n in counts.items()}
-    limit = F.element_at(F.create_map(*[F.lit(x) for kv in limits.items() for x in kv]), F.col("lang"))
-    found = rows.where(rank < limit).select("lang", rank.alias("r"), F.substring("text", 1, DOC_CHARS).alias("text"))
+    limits = [(k, min(1 << 30, -(-(2 * SAMPLE_DOCS << 30) // n))) for k, n in sorted(counts.items())]
+    limit = F.broadcast(df.sparkSession.createDataFrame(limits, "lang string, most long"))
+    found = rows.join(limit, "lang").where(rank < F.col("most")).select("lang", rank.alias("r"), F.substring("text", 1, DOC_CHARS).alias("text"))
     samples: dict[str, list] = {}
     for r in found.collect():
         samples.setdefault(r["lang"], []).append((r["r"], r["text"]))

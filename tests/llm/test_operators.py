@@ -153,6 +153,24 @@ def test_cross_parsing_counts_phrases():
         assert counts[i].tolist() == [plain_phrases(t, samples[k]) for k in parser.languages] and sizes[i] == len(t)
 
 
+def test_every_letter_and_label_is_learnt(spark):
+    """More letters than a small table has, among them two languages of one script with thousands of them, and over 64 labels."""
+    rng = random.Random(9)
+    han = [chr(0x4E00 + i) for i in range(3000)]
+    samples = {"zh1": "".join(han[int(rng.random() ** 2 * 1500)] for _ in range(4000)), "zh2": "".join(han[1000 + int(rng.random() ** 2 * 1500)] for _ in range(4000))}
+    samples |= {"ru": "".join(rng.choice("абвгдежзийклмнопрстуфхцчшщъыьэюя") for _ in range(2000)), "el": "".join(rng.choice("αβγδεζηθικλμνξοπρστυφχψω") for _ in range(2000)), "en": "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(2000))}
+    parser = language_id.CrossParser(samples)
+    texts = [s[i : i + 40] for s in samples.values() for i in (0, 700)] + ["".join(rng.choice(list(samples.values()))[rng.randrange(2000)] for _ in range(50)) for _ in range(20)]
+    counts, _, _ = parser.phrases(texts)
+    for i, t in enumerate(texts):
+        assert counts[i].tolist() == [plain_phrases(t, samples[k]) for k in parser.languages]
+    assert parser.predict(texts[:10])[0] == [k for k in samples for _ in range(2)]
+    rows = [(i, "".join(chr(0x4E00 + 20 * i + rng.randrange(20)) for _ in range(60)), f"l{i:03}", "s", 1) for i in range(90)]
+    df = spark.createDataFrame(rows, DOCS)
+    found = {r["doc_id"]: r["lang_pred"] for r in language_id.identify(df, language_id.train(df)).collect()}
+    assert found == {i: f"l{i:03}" for i in range(90)}
+
+
 def test_language_of_odd_texts(spark):
     rows = [(i, "the house and the garden of the king " * 3, "en", "s", 1) for i in range(8)] + [(10 + i, "das haus und der garten des königs ist " * 3, "de", "s", 1) for i in range(8)]
     odd = [(100, None, "en", "s", 1), (101, "", None, "s", 1), (102, "123 ?!", None, "s", 1), (103, "the garden", None, "s", 1), (104, "der garten " * 4000, None, "s", 1)]
