@@ -47,6 +47,19 @@ def similar_pairs(df: DataFrame, threshold: float = 0.8, size: int = 5) -> DataF
     return both.select("later", "earlier", X.jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def nearest_kept(df: DataFrame, kept: DataFrame, size: int = 5) -> DataFrame:
+    """doc_id, best (similarity, earlier) of each document of df that shares a shingle with an earlier one of kept (earlier), exactly.
+
+    Without a threshold every pair with a shared shingle counts, so a shingle of f documents makes up to f * f / 2 rows before
+    they are added up.
+    """
+    rows = materialize(shingle_rows(df, size), "shingles")
+    a, b = (rows.select("s", F.col("doc_id").alias(i), F.col("n").alias(f"n_{i}")) for i in ("later", "earlier"))
+    shared = a.join(b.join(kept, "earlier", "left_semi"), "s").where("later > earlier").groupBy("later", "earlier", "n_later", "n_earlier").agg(F.count("*").alias("shared"))
+    similarity = F.col("shared") / (F.col("n_later") + F.col("n_earlier") - F.col("shared"))
+    return shared.groupBy(F.col("later").alias("doc_id")).agg(F.max(F.struct(similarity.alias("similarity"), "earlier")).alias("best"))
+
+
 def survivors(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200) -> DataFrame:
     """doc_id, fate ('kept', 'near', 'blocked_language') of documents in a greedy pass: each is near if an earlier kept one is similar.
 
@@ -68,14 +81,14 @@ def survivors(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200) -> Dat
     raise RuntimeError(f"documents undecided after {most_rounds} rounds")
 
 
-def cleaning_records(df: DataFrame, settings: Settings = Settings()) -> DataFrame:
+def cleaning_records(df: DataFrame, settings: Settings = Settings(), below: bool = True) -> DataFrame:
     """One record per document: doc_id, word_count, status, reason, duplicate_of, max_similarity, language, characters_before,
     characters_after, characters_removed, reduction_percent.
 
     df: doc_id, raw (before cleaning), text (cleaned), lang (a detector's answer; null where it failed). Every document has
     exactly one reason, the first of REASONS that applies. A copy names the first document of its digest even if that one
-    goes for another reason. max_similarity is that to the most similar earlier kept document at or over the threshold;
-    null if none is.
+    goes for another reason. max_similarity is that to the most similar earlier kept document, 0 if no shingle is shared, null
+    below the minimum of words. Without `below`, only similarities at or over the threshold count; null if none does.
     """
     docs = materialize(df.select("doc_id", "raw", "text", "lang").withColumns({"word_count": X.word_count(F.col("text")), "digest": X.normalized_digest(F.col("text"))}), "documents")
     long_enough = docs.where(F.col("word_count") >= settings.min_words)
@@ -84,7 +97,11 @@ def cleaning_records(df: DataFrame, settings: Settings = Settings()) -> DataFram
     edges = materialize(similar_pairs(originals.select("doc_id", "text"), settings.near_dup_threshold, settings.shingle_words), "edges")
     fate = materialize(survivors(originals.select("doc_id", F.coalesce(F.col("lang") == settings.language, F.lit(False)).alias("passes")), edges.select("later", "earlier")), "fate")
     kept = fate.where("fate = 'kept'").select(F.col("doc_id").alias("earlier"))
-    best = edges.join(kept, "earlier", "left_semi").groupBy(F.col("later").alias("doc_id")).agg(F.max(F.struct("similarity", "earlier")).alias("best"))
+    if below:
+        best = nearest_kept(originals.select("doc_id", "text"), kept, settings.shingle_words)
+    else:
+        best = edges.join(kept, "earlier", "left_semi").groupBy(F.col("later").alias("doc_id")).agg(F.max(F.struct("similarity", "earlier")).alias("best"))
+    none = F.when(F.col("fate").isNotNull() & F.lit(below), F.lit(0.0))
     every = docs.join(firsts.select("doc_id", "first_of"), "doc_id", "left").join(fate, "doc_id", "left").join(best, "doc_id", "left")
     copy = F.col("first_of").isNotNull() & (F.col("first_of") != F.col("doc_id"))
     reason = (
@@ -98,7 +115,7 @@ def cleaning_records(df: DataFrame, settings: Settings = Settings()) -> DataFram
         F.when(F.col("reason") == REASONS[5], "kept").otherwise("removed").alias("status"),
         "reason",
         F.when(F.col("reason") == REASONS[1], F.col("first_of")).when(F.col("reason") == REASONS[2], F.col("best.earlier")).alias("duplicate_of"),
-        F.when(F.col("reason") == REASONS[1], F.lit(1.0)).otherwise(F.col("best.similarity")).alias("max_similarity"),
+        F.when(F.col("reason") == REASONS[1], F.lit(1.0)).otherwise(F.coalesce(F.col("best.similarity"), none)).alias("max_similarity"),
         F.when(F.col("fate").isin("kept", "blocked_language"), F.coalesce("lang", F.lit("unknown"))).otherwise("not_checked").alias("language"),
         before.cast("long").alias("characters_before"),
         after.cast("long").alias("characters_after"),

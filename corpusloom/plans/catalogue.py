@@ -211,7 +211,8 @@ def cleaned_documents(spark, sf_dir):
 
 
 def records(spark, sf_dir):
-    return dedup.cleaning_records(cleaned_documents(spark, sf_dir), SETTINGS)
+    """As RECORDS_SQL says, with similarities at or over the threshold only."""
+    return dedup.cleaning_records(cleaned_documents(spark, sf_dir), SETTINGS, below=False)
 
 
 @query("length_filter", f"SELECT doc_id FROM documents WHERE len({sql_words('text')}) >= 100")

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.config import Settings
-from corpusloom.operators import blocks, dedup, instructions, metrics, split
+from corpusloom.operators import blocks, dedup, funnel, instructions, metrics, split
 from corpusloom.operators.prefix import prefix_sums
 
 
@@ -53,6 +53,23 @@ def test_records_have_one_reason_each(spark):
     }
 
 
+def test_records_tell_the_similarity_below_the_threshold(spark):
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    texts = [base, base[:100] + [f"x{i}" for i in range(50)], [f"z{i}" for i in range(60)] + base[60:], [f"q{i}" for i in range(120)], base[:149] + ["y"], base[:40] + [f"r{rng.randint(0, 9)}" for _ in range(80)]]
+    langs = ["en", "fr", "en", "en", "en", "en"]
+    df = spark.createDataFrame([(i, " ".join(w), " ".join(w), k) for i, (w, k) in enumerate(zip(texts, langs, strict=True))], "doc_id long, raw string, text string, lang string")
+    kept, want = {}, {}
+    for i, (w, k) in enumerate(zip(texts, langs, strict=True)):
+        mine = {tuple(w[j : j + 5]) for j in range(len(w) - 4)}
+        want[i] = max((len(mine & s) / len(mine | s) for s in kept.values()), default=0.0)
+        if want[i] < 0.8 and k == "en":
+            kept[i] = mine
+    found = {r["doc_id"]: r["max_similarity"] for r in dedup.cleaning_records(df).collect()}
+    assert found == pytest.approx(want) and 0 < found[1] < 0.8 and found[3] == 0 and found[4] >= 0.8
+    assert {r["doc_id"] for r in funnel.most_similar(dedup.cleaning_records(df)).collect()} == set(kept)
+
+
 def test_similarity_of_just_the_threshold_counts(spark):
     a = [f"w{i}" for i in range(13)]  # 9 shingles
     b = a[:-1] + ["x"]  # 8 in common of 10
