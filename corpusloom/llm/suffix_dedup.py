@@ -250,26 +250,22 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     return _merged(spans)
 
 
-def remove_repeats(df: DataFrame, length: int = 400, text: str = "text") -> DataFrame:
-    """df with n_bytes, n_removed, n_spans and kept_bytes (binary), and its own columns.
+def _without_repeats(df: DataFrame, length: int, text: str, schema: T.StructType, columns) -> DataFrame:
+    """Rows of `schema`: what `columns` makes of a batch of df and of (bytes, removed bytes, removed runs, kept bytes) of each row's text.
 
-    A null text counts as empty; texts shorter than `length` lose nothing; equal texts of that length lose everything; rows
-    may repeat, and an empty table stays empty. What is left need not be whole characters: see `clean`. Columns of these
-    names are replaced.
+    df's columns are told apart by place, so that no name of its own clashes with the operator's.
     """
-    df = df.drop("n_bytes", "n_removed", "n_spans", "kept_bytes", "tid", "spans")
-    rows = df.withColumn("tid", F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.length(F.coalesce(F.col(text), F.lit("")))))
-    spans = materialize(repeated_spans(rows.select("tid", F.coalesce(F.col(text), F.lit("")).alias("text")), length), "spans")
+    at, names = df.columns.index(text), [f"c{i}" for i in range(len(df.columns))]
+    whole = F.coalesce(F.col(names[at]), F.lit(""))
+    rows = df.toDF(*names).withColumn("tid", F.xxhash64(whole, F.length(whole)))
+    spans = materialize(repeated_spans(rows.select("tid", whole.alias("text")), length), "spans")
     few = (spans.agg(F.sum(F.size("spans") + 1)).first()[0] or 0) <= BROADCAST_SPANS
-    joined = rows.join(F.broadcast(spans) if few else spans, "tid", "left").drop("tid")
-    names = df.columns
-    at = names.index(text)
-    schema = df.select("*").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_bytes", "binary")
+    joined = rows.join(F.broadcast(spans) if few else spans, "tid", "left").select(*names, "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, text, 1 << 20):
+        for batch in slices(batches, names[at], 1 << 20):
             raw, offsets = text_bytes(batch.column(at))
-            whole = raw.tobytes()
+            every = raw.tobytes()
             out = []
             for i, packed in enumerate(batch.column(len(names)).to_pylist()):
                 base, end = int(offsets[i]), int(offsets[i + 1])
@@ -277,32 +273,45 @@ def remove_repeats(df: DataFrame, length: int = 400, text: str = "text") -> Data
                 for s, e in sorted((p >> 32, p & 0xFFFFFFFF) for p in packed or ()):
                     s, e = base + s, base + e
                     if s > last or not number:
-                        left.append(whole[last:s])
+                        left.append(every[last:s])
                         number += 1
                         last = s
                     if e > last:
                         removed += e - last
                         last = e
-                left.append(whole[last:end])
+                left.append(every[last:end])
                 out.append((end - base, removed, number, b"".join(left)))
-            columns = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], *[pa.array(c, pa.int64()) for c in columns[:3]], pa.array(columns[3], pa.binary())], names=[*names, "n_bytes", "n_removed", "n_spans", "kept_bytes"])
+            yield pa.RecordBatch.from_arrays(columns(batch.columns[: len(names)], out), names=schema.names)
 
-    return joined.select(*names, "spans").mapInArrow(run, schema)
+    return joined.mapInArrow(run, schema)
+
+
+def remove_repeats(df: DataFrame, length: int = 400, text: str = "text") -> DataFrame:
+    """df with n_bytes, n_removed, n_spans and kept_bytes (binary), and its own columns.
+
+    A null text counts as empty; texts shorter than `length` lose nothing; equal texts of that length lose everything; rows
+    may repeat, and an empty table stays empty. What is left need not be whole characters: see `clean`. Columns of these
+    four names are replaced; all others, whatever their names, are carried along.
+    """
+    df = df.drop("n_bytes", "n_removed", "n_spans", "kept_bytes")
+    schema = df.select("*").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_bytes", "binary")
+
+    def columns(given: list[pa.Array], out: list[tuple]) -> list[pa.Array]:
+        found = list(zip(*out, strict=True))
+        return [*given, *[pa.array(c, pa.int64()) for c in found[:3]], pa.array(found[3], pa.binary())]
+
+    return _without_repeats(df, length, text, schema, columns)
 
 
 def clean(df: DataFrame, length: int = 400, text: str = "text") -> DataFrame:
     """df with its texts rid of repeats; a character that a removed run cuts goes as a whole, a null text stays null."""
-    given, names = df.schema, [f"_{i}" for i in range(len(df.columns))]  # so that no name clashes with the operator's own
     at = df.columns.index(text)
-    found = remove_repeats(df.toDF(*names), length, names[at])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            kept = [old if not gone else left.decode("utf-8", "ignore") for old, gone, left in zip(*(batch.column(i).to_pylist() for i in (at, len(names), len(names) + 1)), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(kept, pa.string()) if i == at else c for i, c in enumerate(batch.columns[: len(names)])], names=given.names)
+    def columns(given: list[pa.Array], out: list[tuple]) -> list[pa.Array]:
+        kept = [old if not gone else left.decode("utf-8", "ignore") for old, (_, gone, _, left) in zip(given[at].to_pylist(), out, strict=True)]
+        return [pa.array(kept, pa.string()) if i == at else c for i, c in enumerate(given)]
 
-    return found.select(*names, "n_removed", "kept_bytes").mapInArrow(run, given)
+    return _without_repeats(df, length, text, df.schema, columns)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:

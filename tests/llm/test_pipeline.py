@@ -7,7 +7,10 @@ import pytest
 import corpus_pipeline
 from corpusloom.llm.common import materialize
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "_language", "spans"]
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "_language", "spans", "tid", "_had_text", "found_lang", "had_text", "given_0", "n_removed"]
+
+#: The values of every column beyond the documents' own, the same in each row; each stage has to carry them along.
+OWN = ("own", 5, "t", 7, "f", "h", "g", "r")
 
 
 def sentence(rng, n):
@@ -21,8 +24,8 @@ def folder(spark, tmp_path_factory):
     rows = [(0, None), (1, ""), (2, "12 ?!"), (3, base), (4, base), (5, base.replace("river", "River", 1) + " more"), (6, f"{sentence(rng, 60)} {passage} {sentence(rng, 10)}"), (7, f"{sentence(rng, 90)} {passage}"), (8, f"{sentence(rng, 80)}. {item}. {sentence(rng, 20)}")]
     rows += [(i, sentence(rng, rng.randint(20, 80))) for i in range(9, 20)]
     out = tmp_path_factory.mktemp("sf")
-    data = [(i, t, "en", "s", len(t or ""), "own", 5) for i, t in rows]
-    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, _language string, spans int").write.parquet(f"{out}/documents.parquet")
+    data = [(i, t, "en", "s", len(t or ""), *OWN) for i, t in rows]
+    spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long, _language string, spans int, tid string, _had_text int, found_lang string, had_text string, given_0 string, n_removed string").write.parquet(f"{out}/documents.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{out}/benchmark.parquet")
     return str(out), dict(rows), passage
 
@@ -34,6 +37,7 @@ def test_stages_take_effect_one_after_the_other(spark, folder):
         docs = materialize(stage(spark, docs, sf_dir), "t")
         assert docs.columns == COLUMNS
         kept[name] = {r["doc_id"]: r for r in docs.collect()}
+        assert all(tuple(r[c] for c in COLUMNS[5:]) == OWN for r in kept[name].values())
     assert set(texts) - set(kept["language"]) == {0, 1, 2}
     assert set(kept["language"]) - set(kept["near_dedup"]) == {4, 5}
     assert set(kept["near_dedup"]) == set(kept["suffix_dedup"])
