@@ -3,7 +3,7 @@
 STAGES lists the stages in order. Each takes (spark, docs, sf_dir); all but the last return the columns of their input. A
 stage works on every row that the one before it kept, and its result is written as Parquet and read again for the next.
 Rows whose doc_id is null pass every filter that decides by id; repeated rows with one id stay or go together; extra columns
-are carried along; empty tables give empty results.
+are carried along with their values, whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,10 +30,16 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti")
 
 
+def _plain(docs: DataFrame) -> DataFrame:
+    """docs with text as `text` and the other columns under generated names, so that none clashes with those of an operator."""
+    return docs.toDF(*["text" if c == "text" else f"given_{i}" for i, c in enumerate(docs.columns)])
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a language (no letter in the text, or no text) go; labels in `lang` teach."""
-    found = identify(docs, train(docs.select("doc_id", "text", "lang")), out=("_language", "_language_score"))
-    return found.where("_language <> 'und'").select(*docs.columns)
+    plain = _plain(docs)
+    found = identify(plain, train(docs.select("doc_id", "text", "lang")), out=("found_lang", "found_score"))
+    return found.where("found_lang <> 'und'").select(*plain.columns).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,10 +48,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes and more that occur twice are cut out; a document of which nothing is left goes."""
+    """Passages of 400 bytes and more that occur twice are cut out; a document of which nothing is left goes.
+
+    n_chars, where there is one, follows the text.
+    """
+    plain = _plain(docs)
     had = F.length(F.coalesce(F.col("text"), F.lit(""))) > 0
-    found = clean(docs.withColumn("_had_text", had)).where("not _had_text or text <> ''")
-    return found.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])).select(*docs.columns)
+    found = clean(plain.withColumn("had_text", had)).where("not had_text or text <> ''").select(*plain.columns).toDF(*docs.columns)
+    return found.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else found
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
