@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import materialize, mix, share, text_bytes, text_volume, word_hashes
+from corpusloom.llm.common import materialize, mix, share, spread, text_bytes, text_volume, word_hashes
 from corpusloom.llm.language_id import fold
 
 #: Input bytes of a block by Spark's estimate (of compressed files), blocks at least, shares of training documents for the weights.
@@ -231,6 +231,6 @@ def score(df: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "te
 
 def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:
     """All documents' scores, learnt from those outside remainder 0 of 10."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     found = score(docs, fold("doc_id", 10) != 0)
     return found.select("doc_id", (~F.col("trains")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

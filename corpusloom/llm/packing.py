@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import in_worker, materialize, slices
+from corpusloom.llm.common import arrow_map, in_worker, materialize, slices, spread
 
-#: Words no longer than this are remembered, so many at a time in each worker, from task to task.
-REMEMBERED_BYTES, REMEMBERED_WORDS = 64, 1_000_000
+#: Words no longer than this are remembered from task to task in each worker, in two generations of so many (some 350 bytes
+#: a word, so about 140 MB at most): when the young one is full it becomes the old one, and words still in use move back.
+REMEMBERED_BYTES, GENERATION = 64, 200_000
 #: Totals of up to so many tasks are joined by broadcast (16 bytes each); more by a shuffle join.
 BROADCAST_TASKS = 100_000
 
@@ -54,6 +55,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
         self.known: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
 
     def one_by_one(self, words: list[bytes], strings: list[str], into: dict[bytes, bytes]) -> None:
         found = self.tokenizer.encode_batch(strings, add_special_tokens=False)
@@ -85,10 +87,12 @@ class WordEncoder:
         # a special token's name must be seen whole and in its own case
         parts = [(t if b"<|" in t else _SIGNS.sub(rb"\1 \2", t.lower())).split() for t in texts]
         every = set(chain.from_iterable(parts))
+        if len(self.known) > GENERATION:
+            self.old, self.known = self.known, {}
         new = every.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED_WORDS:
-            self.known.clear()
-            new = every
+        again = new.intersection(self.old)
+        self.known.update((w, self.old[w]) for w in again)
+        new -= again
         short = [w for w in new if len(w) <= REMEMBERED_BYTES]
         self.learn(short, self.known)
         if len(short) == len(new):
@@ -109,7 +113,7 @@ def encode_documents(df: DataFrame, path: str, end_id: int = 2, id_col: str = "d
 
         task, before, encoder = TaskContext.get().partitionId(), 0, in_worker(f"words {path}", lambda: WordEncoder(path))
         end, width = np.array([end_id], encoder.kind).tobytes(), int(encoder.kind[-1])
-        for batch in slices(batches, "text", 4 << 20):
+        for batch in slices(batches, "text", 2 << 20):
             texts = batch.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
             ids = [x + end for x in encoder.encode(texts)]
             counts = [len(x) // width for x in ids]
@@ -117,7 +121,7 @@ def encode_documents(df: DataFrame, path: str, end_id: int = 2, id_col: str = "d
             before = starts.pop()
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([task] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "task", "before", "n_tokens", "ids"])
 
-    return materialize(df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, schema), "tokens")
+    return materialize(arrow_map(df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), run, schema), "tokens")
 
 
 def pack(df: DataFrame, path: str | None = None, length: int = 4096, end_id: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -153,7 +157,7 @@ def pack(df: DataFrame, path: str | None = None, length: int = 4096, end_id: int
             columns = list(zip(*out, strict=True)) if out else [()] * 7
             yield pa.RecordBatch.from_arrays([column["doc_id"].take(pa.array(rows, pa.int64())), *[pa.array(c, t) for c, t in zip(columns, kinds, strict=True)]], names=["doc_id", *names])
 
-    return placed.select("doc_id", (F.col("base") + F.col("before")).alias("at"), "n_tokens", "ids").mapInArrow(cut, schema)
+    return arrow_map(placed.select("doc_id", (F.col("base") + F.col("before")).alias("at"), "n_tokens", "ids"), cut, schema)
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
@@ -171,4 +175,4 @@ def sequences(pieces: DataFrame) -> DataFrame:
 
 def op6_packing(spark, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4,096 tokens: the pieces and their ids' checksums."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("ids")
+    return pack(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))).drop("ids")
