@@ -12,7 +12,8 @@ Strings are judged on the input, per row; what they cover goes from every row.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,13 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom.llm.bwt import repeated
-from corpusloom.llm.common import HASH_CODES, INVERSE_BASE, materialize, mix, power_table, slices, text_bytes
+from corpusloom.llm.common import HASH_CODES, INVERSE_BASE, arrow_map, materialize, mix, power_table, release, slices, spread, text_bytes
 
 #: Bytes of payload in a bin, contexts of a key that are still put into one bin, strings of a finer context.
-BIN_BYTES, BIN_CONTEXTS, FINE = 1 << 20, 1_000, 25
+BIN_BYTES, BIN_CONTEXTS, FINE = 1 << 19, 1_000, 25
 #: Tables of up to so many rows are joined by broadcast (keys of 8 bytes, merged spans of some 30 bytes), larger by a shuffle.
 BROADCAST_KEYS, BROADCAST_SPANS = 2_000_000, 1_000_000
-_RUN = T.StructType().add("key", T.LongType()).add("context", T.LongType()).add("tid", T.LongType()).add("place", T.LongType()).add("weight", T.LongType())
+#: A passage has more than so many words; strings of so many bytes bring passages together (51 words of four letters).
+WORDS, PASSAGE = 50, 250
+_RUN = T.StructType().add("key", T.LongType()).add("context", T.LongType()).add("tid", T.LongType()).add("place", T.LongType()).add("weight", T.LongType()).add("open", T.BooleanType())
 
 
 class Hashes:
@@ -85,10 +88,10 @@ def _unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def runs(docs: DataFrame, length: int) -> DataFrame:
-    """key, context, tid, place, weight of every run of docs(tid, text); a text that a batch has more than once weighs more."""
+    """key, context, tid, place, weight, open of every run of docs(tid, text, open); a text that a batch has more than once weighs more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             _, one, copies = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True, return_counts=True)
             batch = batch.take(pa.array(one))
             raw, offsets = text_bytes(batch.column(1))
@@ -97,25 +100,26 @@ def runs(docs: DataFrame, length: int) -> DataFrame:
             tid = batch.column(0).to_numpy(zero_copy_only=False)[text] if len(text) else np.zeros(0, np.int64)
             key = hashes.of(anchor, anchor + length // 2).astype(np.int64)
             context = hashes.of(first, last + length, (anchor - first) << 16 | last - first).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(context), pa.array(tid, pa.int64()), pa.array(_pack(first - offsets[text], anchor - first, last - first), pa.int64()), pa.array(copies[text], pa.int64())], names=_RUN.names)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(context), pa.array(tid, pa.int64()), pa.array(_pack(first - offsets[text], anchor - first, last - first), pa.int64()), pa.array(copies[text], pa.int64()), batch.column(2).take(pa.array(text))], names=_RUN.names)
 
-    return docs.select("tid", "text").mapInArrow(run, _RUN)
+    return arrow_map(docs.select("tid", "text", "open"), run, _RUN)
 
 
 def _finer(texts: DataFrame, length: int, width: int) -> DataFrame:
     """Runs of at most `width` strings, keyed by the bytes that the strings of their part of the alignment have in common.
 
-    texts: tid, text, runs array<struct<key, context, place, weight>>.
+    texts: tid, text, runs array<struct<key, context, place, weight, open>>.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             raw, offsets = text_bytes(batch.column(1))
             hashes = Hashes(raw)
             tids, lists = batch.column(0).to_pylist(), batch.column(2)
             bounds, flat = lists.offsets.to_numpy(), lists.flatten()
             place = flat.field("place").to_numpy(zero_copy_only=False)
             weight = flat.field("weight").to_numpy(zero_copy_only=False)
+            opened = flat.field("open").to_numpy(zero_copy_only=False).astype(bool)
             parent = flat.field("key").to_numpy(zero_copy_only=False).astype(np.uint64)
             whose = np.repeat(np.arange(len(tids)), np.diff(bounds))
             start, before, more = _unpack(place)
@@ -136,9 +140,9 @@ def _finer(texts: DataFrame, length: int, width: int) -> DataFrame:
             context = hashes.of(start[of] + lo, start[of] + hi + length, (before[of] - lo) << 16 | hi - lo)
             tid = np.array(tids, np.int64)[whose[of]] if len(of) else np.zeros(0, np.int64)
             packed = _pack(start[of] + lo - offsets[whose[of]], before[of] - lo, hi - lo)
-            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(context.astype(np.int64)), pa.array(tid), pa.array(packed, pa.int64()), pa.array(weight[of], pa.int64())], names=_RUN.names)
+            yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int64)), pa.array(context.astype(np.int64)), pa.array(tid), pa.array(packed, pa.int64()), pa.array(weight[of], pa.int64()), pa.array(opened[of], pa.bool_())], names=_RUN.names)
 
-    return texts.select("tid", "text", "runs").mapInArrow(run, _RUN)
+    return arrow_map(texts.select("tid", "text", "runs"), run, _RUN)
 
 
 def _few(df: DataFrame, most: int) -> DataFrame:
@@ -147,10 +151,10 @@ def _few(df: DataFrame, most: int) -> DataFrame:
 
 
 def _grouped(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(the runs under keys that occur twice or more, each text's once; their contexts: key, context, weight, tid and place
-    of one occurrence, contexts of the key)."""
-    keys = materialize(found.groupBy("key").agg(F.sum("weight").alias("n")).where("n > 1").select("key"), "keys")
-    rows = found.join(_few(keys, BROADCAST_KEYS), "key", "left_semi").groupBy("key", "context", "tid", "place").agg(F.sum("weight").alias("weight"))
+    """(the runs under keys that occur twice or more, in an open text too, each text's once; their contexts: key, context,
+    weight, tid and place of one occurrence, contexts of the key)."""
+    keys = materialize(found.groupBy("key").agg(F.sum("weight").alias("n"), F.max("open").alias("open")).where("n > 1 and open").select("key"), "keys")
+    rows = found.join(_few(keys, BROADCAST_KEYS), "key", "left_semi").groupBy("key", "context", "tid", "place", "open").agg(F.sum("weight").alias("weight"))
     rows = materialize(rows, "repeated")
     contexts = materialize(rows.groupBy("key", "context").agg(F.sum("weight").alias("weight"), F.min(F.struct("tid", "place")).alias("one")).select("key", "context", "weight", "one.tid", "one.place"), "contexts")
     return rows, contexts.join(contexts.groupBy("key").agg(F.count("*").alias("contexts")), "key")
@@ -163,7 +167,7 @@ def _with_texts(wanted: DataFrame, docs: DataFrame) -> DataFrame:
     """
     wanted = materialize(wanted, "wanted")
     tids = materialize(wanted.select("tid").distinct(), "tids")
-    lists = wanted.groupBy("tid").agg(F.collect_list(F.struct("key", "context", "place", "weight")).alias("runs"))
+    lists = wanted.groupBy("tid").agg(F.collect_list(F.struct(*[c for c in ("key", "context", "place", "weight", "open") if c in wanted.columns])).alias("runs"))
     return docs.join(_few(tids, BROADCAST_KEYS), "tid", "left_semi").dropDuplicates(["tid"]).join(lists, "tid")
 
 
@@ -183,14 +187,14 @@ def _merged(spans: DataFrame) -> DataFrame:
                 out.append(start[new] << 32 | reach[np.append(new[1:] - 1, len(packed) - 1)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tolist() for x in out], pa.list_(pa.int64()))], names=schema.names)
 
-    return spans.groupBy("tid").agg(F.collect_set("span").alias("spans")).mapInArrow(run, schema)
+    return arrow_map(spans.groupBy("tid").agg(F.collect_set("span").alias("spans")), run, schema)
 
 
 def _payloads(texts: DataFrame, length: int) -> DataFrame:
     schema = T.StructType().add("key", T.LongType()).add("context", T.LongType()).add("weight", T.LongType()).add("payload", T.BinaryType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "text", 1 << 20):
+        for batch in slices(batches, "text", 1 << 19):
             raw, offsets = text_bytes(batch.column(1))
             lists = batch.column(2)
             bounds, flat = lists.offsets.to_numpy(), lists.flatten()
@@ -200,7 +204,7 @@ def _payloads(texts: DataFrame, length: int) -> DataFrame:
             cut = [whole[b:e] for b, e in zip(begin.tolist(), (begin + more + length).tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([flat.field("key"), flat.field("context"), flat.field("weight"), pa.array(cut, pa.binary())], names=schema.names)
 
-    return texts.select("tid", "text", "runs").mapInArrow(run, schema)
+    return arrow_map(texts.select("tid", "text", "runs"), run, schema)
 
 
 def _expanded(payloads: DataFrame, length: int) -> DataFrame:
@@ -217,13 +221,18 @@ def _expanded(payloads: DataFrame, length: int) -> DataFrame:
                 firsts, lasts = starts[np.append(0, cut)], starts[np.append(cut - 1, len(starts) - 1)]
                 rows.append((key, context, (firsts << 32 | lasts).tolist()))
         columns = list(zip(*rows, strict=True)) if rows else [(), (), ()]
+        release()
         return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int64()))], names=schema.names)
 
     return payloads.groupBy("bin").applyInArrow(run, schema)
 
 
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
-    """tid, spans array<long>: starts (upper 32 bits) and ends of bytes covered by repeated strings. docs: tid, text, a row for each row of the input."""
+    """tid, spans array<long>: starts (upper 32 bits) and ends of bytes covered by repeated strings, of open texts.
+
+    docs: tid, text, open, a row for each row of the input; equal texts have one tid and are open or not together. Texts that
+    are not open count as places where a string occurs.
+    """
     rows, known = _grouped(materialize(runs(docs, length), "runs"))
     known = materialize(known, "known")
     whole = F.array(F.col("place").bitwiseAND(0xFFFF))  # from the run's first string to its last
@@ -235,7 +244,7 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
         cut = _payloads(_with_texts(mixed, docs), length)
         ranges = ranges.unionByName(_expanded(cut.withColumn("bin", F.pmod(F.xxhash64("key"), F.lit(bins))), length))
     start = F.shiftright(F.col("place"), 32)
-    found = rows.select("key", "context", "tid", "place").join(ranges, ["key", "context"]).select("tid", F.explode("ranges").alias("r"), start.alias("s"))
+    found = rows.where("open").select("key", "context", "tid", "place").join(ranges, ["key", "context"]).select("tid", F.explode("ranges").alias("r"), start.alias("s"))
     spans = found.select("tid", F.shiftleft(F.col("s") + F.shiftright("r", 32), 32).bitwiseOR(F.col("s") + F.col("r").bitwiseAND(0xFFFFFFFF) + length).alias("span"))
     hot = rows.join(known.where(f"contexts > {BIN_CONTEXTS}").select("key", "context"), ["key", "context"], "left_semi")
     for width in (FINE, 1):
@@ -244,77 +253,117 @@ def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
             break
         rows, known = _grouped(materialize(_finer(_with_texts(hot, docs), length, width), "fine"))
         known = materialize(known, "known")
-        here = rows.join(known.where("contexts = 1 or weight > 1").select("key", "context"), ["key", "context"], "left_semi")
+        here = rows.where("open").join(known.where("contexts = 1 or weight > 1").select("key", "context"), ["key", "context"], "left_semi")
         spans = spans.unionByName(here.select("tid", F.shiftleft(F.shiftright("place", 32), 32).bitwiseOR(F.shiftright("place", 32) + F.col("place").bitwiseAND(0xFFFF) + length).alias("span")))
         hot = rows.join(known.where("contexts > 1").select("key", "context"), ["key", "context"], "left_semi")
     return _merged(spans)
 
 
-def _without_repeats(df: DataFrame, length: int, text: str, schema: T.StructType, columns) -> DataFrame:
-    """Rows of `schema`: what `columns` makes of a batch of df and of (bytes, removed bytes, removed runs, kept bytes) of each row's text.
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def whole_words(text: bytes, start: int, end: int) -> int:
+    """Words of a text that stand wholly between two places."""
+    inside = list(_WORD.finditer(text, start, end))
+    if inside and inside[0].start() == start and start and _WORD.match(text[start - 1 : start]):
+        inside = inside[1:]
+    if inside and inside[-1].end() == end and end < len(text) and _WORD.match(text[end : end + 1]):
+        inside = inside[:-1]
+    return len(inside)
+
 
-    df's columns are told apart by place, so that no name of its own clashes with the operator's.
+def _unpacked(packed: list[int] | None) -> list[tuple[int, int]]:
+    return sorted((p >> 32, p & 0xFFFFFFFF) for p in packed or ())
+
+
+def _judged(df: DataFrame, text: str, schema: T.StructType, lengths: list[int], columns: Callable) -> DataFrame:
+    """Rows of `schema`: what `columns` makes of a batch of df, of its texts as bytes and of each text's spans by length.
+
+    Spans of the first length are of all texts, of a further one of those texts that have none of a length before it. df's
+    columns are told apart by place, so that no name of its own clashes with the operator's.
     """
     at, names = df.columns.index(text), [f"c{i}" for i in range(len(df.columns))]
     whole = F.coalesce(F.col(names[at]), F.lit(""))
     rows = df.toDF(*names).withColumn("tid", F.xxhash64(whole, F.length(whole)))
-    spans = materialize(repeated_spans(rows.select("tid", whole.alias("text")), length), "spans")
-    few = (spans.agg(F.sum(F.size("spans") + 1)).first()[0] or 0) <= BROADCAST_SPANS
-    joined = rows.join(F.broadcast(spans) if few else spans, "tid", "left").select(*names, "spans")
+    docs, found = rows.select("tid", whole.alias("text")), [f"spans_{i}" for i in range(len(lengths))]
+    done = None
+    for name, length in zip(found, lengths, strict=True):
+        some = docs.withColumn("open", F.lit(True)) if done is None else docs.join(_few(done.withColumn("done", F.lit(True)), BROADCAST_KEYS), "tid", "left").select("tid", "text", F.col("done").isNull().alias("open"))
+        spans = materialize(repeated_spans(some, length), name).withColumnRenamed("spans", name)
+        few = (spans.agg(F.sum(F.size(name) + 1)).first()[0] or 0) <= BROADCAST_SPANS
+        rows = rows.join(F.broadcast(spans) if few else spans, "tid", "left")
+        if name != found[-1]:
+            done = materialize(spans.select("tid") if done is None else done.unionByName(spans.select("tid")), "done")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, names[at], 1 << 20):
             raw, offsets = text_bytes(batch.column(at))
-            every = raw.tobytes()
-            out = []
-            for i, packed in enumerate(batch.column(len(names)).to_pylist()):
-                base, end = int(offsets[i]), int(offsets[i + 1])
-                left, removed, number, last = [], 0, 0, base
-                for s, e in sorted((p >> 32, p & 0xFFFFFFFF) for p in packed or ()):
-                    s, e = base + s, base + e
-                    if s > last or not number:
-                        left.append(every[last:s])
-                        number += 1
-                        last = s
-                    if e > last:
-                        removed += e - last
-                        last = e
-                left.append(every[last:end])
-                out.append((end - base, removed, number, b"".join(left)))
-            yield pa.RecordBatch.from_arrays(columns(batch.columns[: len(names)], out), names=schema.names)
-
-    return joined.mapInArrow(run, schema)
-
-
-def remove_repeats(df: DataFrame, length: int = 400, text: str = "text") -> DataFrame:
-    """df with n_bytes, n_removed, n_spans and kept_bytes (binary), and its own columns.
+            texts = [raw[a:b].tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
+            spans = [[_unpacked(p) for p in batch.column(len(names) + i).to_pylist()] for i in range(len(found))]
+            yield pa.RecordBatch.from_arrays(columns(batch.columns[: len(names)], texts, *spans), names=schema.names)
+
+    return arrow_map(rows.select(*names, *found), run, schema)
+
+
+def cut(text: bytes, spans: list[tuple[int, int]]) -> tuple[int, int, bytes]:
+    """(bytes removed, runs removed, what is left) of a text without its spans."""
+    left, removed, number, last = [], 0, 0, 0
+    for s, e in spans:
+        if s > last or not number:
+            left.append(text[last:s])
+            number += 1
+            last = s
+        if e > last:
+            removed += e - last
+            last = e
+    left.append(text[last:])
+    return removed, number, b"".join(left)
+
+
+def remove_repeats(df: DataFrame, length: int = 400, text: str = "text", shortest: int | None = None, words: int = WORDS) -> DataFrame:
+    """df with n_bytes, n_removed, n_spans and kept_bytes (binary), and its own columns; with `shortest` n_passages as well.
 
     A null text counts as empty; texts shorter than `length` lose nothing; equal texts of that length lose everything; rows
     may repeat, and an empty table stays empty. What is left need not be whole characters: see `clean`. Columns of these
-    four names are replaced; all others, whatever their names, are carried along.
+    names are replaced; all others, whatever their names, are carried along.
+
+    n_passages reports repeats that are too short to be removed: the removed runs, or where there are none, the runs of
+    repeated strings of `shortest` bytes that hold more than `words` whole words.
     """
-    df = df.drop("n_bytes", "n_removed", "n_spans", "kept_bytes")
+    given = ["n_bytes", "n_removed", "n_spans", "kept_bytes", *(["n_passages"] if shortest else [])]
+    df = df.drop(*given)
     schema = df.select("*").schema.add("n_bytes", "long").add("n_removed", "long").add("n_spans", "long").add("kept_bytes", "binary")
+    schema = schema.add("n_passages", "long") if shortest else schema
 
-    def columns(given: list[pa.Array], out: list[tuple]) -> list[pa.Array]:
-        found = list(zip(*out, strict=True))
-        return [*given, *[pa.array(c, pa.int64()) for c in found[:3]], pa.array(found[3], pa.binary())]
+    def columns(own: list[pa.Array], texts: list[bytes], spans: list, short: list | None = None) -> list[pa.Array]:
+        found = [cut(t, s) for t, s in zip(texts, spans, strict=True)]
+        out = [pa.array([len(t) for t in texts], pa.int64()), *[pa.array([f[i] for f in found], pa.int64()) for i in range(2)], pa.array([f[2] for f in found], pa.binary())]
+        if short is not None:
+            out.append(pa.array([f[1] or sum(whole_words(t, a, b) > words for a, b in s) for f, t, s in zip(found, texts, short, strict=True)], pa.int64()))
+        return [*own, *out]
 
-    return _without_repeats(df, length, text, schema, columns)
+    return _judged(df, text, schema, [length, *([shortest] if shortest else [])], columns)
 
 
-def clean(df: DataFrame, length: int = 400, text: str = "text") -> DataFrame:
-    """df with its texts rid of repeats; a character that a removed run cuts goes as a whole, a null text stays null."""
+def clean(df: DataFrame, length: int = 400, text: str = "text", shortest: int | None = None, words: int = WORDS) -> DataFrame:
+    """df with its texts rid of repeats; a character that a removed run cuts goes as a whole, a null text stays null.
+
+    With `shortest`, runs of repeated strings of that many bytes go too if they hold more than `words` whole words.
+    """
     at = df.columns.index(text)
 
-    def columns(given: list[pa.Array], out: list[tuple]) -> list[pa.Array]:
-        kept = [old if not gone else left.decode("utf-8", "ignore") for old, (_, gone, _, left) in zip(given[at].to_pylist(), out, strict=True)]
-        return [pa.array(kept, pa.string()) if i == at else c for i, c in enumerate(given)]
+    def columns(own: list[pa.Array], texts: list[bytes], spans: list) -> list[pa.Array]:
+        long = [[(a, b) for a, b in s if b - a >= length or whole_words(t, a, b) > words] for t, s in zip(texts, spans, strict=True)]
+        kept = [old if not s else cut(t, s)[2].decode("utf-8", "ignore") for old, t, s in zip(own[at].to_pylist(), texts, long, strict=True)]
+        return [pa.array(kept, pa.string()) if i == at else c for i, c in enumerate(own)]
 
-    return _without_repeats(df, length, text, df.schema, columns)
+    return _judged(df, text, df.schema, [shortest or length], columns)
 
 
 def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """All documents, rid of every byte in a 400-byte string that starts twice or more in them."""
-    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
-    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    """All documents, rid of every byte in a 400-byte string that starts twice or more in them.
+
+    n_passages also counts the passages of over 50 words that stand twice or more and are shorter than that.
+    """
+    found = remove_repeats(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), shortest=PASSAGE)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"), "n_passages")
