@@ -16,9 +16,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import share, slices
+from corpusloom.llm.common import arrow_map, share, slices, spread
 
-#: The bounded labelled sample of each language: characters, documents, characters from one document.
+#: The bounded labelled sample of each language: characters, documents, characters from one document (at a hashed place).
 SAMPLE_CHARS, SAMPLE_DOCS, DOC_CHARS = 40_000, 200, 1_000
 #: Languages that texts are parsed against at once; a parse begins anew every SEGMENT characters, so that a long text is
 #: as many short parses.
@@ -212,7 +212,8 @@ def train(df: DataFrame, text: str = "text", label: str = "lang", id_col: str =
         return CrossParser({})
     limits = [(k, min(1 << 30, -(-(2 * SAMPLE_DOCS << 30) // n))) for k, n in sorted(counts.items())]
     limit = F.broadcast(df.sparkSession.createDataFrame(limits, "lang string, most long"))
-    found = rows.join(limit, "lang").where(rank < F.col("most")).select("lang", rank.alias("r"), F.substring("text", 1, DOC_CHARS).alias("text"))
+    place = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("place")), F.greatest(F.length("text") - DOC_CHARS + 1, F.lit(1)).cast("long"))
+    found = rows.join(limit, "lang").where(rank < F.col("most")).select("lang", rank.alias("r"), F.substr(F.col("text"), (place + 1).cast("int"), F.lit(DOC_CHARS)).alias("text"))
     samples: dict[str, list] = {}
     for r in found.collect():
         samples.setdefault(r["lang"], []).append((r["r"], r["text"]))
@@ -232,11 +233,11 @@ def identify(df: DataFrame, parser: CrossParser, text: str = "text", out: tuple[
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = pickle.loads(shared.value)
-        for batch in slices(batches, text, 8 << 20):
+        for batch in slices(batches, text, 2 << 20):
             found, score = model.predict([t or "" for t in batch.column(at).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string()), pa.array(score, pa.float64())], names=[*names, *out])
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def fold(id_col: str, of: int) -> Column:
@@ -245,7 +246,7 @@ def fold(id_col: str, of: int) -> Column:
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
     """Every document's language, learnt from the labelled documents outside fold 0 of 5."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang"))
     held_out = F.coalesce(fold("doc_id", 5) == 0, F.lit(False))
     parser = train(docs.where(~held_out))
     found = identify(docs.select("doc_id", held_out.alias("held_out"), "text"), parser)
