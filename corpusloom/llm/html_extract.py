@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import slices
+from corpusloom.llm.common import arrow_map, slices
 
 #: Element names by what they do, and the words in classes, ids and roles that mark what is not the article.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -45,9 +45,13 @@ FLOW = HEADINGS | frozenset("p pre blockquote ul ol dl table figure details".spl
 #: A start tag of the first kind ends an open element of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("table td th ul ol dl div section article main body html blockquote form".split())
+LOOKED_FOR = SCOPE | frozenset("p li dt dd tr option".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s"'=<>/]++)(?:\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++))?+""")
+_PLAIN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|()()()<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.S)
+#: After so many tags whose quotes do not end, quotes are looked at no more; else each such tag is read to the page's end.
+UNENDED = 1_000
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
@@ -99,9 +103,12 @@ class Page:
         self.blocks: list[tuple[int, str, int]] = []
         self.links, self.pieces, self.linked = 0, [], []
         self.stack = [0]
-        at, end = 0, len(source)
+        self.blocks_open = [0]  # places in the stack of open blocks
+        self.ending: list[int] = []  # places of open elements that end what a start tag looks for
+        self.places: dict[str, list[int]] = {}  # places of open elements by name
+        at, end, unended, token = 0, len(source), 0, _TOKEN
         while at < end:
-            m = _TOKEN.search(source, at)
+            m = token.search(source, at)
             if m is None:
                 self.text(source[at:])
                 break
@@ -116,6 +123,9 @@ class Page:
                 self.close(name)
                 continue
             attributes = m[3] if m[2] else m[6]
+            if m[5] and ('"' in attributes or "'" in attributes):
+                unended += 1
+                token = token if unended < UNENDED else _PLAIN
             self.open(name, attributes)
             if name in RAW and not attributes.endswith("/"):
                 stop = re.compile(rf"</{re.escape(name)}\s*+[^>]*+(?:>|\Z)", re.I).search(source, at)
@@ -132,7 +142,7 @@ class Page:
             self.held += 0.05 * len(raw) + commas(raw)
 
     def holder(self) -> int:
-        return next(n for n in reversed(self.stack) if self.tag[n] in BLOCK or n == 0)
+        return self.stack[self.blocks_open[-1]]
 
     def flush(self) -> None:
         """The text since the last edge of a block becomes a block."""
@@ -145,7 +155,11 @@ class Page:
     def pop_to(self, depth: int) -> None:
         for n in self.stack[depth:]:
             self.links -= self.tag[n] == "a"
+            self.places[self.tag[n]].pop()
         del self.stack[depth:]
+        for kept in (self.blocks_open, self.ending):
+            while kept and kept[-1] >= depth:
+                kept.pop()
 
     def open(self, name: str, attributes: str) -> None:
         if name == "br":
@@ -153,7 +167,7 @@ class Page:
             return
         if name in BLOCK:
             self.flush()
-            for depth in range(len(self.stack) - 1, 0, -1):
+            for depth in reversed(self.ending):
                 tag = self.tag[self.stack[depth]]
                 if tag in ENDS.get(name, ()) or tag == "p":
                     self.pop_to(depth)
@@ -173,18 +187,20 @@ class Page:
             out = max(out, int(mark))
         self.out.append(out)
         if not attributes.endswith("/") or name in BLOCK or name == "a":
+            place = len(self.stack)
             self.stack.append(len(self.tag) - 1)
+            self.places.setdefault(name, []).append(place)
+            if name in BLOCK:
+                self.blocks_open.append(place)
+            if name in LOOKED_FOR:
+                self.ending.append(place)
             self.links += name == "a"
 
     def close(self, name: str) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            if self.tag[self.stack[depth]] == name:
-                if name in BLOCK:
-                    self.flush()
-                self.pop_to(depth)
-                return
-            if name not in BLOCK and self.tag[self.stack[depth]] in BLOCK:
-                return
+        if self.places.get(name) and (name in BLOCK or self.places[name][-1] > self.blocks_open[-1]):
+            if name in BLOCK:
+                self.flush()
+            self.pop_to(self.places[name][-1])
 
 
 def read(source: str) -> Page:
@@ -260,11 +276,12 @@ def beside(page: Page, best: int, kept: list[bool], size: list[int], linked: lis
     that nothing kept follows do not.
     """
     above = page.parent[best]
+    under = [0] * len(page.tag)  # the child of `above` that a node is or stands in
+    for i in range(1, len(under)):
+        under[i] = i if page.parent[i] == above else under[page.parent[i]]
     units: list[list] = []  # node or -1, blocks, points, whether it may go with kept ones, whether it is kept
     for k, (node, text, in_links) in enumerate(page.blocks):
-        child = node
-        while child > 0 and page.parent[child] != above:
-            child = page.parent[child]
+        child = under[node]
         if node == above:
             units.append([-1, [k], value(text), min(in_links, len(text)) < 0.25 * len(text), False])
         elif child > 0:
@@ -309,7 +326,7 @@ def extract(df: DataFrame, column: str = "html", out: str = "text") -> DataFrame
             texts = [main_text(x) for x in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in rest], pa.array(texts, pa.string())], names=[*rest, out])
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def op9_html_extraction(spark, sf_dir: str) -> DataFrame:
