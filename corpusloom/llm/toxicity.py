@@ -15,11 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import HASH_CODES, INVERSE_BASE, LOWER_BYTES, mix, power_table, share, slices, text_bytes
+from corpusloom.llm.common import HASH_CODES, INVERSE_BASE, LOWER_BYTES, arrow_map, materialize, mix, power_table, share, slices, spread, text_bytes
 from corpusloom.llm.language_id import fold
 
 #: The bounded sample: rows with label 1 and label 0; and terms that are kept, by the size of their association.
 MAX_POSITIVE, MAX_NEGATIVE, MAX_TERMS = 4_000, 8_000, 4_096
+#: The sample's terms in bytes (4 each); frequent terms that are tried in pairs, and the z-value that a pair must reach.
+MAX_BYTES, PAIRED, PAIR_Z = 64 << 20, 1_024, 6.0
 FACTORS, EPOCHS, THRESHOLD = 6, 40, 0.3
 PREFIX = 4
 _WORD = np.zeros(256, bool)
@@ -75,8 +77,28 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.margin(text, place, n)[0], -30, 30)))
 
 
+def pairs_that_tell(rows: list[np.ndarray], labels: np.ndarray, names: np.ndarray, total: np.ndarray, screened: np.ndarray) -> np.ndarray:
+    """Places (in names) of terms that tell nothing alone but do in pairs: of the PAIRED most frequent terms that the screening
+    left out, those in a pair whose rows have label 1 more or less often than all rows, by a z-value of PAIR_Z."""
+    rest = np.setdiff1d(np.flatnonzero((total >= 3) & (total <= 0.9 * max(len(rows), 1))), screened)
+    rest = np.sort(rest[np.argsort(-total[rest], kind="stable")[:PAIRED]])
+    if len(rest) < 2 or not 0 < labels.sum() < len(labels):
+        return rest[:0]
+    there = np.zeros((len(rows), len(rest)), np.float32)
+    for i, r in enumerate(rows):
+        at = np.searchsorted(names[rest], r)
+        at = at[(at < len(rest)) & (names[rest][np.minimum(at, len(rest) - 1)] == r)]
+        there[i, at] = 1
+    ones, share = there[labels > 0], float((labels > 0).mean())
+    hits, both = ones.T @ ones, there.T @ there
+    z = np.abs(hits - both * share) / np.sqrt(np.maximum(both * share * (1 - share), 1))
+    np.fill_diagonal(z, 0)
+    return rest[(z >= PAIR_Z).any(axis=0)]
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: int = 7) -> Machine:
-    """Terms are screened by the z-value of their log odds, then weights and factors are learnt by Adam on the logistic loss."""
+    """Terms are screened by the z-value of their log odds, alone and in pairs, then weights and factors are learnt by Adam on
+    the logistic loss."""
     lengths = np.array([len(r) for r in rows], np.int64)
     every = np.concatenate(rows) if rows else np.zeros(0, np.uint32)
     label_of = np.repeat(labels, lengths)
@@ -87,7 +109,8 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, seed: i
     odds = np.log((hits + 0.5) / n1) - np.log((total - hits + 0.5) / n0)
     z = np.abs(odds) / np.sqrt(1 / (hits + 0.5) + 1 / (total - hits + 0.5))
     good = np.flatnonzero((total >= 3) & (z > 2.5))
-    kept = np.sort(names[good[np.argsort(-z[good], kind="stable")[:MAX_TERMS]]]) if len(good) else np.zeros(0, np.uint32)
+    good = good[np.argsort(-z[good], kind="stable")[:MAX_TERMS]]
+    kept = np.sort(names[np.concatenate([good, pairs_that_tell(rows, labels, names, total, good)])])
     machine = Machine(kept, seed)
     base = float((weights * labels).sum() + 0.5) / float(weights.sum() + 1)
     machine.bias = float(np.log(base / (1 - base)))
@@ -133,11 +156,12 @@ def hashed_terms(df: DataFrame, text: str = "text") -> DataFrame:
             found = [term[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in rest], pa.array(found, pa.binary())], names=[*rest, "terms"])
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text: str = "text") -> Machine:
-    """A machine from at most MAX_POSITIVE and MAX_NEGATIVE labelled rows, those with the smallest hashes.
+    """A machine from at most MAX_POSITIVE and MAX_NEGATIVE labelled rows, those with the smallest hashes; of fewer where their
+    terms take more than MAX_BYTES.
 
     A label that is null teaches nothing; of several labels of one document the largest counts. The sample's ids are joined
     by broadcast: they are bounded by these parameters.
@@ -149,6 +173,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     limit = F.when(F.col("y") == 1, F.lit(-(-(most[1] << 30) // max(n.get(1, 1), 1)))).otherwise(F.lit(-(-(most[0] << 30) // max(n.get(0, 1), 1))))
     sample = marked.where(rank < limit)
     rows = hashed_terms(docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(sample), "doc_id").select("y", "doc_id", "text"))
+    rows = materialize(rows.withColumn("part", rank / limit), "sample")
+    size = rows.agg(F.sum(F.octet_length("terms"))).first()[0] or 0
+    rows = rows.where(F.col("part") < MAX_BYTES / size) if size > MAX_BYTES else rows
     found = sorted((r["doc_id"], r["y"], bytes(r["terms"])) for r in rows.collect())
     y = np.array([r[1] for r in found], float)
     share_of = {k: max(1.0, n.get(k, 0) / max(1, int((y == k).sum()))) for k in (0, 1)}
@@ -170,12 +197,12 @@ def classify(df: DataFrame, machine: Machine, threshold: float = THRESHOLD, text
             score = model.score(*model.keep(*terms(*text_bytes(batch.column(names.index(text))))), batch.num_rows)
             yield pa.RecordBatch.from_arrays([*[batch.column(names.index(c)) for c in rest], pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32), pa.int32())], names=[*rest, "score", "predicted"])
 
-    return df.mapInArrow(run, schema)
+    return arrow_map(df, run, schema)
 
 
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     """Every document's toxicity, learnt from the labelled rows outside remainder 2 of 4."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     held_out = F.coalesce(fold("doc_id", 4) == 2, F.lit(False))
     machine = train(docs, labels.where(~held_out))
