@@ -97,7 +97,8 @@ def parse_chats(df: DataFrame) -> DataFrame:
 
 def op4_chat_format(spark, sf_dir: str) -> DataFrame:
     """All conversations and conversation -1, formatted and read back from the output."""
-    extra = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    says = "'</s>[INST] ok [/INST]'"
+    extra = spark.sql(f"SELECT * FROM VALUES (-1L, 0L, 'user', {says}), (-1L, 1L, 'assistant', {says}) AS t(conv_id, turn, role, text)")
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra)
     read = parse_chats(format_chats(rows))
     loss = F.array_join("loss_texts", "")

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import let
+from corpusloom.llm.common import let, spread
 
 #: Words of a window, least share of an item's words that an alignment covers, words by which an alignment may shift.
 WINDOW, COVERED, SHIFT = 5, 0.8, 8
@@ -148,4 +148,4 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED
 
 def op2_decontamination(spark, sf_dir: str) -> DataFrame:
     """All documents against the whole benchmark."""
-    return contaminated(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))
+    return contaminated(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text"))

@@ -7,10 +7,12 @@ rule of a policy removes, and what only it removes.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import let, words
+from corpusloom.llm.common import let, spread, words
 
 #: Characters that count as symbols, words in a window.
 SYMBOLS, WINDOW = "#*$%&|<>", 8
@@ -62,10 +64,11 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(whole, "\n"), lambda line: line.rlike("[^ \\t-\\r]"))
     n_lines = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("dup")))
     counted = let(words(F.col(text)), lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).cast("long").alias("again")))
+    of_words, of_lines = (f"{name}_{uuid.uuid4().hex}" for name in ("words", "lines"))  # no column of df has these names
     return (
-        df.withColumns({"_words": counted, "_lines": n_lines, "word_chars": solid.cast("long"), "n_symbols": (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long")})
-        .withColumns({"n_words": F.col("_words.n"), "n_repeat_words": F.col("_words.again"), "n_lines": F.col("_lines.n"), "n_dup_lines": F.col("_lines.dup")})
-        .drop("_words", "_lines")
+        df.withColumns({of_words: counted, of_lines: n_lines, "word_chars": solid.cast("long"), "n_symbols": (F.length(whole) - F.length(F.translate(whole, SYMBOLS, ""))).cast("long")})
+        .withColumns({"n_words": F.col(f"{of_words}.n"), "n_repeat_words": F.col(f"{of_words}.again"), "n_lines": F.col(f"{of_lines}.n"), "n_dup_lines": F.col(f"{of_lines}.dup")})
+        .drop(of_words, of_lines)
     )
 
 
@@ -98,7 +101,7 @@ def ablations(led: DataFrame, policy: str = "v1") -> DataFrame:
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     """The ledger of all documents under policy v1."""
-    led = apply_policy(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "v1")
+    led = apply_policy(ledger(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))), "v1")
     base = F.col("failed_bits").bitwiseAND(F.lit(mask("base"))) != 0
     return led.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "n_lines", "failed_bits")
 
