@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-
-from corpusloom.functions.columns import let
+from pyspark.sql import types as T
 
 
 def keyword_verdict(text: Column, keywords: Column) -> Column:
@@ -33,24 +33,29 @@ def relative_change(before: Column, after: Column, digits: int = 2) -> Column:
     return F.round(F.when(before != 0, 100 * (1 - after / before)), digits)
 
 
-def rouge_l(prediction: Column, reference: Column) -> Column:
-    """F1 of the longest common subsequence of lower-cased words; 0 if a side has none.
+@F.pandas_udf(T.IntegerType())
+def common_subsequence(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Length of the longest common subsequence of two word lists, by rows of bits; a fold in the JVM would copy a row for each word."""
 
-    One row of the usual table is folded over the prediction's words, so it stays in the JVM: time is the product of the
-    word counts, memory one row.
-    """
+    def length(x, y) -> int:
+        places: dict[str, int] = {}
+        for i, w in enumerate(y):
+            places[w] = places.get(w, 0) | 1 << i
+        every = (1 << len(y)) - 1
+        row = every
+        for w in x:
+            met = row & places.get(w, 0)
+            row = (row + met | row - met) & every
+        return len(y) - row.bit_count()
 
-    def words(text: Column) -> Column:
-        return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\W+"), lambda w: w != "")
+    return pd.Series([length(x, y) for x, y in zip(a, b, strict=True)], dtype="int32")
 
-    def row(old: Column, word: Column, other: Column) -> Column:
-        # new[j] = old[j-1] + 1 where the words agree, else the larger of old[j] and new[j-1]: a running maximum
-        cells = F.transform(other, lambda w, j: F.when(w == word, F.when(j == 0, F.lit(1)).otherwise(F.get(old, j - 1) + 1)).otherwise(F.get(old, j)))
-        return F.aggregate(cells, F.struct(F.array().cast("array<int>").alias("row"), F.lit(0).alias("top")), lambda acc, x: let(F.greatest(acc["top"], x), lambda top: F.struct(F.array_append(acc["row"], top).alias("row"), top.alias("top"))), lambda acc: acc["row"])
 
-    def score(both: Column) -> Column:
-        p, r = both["p"], both["r"]
-        lcs = F.aggregate(p, F.array_repeat(F.lit(0), F.size(r)), lambda old, word: row(old, word, r), lambda last: F.coalesce(F.array_max(last), F.lit(0)))
-        return let(lcs, lambda n: F.when((F.size(p) == 0) | (F.size(r) == 0) | (n == 0), F.lit(0.0)).otherwise(2.0 * n / (F.size(p) + F.size(r))))
+def rouge_l(prediction: Column, reference: Column) -> Column:
+    """F1 of the longest common subsequence of lower-cased words; 0 if a side has none."""
+
+    def words(text: Column) -> Column:
+        return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\W+"), lambda w: w != "")
 
-    return let(F.struct(words(prediction).alias("p"), words(reference).alias("r")), score)
+    p, r = words(prediction), words(reference)
+    return 2.0 * common_subsequence(p, r) / F.greatest(F.size(p) + F.size(r), F.lit(1))

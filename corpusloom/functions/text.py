@@ -82,6 +82,23 @@ def clean_text(text: Column, boilerplate: Column | None = None) -> Column:
     return F.regexp_replace(F.regexp_replace(joined, r"\n{3,}", "\n\n"), r"^\s+|\s+$", "")
 
 
+def strip_edge_numbers(page: Column) -> Column:
+    """A page whose first and last lines that are not blank are emptied if they hold a page number and nothing else."""
+
+    def of(lines: Column) -> Column:
+        filled = F.filter(F.transform(lines, lambda x, i: F.when(x.rlike(r"(?U)\S"), i)), lambda i: i.isNotNull())
+        ends = lambda f: F.transform(lines, lambda x, i: F.when(((i == F.array_min(f)) | (i == F.array_max(f))) & x.rlike(EDGE_NUMBER), F.lit("")).otherwise(x))
+        return F.array_join(let(filled, ends), "\n")
+
+    return let(F.split(F.coalesce(page, F.lit("")), "\n"), of)
+
+
+def strip_all_edge_numbers(text: Column) -> Column:
+    """The same for every page of a page-marked text, whose marks stay as they are."""
+    parts = F.split(F.coalesce(text, F.lit("")), rf"(?={PAGE_MARK})|(?<=--- PAGE \d{{1,9}} ---)")
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(rf"^\s*{PAGE_MARK}\s*$"), x).otherwise(strip_edge_numbers(x))), "")
+
+
 def normalized_digest(text: Column) -> Column:
     """SHA-256 of the lower-cased words, one space between; null counts as empty."""
     return F.sha2(F.lower(F.array_join(word_list(text), " ")), 256)
@@ -101,6 +118,15 @@ def shingles(text: Column, size: int = 5) -> Column:
     return let(alnum_words(text), of)
 
 
+def shingle_hashes(text: Column, size: int = 5) -> Column:
+    """array<bigint>: 64-bit hashes of the distinct word shingles, made of the words' own hashes, so that no shingle is put together."""
+
+    def of(codes: Column) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(codes) - size + 1)), lambda i: F.xxhash64(F.slice(codes, i, size))))
+
+    return let(F.transform(alnum_words(text), lambda w: F.xxhash64(w)), of)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Of two arrays without repeats; 0 if one is empty."""
     both = F.size(F.array_intersect(a, b))

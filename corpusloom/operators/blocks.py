@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions import text as X
 from corpusloom.operators.prefix import prefix_sums
+from corpusloom.sources.tables import few, materialize
 
 #: Ids of the start and end tokens, and the number of ids that the built-in tokenizer hashes words to, from 3 on.
 BOS, EOS, HASHED = 1, 2, 30_000
@@ -31,17 +32,20 @@ def pack_blocks(encoded: DataFrame, size: int = 2048, split: str = "split", orde
     `train`). Offsets come from prefix sums over the documents; tokens move once, dealt by block.
     """
     keep = (F.col(split) != "train") if keep_remainder is None else keep_remainder
-    lengths = encoded.select(split, order, F.size("ids").cast("long").alias("_n"))
-    placed = prefix_sums(lengths, [split, order], "_n", "_before")
-    base = placed.groupBy(split).agg(F.min("_before").alias("_base"))  # one row for each split
-    offsets = placed.join(F.broadcast(base), split).select(split, order, (F.col("_before") - F.col("_base")).alias("_at"))
-    # a document gives one slice for each block it touches
-    rows = encoded.select(split, order, "ids").join(offsets, [split, order])
-    first, last = F.col("_at") / size, (F.col("_at") + F.size("ids") - 1) / size
-    pieces = rows.select(split, "ids", "_at", F.explode(F.sequence(F.floor(first), F.floor(last))).alias("block"))
-    start = F.greatest(F.col("block") * size - F.col("_at"), F.lit(0)).cast("int")
-    end = F.least((F.col("block") + 1) * size - F.col("_at"), F.size("ids")).cast("int")
-    cut = pieces.select(split, "block", (F.col("_at") + start).alias("g"), F.slice("ids", start + 1, end - start).alias("part"))
+    counted = materialize(encoded.select(split, order, "ids", F.size("ids").cast("long").alias("_n")), "encoded")
+    placed = prefix_sums(counted, [split, order], "_n", "_before")
+    first = few(materialize(counted.groupBy(split).agg(F.sum("_n").alias("_all")), "totals"))  # a row for each split
+    base = first.alias("a").join(first.alias("b"), F.col(f"b.{split}") < F.col(f"a.{split}"), "left").groupBy(F.col(f"a.{split}").alias(split)).agg(F.coalesce(F.sum("b._all"), F.lit(0)).alias("_base"))
+    at = F.col("_before") - F.col("_base")
+    rows = placed.join(F.broadcast(base), split).select(split, "ids", at.alias("_at"), F.size("ids").alias("_n"))
+
+    def piece(block: Column) -> Column:
+        start = F.greatest(block * size - F.col("_at"), F.lit(0)).cast("int")
+        end = F.least((block + 1) * size - F.col("_at"), F.col("_n")).cast("int")
+        return F.struct(block.alias("block"), (F.col("_at") + start).alias("g"), F.slice("ids", start + 1, end - start).alias("part"))
+
+    # a document gives one slice for each block it touches; the slices are cut before rows are made, so ids are copied once
+    cut = rows.where("_n > 0").select(split, F.explode(F.transform(F.sequence(F.floor(F.col("_at") / size), F.floor((F.col("_at") + F.col("_n") - 1) / size)), piece)).alias("c")).select(split, "c.*")
     blocks = cut.groupBy(split, "block").agg(F.sort_array(F.collect_list(F.struct("g", "part"))).alias("p")).select(split, "block", F.flatten("p.part").alias("input_ids"))
     return blocks.where((F.size("input_ids") == size) | keep & (F.size("input_ids") > 1))
 
@@ -66,6 +70,26 @@ def uneven_blocks(blocks: DataFrame, size: int, split: str = "split") -> DataFra
     return blocks.where(F.col(split) == "train").agg(F.count_if(F.size("input_ids") != size).alias("uneven"))
 
 
+def build_packed(documents: DataFrame, size: int = 2048, tokenizer: Callable[[Column], Column] = hash_tokens, optional: tuple[str, ...] = ("eval_unseen",), splits: tuple[str, ...] = ("train", "eval", "eval_unseen"), bos: int = BOS, eos: int = EOS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(blocks, document lengths, statistics) of documents (split, document_id, text); see pack_blocks and token_statistics.
+
+    A split that gives no block raises ValueError, an optional one without documents is left out. Train blocks of another
+    size than `size` raise as well.
+    """
+    encoded = materialize(encode(documents.select("split", "document_id", "text"), tokenizer, bos, eos).select("split", "document_id", "ids"), "tokens")
+    blocks = materialize(pack_blocks(encoded, size), "blocks")
+    stats = materialize(token_statistics(encoded, blocks), "statistics")
+    found = {r["split"]: r for r in stats.where(F.col("split").isin(*splits)).collect()}  # a row for each split
+    for name in splits:
+        if name not in found and name in optional:
+            continue
+        if name not in found or not found[name]["blocks"]:
+            raise ValueError(f"{name}: only {found[name]['tokens'] if name in found else 0} tokens, fewer than one block of {size}; add documents or make blocks smaller")
+    if uneven_blocks(blocks, size).first()["uneven"]:
+        raise ValueError(f"a train block does not have {size} tokens")
+    return blocks, encoded.select("split", "document_id", F.size("ids").cast("long").alias("tokens")), stats
+
+
 def training_examples(blocks: DataFrame) -> DataFrame:
     """input_ids, attention_mask (all ones), labels (the ids)."""
     return blocks.select("input_ids", F.transform("input_ids", lambda _: F.lit(1)).alias("attention_mask"), F.col("input_ids").alias("labels"))

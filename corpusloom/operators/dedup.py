@@ -11,66 +11,109 @@ from pyspark.sql import functions as F
 
 from corpusloom.config import Settings
 from corpusloom.functions import text as X
-from corpusloom.sources.tables import materialize
+from corpusloom.sources.tables import BROADCAST_ROWS, few, materialize
 
+#: Rows of one key that a join by parts gives to one task.
+SPREAD = 1_000
 REASONS = ("below_min_words", "exact_duplicate", "near_duplicate", "language_detection_failed", "non_english", "passes_filters")
 
 
 def exact_duplicates(df: DataFrame, order: str = "doc_id", digest: str = "digest") -> DataFrame:
-    """df with first_of: the first document, in order, of its digest; partial aggregation, so a digest may have any number."""
-    first = df.groupBy(digest).agg(F.min(order).alias("first_of"))
-    return df.join(first, digest)
+    """df with first_of: the first document, in order, of its digest. A null digest is a digest like any other.
+
+    Only digests that occur twice are joined; by broadcast up to a number of rows, beyond it in parts, so that a digest may
+    have any number of documents.
+    """
+    parts = F.ceil(F.count("*") / SPREAD)
+    repeated = df.groupBy(digest).agg(F.min(order).alias("first_of"), parts.alias("parts"), F.count("*").alias("n")).where("n > 1").drop("n")
+    rows, keyed = df.withColumn("_digest", F.coalesce(digest, F.lit(""))), repeated.withColumn(digest, F.coalesce(digest, F.lit(""))).withColumnRenamed(digest, "_digest")
+    return join_parts(rows, keyed, "_digest", order).withColumn("first_of", F.coalesce("first_of", order)).drop("_digest")
+
+
+def join_parts(rows: DataFrame, keyed: DataFrame, key: str, deal: str, how: str = "left") -> DataFrame:
+    """rows with the columns of keyed (key, parts and others; one row for each key).
+
+    A small `keyed` is broadcast. Otherwise rows of a key of several parts are dealt out by `deal`, and the key's row goes
+    to each part, so that no task gets all rows of a frequent key.
+    """
+    keyed = materialize(keyed, "keyed")
+    if keyed.count() <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keyed.drop("parts")), key, how)
+    hot = few(materialize(keyed.where("parts > 1").select(key, "parts"), "hot"))
+    dealt = rows.join(hot, key, "left").withColumn("_part", F.pmod(F.xxhash64(deal), F.coalesce("parts", F.lit(1)))).drop("parts")
+    copies = keyed.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    return dealt.join(copies, [key, "_part"], how).drop("_part")
 
 
-def shingle_rows(df: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, n (shingles of the document), s (hash of one of them)."""
-    sets = df.select("doc_id", X.shingles(F.col("text"), size).alias("set"))
-    return sets.select("doc_id", F.size("set").alias("n"), F.explode("set").alias("shingle")).select("doc_id", "n", F.xxhash64("shingle").alias("s"))
+def first_documents(cleaned: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, first_of of every document; the rows of those that are the first of their digest). cleaned: a written table
+    with doc_id and digest, of which only these move."""
+    firsts = materialize(exact_duplicates(cleaned.select("doc_id", "digest")).select("doc_id", "first_of"), "firsts")
+    copies = few(materialize(firsts.where("doc_id <> first_of").select("doc_id"), "copies"))
+    return firsts, cleaned.join(copies, "doc_id", "left_anti")
+
+
+def shingle_sets(df: DataFrame, size: int = 5) -> DataFrame:
+    """doc_id, n (shingles of the document), set (their hashes), written."""
+    return materialize(df.select("doc_id", X.shingle_hashes(F.col("text"), size).alias("set")).select("doc_id", F.size("set").alias("n"), "set"), "sets")
 
 
 def similar_pairs(df: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
-    """later, earlier, similarity of the pairs of documents at or over the threshold, exactly.
+    """later, earlier, similarity of the pairs of documents at or over the threshold, exactly."""
+    return pairs_of_sets(shingle_sets(df, size), threshold)
+
+
+def pairs_of_sets(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """later, earlier, similarity of the pairs of sets (doc_id, n, set: a written table) at or over the threshold, exactly.
 
     Candidates by prefix filtering: shingles in the order of their document frequency, rarest first; two sets at the
-    threshold share one of the first n - ceil(threshold * n) + 1 of each, so only these are joined. A shingle that very many
-    documents have stands last in every order and is not joined unless it is all a document has. Sizes must fit too. The
-    candidates are confirmed on the full sets.
+    threshold share one of the first n - ceil(threshold * n) + 1 of each, so only these are joined. Shingles of one document
+    come first and meet nothing, so they are counted, not moved. A shingle that very many documents have stands last in every
+    order and is not joined unless it is all a document has. Sizes must fit too. The candidates are confirmed on the full
+    sets. Pairs are what is asked for, so a group of m documents that are all similar gives m * (m - 1) / 2 of them.
     """
-    rows = materialize(shingle_rows(df, size), "shingles")
-    frequency = rows.groupBy("s").agg(F.count("*").alias("f"))
-    ranked = rows.join(frequency, "s").withColumn("place", F.row_number().over(W.partitionBy("doc_id").orderBy("f", "s")))
-    prefix = ranked.where((F.col("f") > 1) & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)).select("s", "doc_id", "n")
+    each = sets.select("doc_id", "n", F.explode("set").alias("s"))
+    frequency = each.groupBy("s").agg(F.count("*").alias("f"), F.ceil(F.count("*") / SPREAD).alias("parts")).where("f > 1")
+    shared = join_parts(each, frequency, "s", "doc_id", "inner")
+    own = W.partitionBy("doc_id")
+    place = F.row_number().over(own.orderBy("f", "s")) + F.col("n") - F.count("*").over(own)
+    prefix = materialize(shared.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("s", "doc_id", "n"), "prefixes")
     a, b = (prefix.select("s", F.col("doc_id").alias(i), F.col("n").alias(f"n_{i}")) for i in ("later", "earlier"))
     pairs = a.join(b, "s").where((F.col("later") > F.col("earlier")) & (F.least("n_later", "n_earlier") >= threshold * F.greatest("n_later", "n_earlier") - 1e-9)).select("later", "earlier").distinct()
-    sets = rows.groupBy("doc_id").agg(F.collect_list("s").alias("set"))
-    both = pairs.join(sets.withColumnRenamed("doc_id", "later").withColumnRenamed("set", "sa"), "later").join(sets.withColumnRenamed("doc_id", "earlier").withColumnRenamed("set", "sb"), "earlier")
+    pairs = materialize(pairs, "pairs")
+    ends = materialize(pairs.select(F.col("later").alias("doc_id")).union(pairs.select("earlier")).distinct(), "ends")
+    ended = sets.join(few(ends), "doc_id", "left_semi")
+    both = pairs.join(ended.select(F.col("doc_id").alias("later"), F.col("set").alias("sa")), "later").join(ended.select(F.col("doc_id").alias("earlier"), F.col("set").alias("sb")), "earlier")
     return both.select("later", "earlier", X.jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def nearest_kept(df: DataFrame, kept: DataFrame, size: int = 5) -> DataFrame:
-    """doc_id, best (similarity, earlier) of each document of df that shares a shingle with an earlier one of kept (earlier), exactly.
+def nearest_kept(sets: DataFrame, kept: DataFrame) -> DataFrame:
+    """doc_id, best (similarity, earlier) of each of the sets (doc_id, n, set) that shares a shingle with an earlier one of kept (earlier), exactly.
 
     Without a threshold every pair with a shared shingle counts, so a shingle of f documents makes up to f * f / 2 rows before
     they are added up.
     """
-    rows = materialize(shingle_rows(df, size), "shingles")
+    each = sets.select("doc_id", "n", F.explode("set").alias("s"))
+    several = each.groupBy("s").agg(F.count("*").alias("f"), F.ceil(F.count("*") / SPREAD).alias("parts")).where("f > 1")
+    rows = materialize(join_parts(each, several, "s", "doc_id", "inner"), "shared")
     a, b = (rows.select("s", F.col("doc_id").alias(i), F.col("n").alias(f"n_{i}")) for i in ("later", "earlier"))
     shared = a.join(b.join(kept, "earlier", "left_semi"), "s").where("later > earlier").groupBy("later", "earlier", "n_later", "n_earlier").agg(F.count("*").alias("shared"))
     similarity = F.col("shared") / (F.col("n_later") + F.col("n_earlier") - F.col("shared"))
     return shared.groupBy(F.col("later").alias("doc_id")).agg(F.max(F.struct(similarity.alias("similarity"), "earlier")).alias("best"))
 
 
-def survivors(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200) -> DataFrame:
+def survivors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """doc_id, fate ('kept', 'near', 'blocked_language') of documents in a greedy pass: each is near if an earlier kept one is similar.
 
     nodes: doc_id, passes (whether it would be kept by what follows). edges: later, earlier. In a round, a document without
     an undecided or kept earlier neighbour is decided by `passes`; one with a kept earlier neighbour is near. Documents
-    without edges are decided in the first round. Each round is written to the shared folder.
+    without edges are decided in the first round. Each round is written to the shared folder, and decides the smallest
+    undecided document of every group at least, so there are as many rounds as the longest chain of decisions needs.
     """
     linked = edges.select(F.col("later").alias("doc_id")).union(edges.select(F.col("earlier").alias("doc_id"))).distinct()
     free = nodes.join(linked, "doc_id", "left_anti").select("doc_id", F.when(F.col("passes"), "kept").otherwise("blocked_language").alias("fate"))
     state = materialize(nodes.join(linked, "doc_id", "left_semi").select("doc_id", "passes", F.lit(None).cast("string").alias("fate")), "fates")
-    for _ in range(most_rounds):
+    while True:
         if state.where("fate is null").isEmpty():
             return free.unionByName(state.select("doc_id", "fate"))
         earlier = state.select(F.col("doc_id").alias("earlier"), F.col("fate").alias("f"))
@@ -78,7 +121,6 @@ def survivors(nodes: DataFrame, edges: DataFrame, most_rounds: int = 200) -> Dat
         after = state.join(seen, "doc_id", "left")
         new = F.when(F.col("kept_one"), F.lit("near")).when(F.coalesce(F.col("open_one"), F.lit(False)), F.lit(None)).when(F.col("passes"), F.lit("kept")).otherwise(F.lit("blocked_language"))
         state = materialize(after.select("doc_id", "passes", F.coalesce("fate", new).alias("fate")), "fates")
-    raise RuntimeError(f"documents undecided after {most_rounds} rounds")
 
 
 def cleaning_records(df: DataFrame, settings: Settings = Settings(), below: bool = True) -> DataFrame:
@@ -90,25 +132,27 @@ def cleaning_records(df: DataFrame, settings: Settings = Settings(), below: bool
     goes for another reason. max_similarity is that to the most similar earlier kept document, 0 if no shingle is shared, null
     below the minimum of words. Without `below`, only similarities at or over the threshold count; null if none does.
     """
-    docs = materialize(df.select("doc_id", "raw", "text", "lang").withColumns({"word_count": X.word_count(F.col("text")), "digest": X.normalized_digest(F.col("text"))}), "documents")
-    long_enough = docs.where(F.col("word_count") >= settings.min_words)
-    firsts = exact_duplicates(long_enough.select("doc_id", "digest"))
-    originals = long_enough.join(firsts.where("doc_id = first_of").select("doc_id"), "doc_id", "left_semi")
-    edges = materialize(similar_pairs(originals.select("doc_id", "text"), settings.near_dup_threshold, settings.shingle_words), "edges")
-    fate = materialize(survivors(originals.select("doc_id", F.coalesce(F.col("lang") == settings.language, F.lit(False)).alias("passes")), edges.select("later", "earlier")), "fate")
+    before, after = F.coalesce(F.length("raw"), F.lit(0)), F.coalesce(F.length("text"), F.lit(0))
+    cleaned = materialize(df.select("doc_id", "text", "lang", before.alias("before"), after.alias("after"), X.word_count(F.col("text")).alias("word_count"), X.normalized_digest(F.col("text")).alias("digest")), "cleaned")
+    docs = cleaned.drop("text")  # what follows moves texts no more, but for the sets of the originals
+    firsts, originals = first_documents(cleaned.where(F.col("word_count") >= settings.min_words))
+    sets = shingle_sets(originals, settings.shingle_words)
+    edges = materialize(pairs_of_sets(sets, settings.near_dup_threshold), "edges")
+    passes = F.coalesce(F.col("lang") == settings.language, F.lit(False))
+    fate = materialize(survivors(originals.select("doc_id", passes.alias("passes")), edges.select("later", "earlier")), "fate")
     kept = fate.where("fate = 'kept'").select(F.col("doc_id").alias("earlier"))
     if below:
-        best = nearest_kept(originals.select("doc_id", "text"), kept, settings.shingle_words)
+        best = nearest_kept(sets, kept)
     else:
         best = edges.join(kept, "earlier", "left_semi").groupBy(F.col("later").alias("doc_id")).agg(F.max(F.struct("similarity", "earlier")).alias("best"))
     none = F.when(F.col("fate").isNotNull() & F.lit(below), F.lit(0.0))
-    every = docs.join(firsts.select("doc_id", "first_of"), "doc_id", "left").join(fate, "doc_id", "left").join(best, "doc_id", "left")
+    every = docs.join(firsts, "doc_id", "left").join(fate, "doc_id", "left").join(best, "doc_id", "left")
     copy = F.col("first_of").isNotNull() & (F.col("first_of") != F.col("doc_id"))
     reason = (
         F.when(F.col("word_count") < settings.min_words, REASONS[0]).when(copy, REASONS[1]).when(F.col("fate") == "near", REASONS[2])
         .when(F.col("fate") == "kept", REASONS[5]).when(F.col("lang").isNull(), REASONS[3]).otherwise(REASONS[4])
     )
-    before, after = F.coalesce(F.length("raw"), F.lit(0)), F.coalesce(F.length("text"), F.lit(0))
+    before, after = F.col("before"), F.col("after")
     return every.withColumn("reason", reason).select(
         "doc_id",
         F.col("word_count").cast("long").alias("word_count"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from corpusloom.config import Settings
 from corpusloom.functions import text as X
 from corpusloom.functions.columns import let, seeded
+from corpusloom.operators.prefix import numbered
 from corpusloom.operators.split import grouped_split
 from corpusloom.sources.tables import materialize
 
@@ -162,7 +163,7 @@ def filter_pairs(pairs: DataFrame) -> DataFrame:
     return kept.where(~F.col("response").rlike(X.DOT_LEADER) & ~F.col("response").rlike(CONTENTS_LIKE) & ~F.col("response").endswith(":"))
 
 
-def dedup_pairs(pairs: DataFrame, order: str = "id", most_rounds: int = 200) -> DataFrame:
+def dedup_pairs(pairs: DataFrame, order: str = "id") -> DataFrame:
     """Pairs of which neither question nor answer, normalised, was accepted before, in order; a rejected pair blocks nothing.
 
     In a round, a pair that is the first undecided one for both of its keys is accepted, and every pair that shares a key with
@@ -172,7 +173,7 @@ def dedup_pairs(pairs: DataFrame, order: str = "id", most_rounds: int = 200) ->
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)\W+", " "))
     open_ = materialize(pairs.select(order, F.xxhash64(norm(F.col("instruction"))).alias("q"), F.xxhash64(norm(F.col("response"))).alias("a")), "pairs")
     accepted = open_.select(order).limit(0)
-    for _ in range(most_rounds):
+    while True:
         if open_.isEmpty():
             return pairs.join(accepted, order, "left_semi")
         q = open_.groupBy("q").agg(F.min(order).alias("q_first"))
@@ -180,20 +181,23 @@ def dedup_pairs(pairs: DataFrame, order: str = "id", most_rounds: int = 200) ->
         taken = materialize(open_.join(q, "q").join(a, "a").where((F.col(order) == F.col("q_first")) & (F.col(order) == F.col("a_first"))).select(order, "q", "a"), "taken")
         accepted = materialize(accepted.unionByName(taken.select(order)), "accepted")
         open_ = materialize(open_.join(taken.select("q").distinct(), "q", "left_anti").join(taken.select("a").distinct(), "a", "left_anti").select(order, "q", "a"), "pairs")
-    raise RuntimeError(f"pairs undecided after {most_rounds} rounds")
 
 
-def instruction_dataset(docs: DataFrame, curated: DataFrame | None = None, settings: Settings = Settings(), pinned: list[str] | None = None) -> DataFrame:
-    """split, id (from 0 in each split), instruction, response, type, group, section, source, document_title, method."""
-    sections = split_sections(docs)
+def instruction_dataset(docs: DataFrame, curated: DataFrame | None = None, settings: Settings = Settings(), pinned: list[str] | None = None, least: int = 0) -> DataFrame:
+    """split, id (from 0 in each split), instruction, response, type, group, section, source, document_title, method.
+
+    Fewer pairs than `least` raise ValueError.
+    """
+    sections = materialize(split_sections(docs), "sections")
     pairs = filter_pairs(cap_pairs(section_pairs(sections, document_titles(docs, curated)), settings.max_pairs_per_doc, settings.seed))
     key = F.struct(F.col("doc_id").cast("string").alias("d"), "section", "pos")
     kept = dedup_pairs(materialize(pairs.withColumn("key", key), "instructions"), "key")
+    if least and kept.limit(least).count() < least:
+        raise ValueError(f"fewer than {least} pairs")
     named = kept.withColumn("group", F.concat(F.col("doc_id").cast("string"), F.lit("::"), F.col("section").cast("string")))
     pin = F.lower(F.col("doc_id").cast("string")).isin(*[p.lower() for p in pinned]) if pinned else None
     split = grouped_split(named, "group", settings.instruction_train_fraction, settings.seed, pin)
-    numbered = split.withColumn("id", F.row_number().over(W.partitionBy("split").orderBy(seeded(settings.seed, "group"), "group", "key")) - 1)
-    return numbered.select("split", "id", "instruction", "response", "type", "group", F.col("heading").alias("section"), F.col("doc_id").cast("string").alias("source"), F.col("title").alias("document_title"), F.lit("heuristic").alias("method"))
+    return numbered(split, "split", [seeded(settings.seed, "group"), "group", "key"]).select("split", "id", "instruction", "response", "type", "group", F.col("heading").alias("section"), F.col("doc_id").cast("string").alias("source"), F.col("title").alias("document_title"), F.lit("heuristic").alias("method"))
 
 
 def instruction_statistics(data: DataFrame) -> DataFrame:

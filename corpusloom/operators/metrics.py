@@ -72,6 +72,34 @@ def head_tail_means(curve: DataFrame, window: int, run: str = "run", step: str =
     return rows.groupBy(run).agg(F.avg(F.when(F.col("i") <= window, F.col(loss))).alias("head_mean"), F.avg(F.when(F.col("j") <= window, F.col(loss))).alias("tail_mean"))
 
 
+def loss_summary(curve: DataFrame, run: str = "run", step: str = "step") -> DataFrame:
+    """One row for each run of a log (run, step, loss, eval_loss): endpoints, least losses, drops of the endpoints and of the means
+    of the first and last `window` rows (the adaptive window), plateaus, the final gap between training and evaluation."""
+    train = curve.where(F.col("loss").isNotNull())
+    by = W.partitionBy(run)
+    rows = train.join(adaptive_window(train, run), run).withColumns({"i": F.row_number().over(by.orderBy(step)), "j": F.row_number().over(by.orderBy(F.desc(step)))})
+    head, tail = (F.avg(F.when(F.col(k) <= F.col("window"), F.col("loss"))) for k in ("i", "j"))
+    means = rows.groupBy(run).agg(F.first("window").alias("window"), head.alias("head_mean"), tail.alias("tail_mean"))
+    evals = curve_summary(curve, run, step, "eval_loss").select(run, F.col("first_loss").alias("first_eval_loss"), F.col("last_loss").alias("last_eval_loss"), F.col("min_loss").alias("min_eval_loss"), F.col("min_step").alias("min_eval_loss_step"))
+    both = curve_summary(train, run, step).join(means, run).join(plateau(curve, run=run, step=step), run, "left").join(heldout_plateau(curve, run=run, step=step), run, "left").join(evals, run, "left")
+    return both.select(
+        run, F.col("first_loss").alias("first_logged_loss"), F.col("last_loss").alias("last_logged_loss"), "min_loss", F.col("drop_percent").alias("endpoint_loss_drop_percent"),
+        F.round(100 * (1 - F.col("tail_mean") / F.col("head_mean")), 2).alias("window_mean_loss_drop_percent"), "window", "plateau_step", F.col("heldout_plateau_step").alias("eval_plateau_step"),
+        F.round(F.col("tail_mean") - F.col("last_eval_loss"), 4).alias("final_train_eval_gap"), "first_eval_loss", "last_eval_loss", "min_eval_loss", "min_eval_loss_step",
+    )
+
+
+def perplexity_report(scores: DataFrame, optional: str = "eval_unseen") -> DataFrame:
+    """One row from rows (set, model, perplexity, tokens): tokens, base_ppl, cpt_ppl, ppl_reduction_percent of the held-out set
+    `eval`; the same as unseen_ columns of the optional set, null where it is not there; within_expected_10_40_percent."""
+    pick = lambda c, which, model=None: F.max(F.when((F.col("set") == which) & (F.lit(True) if model is None else F.col("model") == model), F.col(c)))
+    out = []
+    for which, prefix in (("eval", ""), (optional, "unseen_")):
+        base, new = pick("perplexity", which, "base"), pick("perplexity", which, "cpt")
+        out += [pick("tokens", which).alias(f"{prefix}eval_tokens"), F.round(base, 4).alias(f"{prefix}base_ppl"), F.round(new, 4).alias(f"{prefix}cpt_ppl"), F.round(100 * (base - new) / base, 2).alias(f"{prefix}ppl_reduction_percent")]
+    return scores.agg(*out).withColumn("within_expected_10_40_percent", F.col("ppl_reduction_percent").between(10, 40))
+
+
 def epoch_means(curve: DataFrame, at: int, run: str = "run", step: str = "step", loss: str = "loss") -> DataFrame:
     """run, first_mean (steps up to `at`), second_mean (later ones)."""
     return curve.groupBy(run).agg(F.avg(F.when(F.col(step) <= at, F.col(loss))).alias("first_mean"), F.avg(F.when(F.col(step) > at, F.col(loss))).alias("second_mean"))
@@ -89,6 +117,11 @@ def select_candidate(sweep: DataFrame, facts: str = "general_facts_kept", ppl: s
     return sweep.withColumn("_k", F.split(facts, "/")[0].cast("int")).orderBy(F.desc("_k"), ppl, "candidate").limit(1).drop("_k")
 
 
+def candidate_by_name(sweep: DataFrame, name: str | Column) -> DataFrame:
+    """The rows of one candidate; none if there is no such name."""
+    return sweep.where(F.col("candidate") == name)
+
+
 def training_steps(examples: Column, batch: int, epochs: int) -> Column:
     """Updates of a run: batches of an epoch, rounded up, times epochs."""
     return (F.ceil(examples / batch) * epochs).cast("long")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from corpusloom.sources.tables import materialize
+from corpusloom.sources.tables import few, materialize
 
 
 def prefix_sums(df: DataFrame, order: list[str | Column], value: str | Column, name: str, partitions: int | None = None) -> DataFrame:
@@ -28,3 +28,14 @@ def prefix_sums(df: DataFrame, order: list[str | Column], value: str | Column, n
     within = W.partitionBy("_range").orderBy(*[f"_o{i}" for i in range(len(keys))]).rowsBetween(W.unboundedPreceding, -1)
     summed = ordered.join(F.broadcast(base), "_range").withColumn(name, F.col("_base") + F.coalesce(F.sum(amount).over(within), F.lit(0)))
     return summed.drop("_range", "_base", *[f"_o{i}" for i in range(len(keys))])
+
+
+def numbered(df: DataFrame, by: str, order: list[str | Column], name: str = "id") -> DataFrame:
+    """df with `name`: the row's number, from 0, among the rows with its value of `by`, in `order`.
+
+    Numbers come from prefix sums over the whole table, less the first of each value, so a value may have any number of rows.
+    `by` is meant to have few values (splits, types): one row for each is joined.
+    """
+    placed = materialize(prefix_sums(df, [by, *order], F.lit(1), "_place"), "placed")
+    first = few(materialize(placed.groupBy(by).agg(F.min("_place").alias("_first")), "first"))
+    return placed.join(first, by).withColumn(name, F.col("_place") - F.col("_first")).drop("_place", "_first")

@@ -28,27 +28,27 @@ def unseen_documents(docs: DataFrame, settings: Settings = Settings(), pinned: l
     """doc_id, words, rank of the documents held out whole.
 
     In seeded order, documents are taken until their words reach the target; one that would exceed 1.5 targets is skipped.
-    docs: doc_id, words. The fold needs an order, so it runs over candidates' ids and counts alone, in one array; since
-    every taken document has at least one word, only candidates up to some prefix matter: ranks whose shorter documents
-    already fill the target are cut off before they are collected.
+    docs: doc_id, words. A document of at most half a target is never skipped before the target is reached, so prefix sums
+    decide it. Only larger ones need a fold; there are no more than two divided by the target's fraction of them.
     """
     total = docs.agg(F.sum(words)).first()[0] or 0
     target = settings.unseen_fraction * total
     rows = docs if not pinned else docs.where(~F.lower(F.col("doc_id").cast("string")).isin([p.lower() for p in pinned]))
-    rows = rows.select("doc_id", F.col(words).alias("words"), seeded(settings.seed, "doc_id").alias("rank")).where("words > 0")
-    # a document of at most half a target is never skipped before the target is reached; once such documents alone fill it,
-    # nothing later is taken
-    small = F.when(F.col("words") <= 0.5 * target, F.col("words")).otherwise(0)
-    rows = prefix_sums(rows, ["rank", "doc_id"], small, "_before").where(F.col("_before") < target).drop("_before")
-    empty = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<rank:string,doc_id:string,words:bigint>>").alias("taken"))
+    rows = rows.select("doc_id", F.col(words).cast("long").alias("words"), seeded(settings.seed, "doc_id").alias("rank")).where("words > 0")
+    large = F.col("words") > 0.5 * target
+    placed = prefix_sums(rows, ["rank", "doc_id"], F.when(large, 0).otherwise(F.col("words")), "before").where(F.col("before") < target)
+    empty = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<rank:string,id:string,words:bigint,before:bigint>>").alias("taken"))
 
     def take(acc: Column, x: Column) -> Column:
-        fits = (acc["sum"] < target) & (acc["sum"] + x["words"] <= 1.5 * target)
-        return F.when(fits, F.struct((acc["sum"] + x["words"]).alias("sum"), F.array_append(acc["taken"], x).alias("taken"))).otherwise(acc)
+        there = x["before"] + acc["sum"]
+        return F.when((there < target) & (there + x["words"] <= 1.5 * target), F.struct((acc["sum"] + x["words"]).alias("sum"), F.array_append(acc["taken"], x).alias("taken"))).otherwise(acc)
 
-    listed = rows.agg(F.sort_array(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("doc_id"), F.col("words").cast("long").alias("words")))).alias("all"))
-    taken = listed.select(F.explode(F.aggregate("all", empty, take, lambda acc: acc["taken"])).alias("t"))
-    return taken.select(F.col("t.doc_id").cast(dict(docs.dtypes)["doc_id"]).alias("doc_id"), "t.words", "t.rank")
+    listed = placed.where(large).agg(F.sort_array(F.collect_list(F.struct("rank", F.col("doc_id").cast("string").alias("id"), "words", "before"))).alias("all"))
+    taken = listed.select(F.aggregate("all", empty, take, lambda acc: acc["taken"]).alias("taken"))
+    both = placed.join(F.broadcast(taken))  # one row
+    ahead = F.aggregate(F.filter("taken", lambda t: t["rank"] < F.col("rank")), F.lit(0).cast("long"), lambda n, t: n + t["words"])
+    chosen = F.when(large, F.exists("taken", lambda t: t["id"] == F.col("doc_id").cast("string"))).otherwise(F.col("before") + ahead < target)
+    return both.where(chosen).select("doc_id", "words", "rank")
 
 
 def tail_split(text: Column, fraction: float) -> Column:
@@ -58,21 +58,17 @@ def tail_split(text: Column, fraction: float) -> Column:
     of equals, never before or after everything. A null or empty text gives two empty parts.
     """
 
-    def by(separator: str, name: str, pieces: Column, total: Column) -> Column:
-        """struct<gap, cut> of the best cut at a separator, null if there is none."""
-        counts = F.transform(pieces, X.word_count)
+    def by(pieces: Column, total: Column) -> Column:
+        """struct<gap, cut> of the best cut between pieces, the first of equals, its gap null if there is none. One fold."""
+        start = F.struct(F.lit(0).alias("i"), F.lit(0).alias("words"), F.lit(None).cast("double").alias("gap"), F.lit(0).alias("cut"))
 
-        def best(sums: Column) -> Column:
-            cuts = F.filter(F.transform(sums, lambda n, i: F.struct(F.abs(n - (1 - fraction) * total).alias("gap"), (i + 1).alias("cut"), n.alias("n"))), lambda c: (c["n"] > 0) & (c["n"] < total))
-            return F.array_min(cuts)
+        def step(acc: Column, n: Column) -> Column:
+            words = acc["words"] + n
+            gap = F.abs(words - (1 - fraction) * total)
+            better = (words > 0) & (words < total) & (acc["i"] + 1 < F.size(pieces)) & (acc["gap"].isNull() | (gap < acc["gap"]))
+            return F.struct((acc["i"] + 1).alias("i"), words.alias("words"), F.when(better, gap).otherwise(acc["gap"]).alias("gap"), F.when(better, acc["i"] + 1).otherwise(acc["cut"]).alias("cut"))
 
-        running = F.aggregate(
-            counts,
-            F.struct(F.array().cast("array<int>").alias("sums"), F.lit(0).alias("at")),
-            lambda acc, n: F.struct(F.array_append(acc["sums"], acc["at"] + n).alias("sums"), (acc["at"] + n).alias("at")),
-            lambda acc: F.slice(acc["sums"], 1, F.greatest(F.size(acc["sums"]) - 1, F.lit(0))),
-        )
-        return let(running, best)
+        return F.aggregate(F.transform(pieces, X.word_count), start, step, lambda acc: F.struct(acc["gap"].alias("gap"), acc["cut"].alias("cut")))
 
     def at(separator: str, name: str, pieces: Column, total: Column, otherwise: Column) -> Column:
         def chosen(b: Column) -> Column:
@@ -81,9 +77,9 @@ def tail_split(text: Column, fraction: float) -> Column:
                 F.trim(F.array_join(F.slice(pieces, b["cut"] + 1, F.size(pieces)), separator)).alias("tail"),
                 F.lit(name).alias("how"),
             )
-            return F.when(b.isNotNull() & (b["gap"] <= 0.05 * total), parts).otherwise(otherwise)
+            return F.when(b["gap"] <= 0.05 * total, parts).otherwise(otherwise)
 
-        return let(by(separator, name, pieces, total), chosen)
+        return let(by(pieces, total), chosen)
 
     def of(t: Column) -> Column:
         words = t["words"]
@@ -96,11 +92,14 @@ def tail_split(text: Column, fraction: float) -> Column:
     return let(F.struct(X.word_list(whole).alias("words"), F.split(whole, "\n\n").alias("paragraphs"), F.split(whole, "\n").alias("lines")), of)
 
 
-def split_corpus(docs: DataFrame, settings: Settings = Settings(), pinned: list[str] | None = None) -> DataFrame:
+def split_corpus(docs: DataFrame, settings: Settings = Settings(), pinned: list[str] | None = None, check: bool = False) -> DataFrame:
     """document_id, split (train, eval, eval_unseen), part (head, tail or null), words, sha256 (of the whole text), text.
 
-    Documents chosen as unseen go whole to eval_unseen; every other one gives its head to train and its tail to eval.
+    Documents chosen as unseen go whole to eval_unseen; every other one gives its head to train and its tail to eval. With
+    `check`, the input must pass `validate` first.
     """
+    if check:
+        validate(docs, settings.eval_fraction)
     counted = docs.select("doc_id", "text", X.word_count(F.col("text")).cast("long").alias("words"))
     unseen = unseen_documents(counted.select("doc_id", "words"), settings, pinned).select("doc_id")
     whole = counted.join(unseen, "doc_id", "left_semi").select("doc_id", "text", F.lit("eval_unseen").alias("split"), F.lit(None).cast("string").alias("part"), F.col("text").alias("piece"))
@@ -117,6 +116,32 @@ def split_manifest(split: DataFrame) -> DataFrame:
     return by.join(F.broadcast(total)).select("split", "documents", "words", F.round(F.col("words") / F.col("total"), 4).alias("fraction"))
 
 
+def manifest_report(docs: DataFrame, split: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """One row: seed, split_unit, requested_eval_fraction, document counts by split, word and document fractions, note.
+
+    docs: doc_id, text (the input of split_corpus); split: its result. The documents of each split are the rows of `split`
+    itself, so they are written as a table and not gathered in one row.
+    """
+    by = split.agg(
+        *[F.count_if(F.col("split") == s).alias(f"documents_{s}") for s in ("train", "eval", "eval_unseen")],
+        *[F.coalesce(F.sum(F.when(F.col("split") == s, F.col("words"))), F.lit(0)).alias(f"words_{s}") for s in ("eval", "eval_unseen")],
+    )
+    every = docs.agg(F.count("*").alias("documents_total"), F.sum(X.word_count(F.col("text"))).cast("long").alias("words_total"))
+    share = lambda s: F.col(f"words_{s}") / F.col("words_total")
+    percent = lambda x: F.format_string("%.1f%%", x * 100)
+    note = F.concat(
+        F.lit(f"eval = last {settings.eval_fraction:.0%} of each of "), F.col("documents_eval").cast("string"), F.lit(" documents ("), percent(share("eval")),
+        F.lit(" of words); eval_unseen = "), F.col("documents_eval_unseen").cast("string"), F.lit(" whole documents never used in CPT ("), percent(share("eval_unseen")),
+        F.lit(" of words); probe documents kept out of eval_unseen."),
+    )
+    return every.join(F.broadcast(by)).select(
+        F.lit(settings.seed).alias("seed"), F.lit("eval: per-document tail (paragraph boundary); eval_unseen: whole documents").alias("split_unit"), F.lit(settings.eval_fraction).alias("requested_eval_fraction"),
+        "documents_total", "documents_train", "documents_eval", "documents_eval_unseen",
+        F.round(share("eval_unseen"), 4).alias("actual_eval_unseen_word_fraction"), F.round(F.col("documents_eval") / F.col("documents_total"), 4).alias("actual_eval_document_fraction"),
+        F.round(share("eval"), 4).alias("actual_eval_word_fraction"), note.alias("note"),
+    )
+
+
 def grouped_split(rows: DataFrame, group: str, train_fraction: float = 0.8, seed: int = 42, pinned: Column | None = None) -> DataFrame:
     """rows with split: whole groups, pinned ones first and then in seeded order, go to train until it has its share.
 

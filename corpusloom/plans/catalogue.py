@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from corpusloom.config import Settings
 from corpusloom.functions import scoring
 from corpusloom.functions import text as X
-from corpusloom.operators import blocks, conversations, dedup, evaluation, funnel, instructions, metrics, pages, split, vocabulary
+from corpusloom.operators import blocks, cleaning, conversations, dedup, evaluation, funnel, instructions, metrics, pages, split, vocabulary
 from corpusloom.plans.policies import policy_texts
 from corpusloom.sources import readers
+from corpusloom.sources.tables import materialize, spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -39,7 +40,10 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    return table(spark, sf_dir, "documents", *(columns or ("doc_id", "text")))
+    """Documents, doc_id and text unless told; texts are dealt out to all cores where the scan has fewer splits."""
+    columns = columns or ("doc_id", "text")
+    rows = table(spark, sf_dir, "documents", *columns)
+    return spread(rows) if "text" in columns else rows
 
 
 # ---- lines and pages ---------------------------------------------------------------------------------------------
@@ -57,12 +61,13 @@ def sql_words(x: str) -> str:
     return rf"list_filter(string_split_regex(coalesce({x}, ''), '\s+'), lambda w: w <> '')"
 
 
-def sql_clean(x: str) -> str:
+def sql_clean(x: str, but: str = "") -> str:
+    """The line rules; `but`: what else a line x must not be."""
     joined = rf"regexp_replace(regexp_replace({x}, '[^\P{{C}}\n\t]', '', 'g'), '([\p{{L}}\p{{M}}\p{{N}}_])-\n([\p{{L}}\p{{M}}\p{{N}}_])', '\1\2', 'g')"
     lines = f"list_transform(string_split({joined}, chr(10)), lambda x: {sql_collapse('x')})"
     kept = (
         f"list_filter({lines}, lambda x: NOT regexp_matches(x, '^{X.PAGE_MARK}$') AND NOT regexp_matches(x, '{X.PAGE_NUMBER}') "
-        f"AND NOT (regexp_matches(x, '{X.CONTROL_LABEL}') AND len({sql_words('x')}) <= 12) AND NOT regexp_matches(x, '{X.DOT_LEADER}'))"
+        f"AND NOT (regexp_matches(x, '{X.CONTROL_LABEL}') AND len({sql_words('x')}) <= 12) AND NOT regexp_matches(x, '{X.DOT_LEADER}'){but})"
     )
     plain = f"list_transform({kept}, lambda x: trim(regexp_replace(regexp_replace(x, '{X.INLINE_PAGE}', '', 'g'), ' {{2,}}', ' ', 'g')))"
     return rf"regexp_replace(regexp_replace(array_to_string({plain}, chr(10)), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
@@ -174,8 +179,9 @@ def word_chunks(spark, sf_dir):
 # ---- filters and deduplication -----------------------------------------------------------------------------------
 
 SETTINGS = Settings()
-RECORDS_SQL = f"""
-c AS (SELECT doc_id, text AS raw, {sql_clean('text')} AS text, lang FROM documents),
+CLEANED_SQL = f"c AS (SELECT doc_id, text AS raw, {sql_clean('text')} AS text, lang FROM documents)"
+#: Records of c(doc_id, raw, text, lang).
+OF_CLEANED_SQL = f"""
 d AS (SELECT *, len({sql_words('text')}) AS wc, sha256(lower(array_to_string({sql_words('text')}, ' '))) AS digest FROM c),
 f AS (SELECT *, min(doc_id) OVER (PARTITION BY digest) AS first_of FROM d WHERE wc >= 100),
 orig AS (SELECT doc_id, text, lang FROM f WHERE doc_id = first_of),
@@ -191,30 +197,52 @@ walk AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS kept, []::BIGINT[] AS near UNION
     CASE WHEN list_has_any(walk.kept, s.earlier) THEN list_append(walk.near, s.doc_id) ELSE walk.near END
   FROM walk JOIN steps s ON s.rn = walk.i + 1),
 ended AS (SELECT kept, near FROM walk ORDER BY i DESC LIMIT 1),
-best AS (SELECT later AS doc_id, max(struct_pack(similarity := similarity, earlier := earlier)) AS b FROM edges WHERE list_contains((SELECT kept FROM ended), earlier) GROUP BY later),
+keepers AS (SELECT doc_id AS earlier FROM orig WHERE list_contains((SELECT kept FROM ended), doc_id) OR lang = 'en' AND doc_id NOT IN (SELECT doc_id FROM nodes)),
+best AS (SELECT later AS doc_id, max(struct_pack(similarity := similarity, earlier := earlier)) AS b FROM pairs SEMI JOIN keepers USING (earlier) GROUP BY later),
 reasons AS (SELECT d.*, f.first_of, best.b, CASE WHEN d.wc < 100 THEN 'below_min_words' WHEN f.first_of <> d.doc_id THEN 'exact_duplicate'
     WHEN list_contains((SELECT near FROM ended), d.doc_id) THEN 'near_duplicate' WHEN d.lang = 'en' THEN 'passes_filters'
     WHEN d.lang IS NULL THEN 'language_detection_failed' ELSE 'non_english' END AS reason
   FROM d LEFT JOIN f USING (doc_id) LEFT JOIN best USING (doc_id)),
 records AS (SELECT doc_id, wc::BIGINT AS word_count, CASE WHEN reason = 'passes_filters' THEN 'kept' ELSE 'removed' END AS status, reason,
     CASE WHEN reason = 'exact_duplicate' THEN first_of WHEN reason = 'near_duplicate' THEN b.earlier END AS duplicate_of,
-    round(CASE WHEN reason = 'exact_duplicate' THEN 1.0 ELSE b.similarity END, 6) AS max_similarity,
+    round(CASE WHEN reason = 'exact_duplicate' THEN 1.0 WHEN wc >= 100 THEN coalesce(b.similarity, 0) END, 6) AS max_similarity,
     CASE WHEN reason IN ('passes_filters', 'non_english', 'language_detection_failed') THEN coalesce(lang, 'unknown') ELSE 'not_checked' END AS language,
     length(raw)::BIGINT AS characters_before, length(text)::BIGINT AS characters_after, (length(raw) - length(text))::BIGINT AS characters_removed,
     round(CASE WHEN length(raw) > 0 THEN 100.0 * (length(raw) - length(text)) / length(raw) ELSE 0 END, 2) AS reduction_percent FROM reasons)
 """
+RECORDS_SQL = f"{CLEANED_SQL}, {OF_CLEANED_SQL}"
 WITH_RECORDS = f"WITH RECURSIVE {RECORDS_SQL}"
 
 
+FUNNEL_SQL = """
+stages AS (SELECT * FROM (VALUES (0, 'basic_cleaning'), (1, 'length_filter'), (2, 'deduplication'), (3, 'near_dedup'), (4, 'english_filter')) AS s(stage_no, stage)),
+ranked AS (SELECT *, CASE reason WHEN 'below_min_words' THEN 1 WHEN 'exact_duplicate' THEN 2 WHEN 'near_duplicate' THEN 3 WHEN 'passes_filters' THEN 5 ELSE 4 END AS gone FROM records),
+funnel AS (SELECT stage_no, stage, count(*) FILTER (gone >= stage_no) AS documents_before, count(*) FILTER (gone > stage_no) AS documents_after, count(*) FILTER (gone = stage_no) AS documents_removed,
+  coalesce(sum(CASE WHEN stage_no = 0 THEN characters_before WHEN gone >= stage_no THEN characters_after END), 0)::BIGINT AS characters_before,
+  coalesce(sum(CASE WHEN gone > stage_no THEN characters_after END), 0)::BIGINT AS characters_after FROM stages, ranked GROUP BY ALL)
+"""
+
+
 def cleaned_documents(spark, sf_dir):
     return documents(spark, sf_dir, "doc_id", "text", "lang").select("doc_id", F.col("text").alias("raw"), X.clean_text(F.col("text")).alias("text"), "lang")
 
 
 def records(spark, sf_dir):
-    """As RECORDS_SQL says, with similarities at or over the threshold only."""
+    """As RECORDS_SQL says, but for max_similarity, which is null below the threshold: no query that reads it uses this."""
     return dedup.cleaning_records(cleaned_documents(spark, sf_dir), SETTINGS, below=False)
 
 
+def full_records(spark, sf_dir):
+    """As RECORDS_SQL says, with the best similarity to an earlier kept document wherever it lies."""
+    return dedup.cleaning_records(cleaned_documents(spark, sf_dir), SETTINGS)
+
+
+def long_documents(spark, sf_dir):
+    """doc_id, text, digest of the cleaned documents of enough words, written."""
+    rows = cleaned_documents(spark, sf_dir).select("doc_id", "text", X.word_count(F.col("text")).alias("word_count"), X.normalized_digest(F.col("text")).alias("digest"))
+    return materialize(rows, "cleaned").where(F.col("word_count") >= SETTINGS.min_words)
+
+
 @query("length_filter", f"SELECT doc_id FROM documents WHERE len({sql_words('text')}) >= 100")
 def length_filter(spark, sf_dir):
     return documents(spark, sf_dir).where(X.word_count(F.col("text")) >= SETTINGS.min_words).select("doc_id")
@@ -227,30 +255,19 @@ def exact_dedup(spark, sf_dir):
 
 @query("shingle_counts", f"WITH RECURSIVE {RECORDS_SQL} SELECT doc_id, len(s)::BIGINT AS n FROM sets")
 def shingle_counts(spark, sf_dir):
-    rows = cleaned_documents(spark, sf_dir).withColumn("digest", X.normalized_digest(F.col("text"))).where(X.word_count(F.col("text")) >= SETTINGS.min_words)
-    firsts = dedup.exact_duplicates(rows).where("doc_id = first_of")
-    return firsts.select("doc_id", F.size(X.shingles(F.col("text"))).cast("long").alias("n"))
+    _, originals = dedup.first_documents(long_documents(spark, sf_dir))
+    return originals.select("doc_id", F.size(X.shingles(F.col("text"))).cast("long").alias("n"))
 
 
 @query("similar_pairs", f"{WITH_RECORDS} SELECT later, earlier, round(similarity, 6) AS similarity FROM edges")
 def similar_pairs(spark, sf_dir):
-    rows = cleaned_documents(spark, sf_dir).withColumn("digest", X.normalized_digest(F.col("text"))).where(X.word_count(F.col("text")) >= SETTINGS.min_words)
-    firsts = dedup.exact_duplicates(rows).where("doc_id = first_of").select("doc_id", "text")
-    return dedup.similar_pairs(firsts).select("later", "earlier", F.round("similarity", 6).alias("similarity"))
+    _, originals = dedup.first_documents(long_documents(spark, sf_dir))
+    return dedup.similar_pairs(originals.select("doc_id", "text")).select("later", "earlier", F.round("similarity", 6).alias("similarity"))
 
 
 @query("cleaning_records", f"{WITH_RECORDS} SELECT * FROM records")
 def cleaning_records(spark, sf_dir):
-    return records(spark, sf_dir).withColumn("max_similarity", F.round("max_similarity", 6))
-
-
-FUNNEL_SQL = """
-stages AS (SELECT * FROM (VALUES (0, 'basic_cleaning'), (1, 'length_filter'), (2, 'deduplication'), (3, 'near_dedup'), (4, 'english_filter')) AS s(stage_no, stage)),
-ranked AS (SELECT *, CASE reason WHEN 'below_min_words' THEN 1 WHEN 'exact_duplicate' THEN 2 WHEN 'near_duplicate' THEN 3 WHEN 'passes_filters' THEN 5 ELSE 4 END AS gone FROM records),
-funnel AS (SELECT stage_no, stage, count(*) FILTER (gone >= stage_no) AS documents_before, count(*) FILTER (gone > stage_no) AS documents_after, count(*) FILTER (gone = stage_no) AS documents_removed,
-  coalesce(sum(CASE WHEN stage_no = 0 THEN characters_before WHEN gone >= stage_no THEN characters_after END), 0)::BIGINT AS characters_before,
-  coalesce(sum(CASE WHEN gone > stage_no THEN characters_after END), 0)::BIGINT AS characters_after FROM stages, ranked GROUP BY ALL)
-"""
+    return full_records(spark, sf_dir).withColumn("max_similarity", F.round("max_similarity", 6))
 
 
 @query("stage_funnel", f"{WITH_RECORDS}, {FUNNEL_SQL} SELECT *, characters_before - characters_after AS characters_removed FROM funnel")
@@ -281,7 +298,70 @@ def corpus_reduction(spark, sf_dir):
 @query("most_similar_kept", f"{WITH_RECORDS} SELECT doc_id, max_similarity FROM records WHERE status = 'kept' AND max_similarity IS NOT NULL ORDER BY 2 DESC, 1 LIMIT 5")
 def most_similar_kept(spark, sf_dir):
     """The top five are the feature."""
-    return funnel.most_similar(records(spark, sf_dir)).withColumn("max_similarity", F.round("max_similarity", 6))
+    return funnel.most_similar(full_records(spark, sf_dir)).withColumn("max_similarity", F.round("max_similarity", 6))
+
+
+#: A file is eight documents as pages, each with a running head and its number at the foot; a part of them is named as copies.
+PAGED = "concat('Running Head ', doc_id div 8, '\\n', coalesce(text, ''), '\\n', doc_id % 8 + 1)"
+FILE_NAME = "concat(CASE WHEN doc_id div 8 % 4 = 0 THEN 'a_dup_' ELSE 'b_' END, lpad(doc_id div 8, 12, '0'), '.txt')"
+FILES_SQL = rf"""
+p AS (SELECT doc_id // 8 AS file, doc_id % 8 + 1 AS page, lang, regexp_replace('Running Head ' || (doc_id // 8) || chr(10) || coalesce(text, '') || chr(10) || (doc_id % 8 + 1), '^\s+|\s+$', '', 'g') AS text FROM documents),
+marked AS (SELECT file, count(*) AS n FROM p GROUP BY file HAVING count(*) >= 3),
+heads AS (SELECT file, list(line) AS boilerplate FROM (SELECT file, line, count(*) AS k FROM (SELECT DISTINCT file, page, {sql_collapse('u.line')} AS line FROM p, unnest(string_split(text, chr(10))) AS u(line)) WHERE line <> '' GROUP BY ALL)
+  JOIN marked USING (file) WHERE k >= greatest(3, n // 2) AND length(line) < 120 GROUP BY file),
+cut AS (SELECT file, page, text, string_split(text, chr(10)) AS l FROM p),
+seen AS (SELECT *, list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '\S')) AS filled FROM cut),
+edged AS (SELECT file, page, text, array_to_string(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN (i = filled[1] OR i = filled[-1]) AND regexp_matches(l[i], '{X.EDGE_NUMBER}') THEN '' ELSE l[i] END), chr(10)) AS edged FROM seen),
+files AS (SELECT file, string_agg('--- PAGE ' || page || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY page) AS raw, string_agg('--- PAGE ' || page || ' ---' || chr(10) || edged, chr(10) || chr(10) ORDER BY page) AS edged FROM edged GROUP BY file),
+named AS (SELECT file, CASE WHEN file % 4 = 0 THEN 'a_dup_' ELSE 'b_' END || lpad(file::VARCHAR, 12, '0') || '.txt' AS file_name, raw, edged, coalesce(boilerplate, []) AS boilerplate, lang FROM files LEFT JOIN heads USING (file) JOIN (SELECT file, min(lang) AS lang FROM p GROUP BY file) USING (file)),
+c AS (SELECT row_number() OVER (ORDER BY contains(file_name, 'dup'), file_name) - 1 AS doc_id, file_name, raw, {sql_clean('edged', " AND NOT list_contains(boilerplate, x)")} AS text, lang FROM named)
+"""
+
+
+def paged_files(spark, sf_dir):
+    """file_name, text, lang: eight documents each, so a file is bounded."""
+    rows = documents(spark, sf_dir, "doc_id", "text", "lang").select(F.expr(FILE_NAME).alias("doc_id"), (F.col("doc_id") % 8 + 1).alias("page_no"), F.expr(PAGED).alias("text"), "lang")
+    lang = rows.groupBy("doc_id").agg(F.min("lang").alias("lang"))
+    return pages.join_pages(rows).join(lang, "doc_id").withColumnRenamed("doc_id", "file_name")
+
+
+@query(
+    "clean_corpus",
+    f"WITH RECURSIVE {FILES_SQL}, {OF_CLEANED_SQL} SELECT c.file_name, r.* EXCLUDE (doc_id, duplicate_of), k.file_name AS duplicate_of FROM records r JOIN c USING (doc_id) LEFT JOIN c k ON k.doc_id = r.duplicate_of",
+)
+def clean_corpus(spark, sf_dir):
+    """The whole chain, but for split words, which SQL cannot mend: see repaired_corpus."""
+    found, _ = cleaning.clean_corpus(paged_files(spark, sf_dir), SETTINGS, repair=False)
+    return found.withColumn("max_similarity", F.round("max_similarity", 6))
+
+
+@query("kept_texts", f"WITH RECURSIVE {FILES_SQL}, {OF_CLEANED_SQL} SELECT c.file_name, sha256(c.text) AS sha FROM records JOIN c USING (doc_id) WHERE status = 'kept'")
+def kept_texts(spark, sf_dir):
+    return cleaning.clean_corpus(paged_files(spark, sf_dir), SETTINGS, repair=False, below=False)[1].select("file_name", F.sha2("text", 256).alias("sha"))
+
+
+@query("repaired_corpus")
+def repaired_corpus(spark, sf_dir):
+    """The whole chain with split words joined; tested against a plain version."""
+    return cleaning.clean_corpus(paged_files(spark, sf_dir), SETTINGS, below=False)[1]
+
+
+@query(
+    "corpus_summary",
+    f"{WITH_RECORDS}, {FUNNEL_SQL}, g AS (SELECT *, characters_before - characters_after AS characters_removed FROM funnel), k AS (SELECT * FROM records WHERE status = 'kept') "
+    "SELECT (SELECT count(*) FROM records) AS documents_before, (SELECT count(*) FROM k) AS documents_after, (SELECT string_agg(stage || ':' || documents_after || ':' || characters_after, ' ' ORDER BY stage_no) FROM g) AS stages, "
+    "(SELECT string_agg(stage, ' ' ORDER BY stage_no) FROM g WHERE documents_removed > 0 AND documents_removed = (SELECT max(documents_removed) FROM g)) AS most_documents, "
+    "(SELECT string_agg(stage, ' ' ORDER BY stage_no) FROM g WHERE characters_removed > 0 AND characters_removed = (SELECT max(characters_removed) FROM g)) AS most_characters, "
+    "(SELECT sum(word_count)::BIGINT FROM k) AS total, (SELECT median(word_count) FROM k) AS median, (SELECT sum(characters_after)::BIGINT FROM k) AS characters_after, "
+    "(SELECT round(100.0 * (sum(characters_before) - (SELECT sum(characters_after) FROM k)) / sum(characters_before), 2) FROM records) AS character_reduction_percent",
+)
+def corpus_summary(spark, sf_dir):
+    found = cleaning.summarize_corpus(materialize(records(spark, sf_dir), "records"))
+    stages = F.array_join(F.transform("stages", lambda s: F.concat_ws(":", s["stage"], s["documents_after"].cast("string"), s["characters_after"].cast("string"))), " ")
+    return found.select(
+        "documents_before", "documents_after", stages.alias("stages"), F.array_join("largest_document_removal_stages", " ").alias("most_documents"), F.array_join("largest_character_removal_stages", " ").alias("most_characters"),
+        "retained_document_words.total", "retained_document_words.median", "characters_after", "character_reduction_percent",
+    )
 
 
 @query("language_filter", f"SELECT coalesce(lang, 'unknown') AS language, count(*) AS n, count(*) FILTER (lang = 'en') AS kept FROM documents GROUP BY 1")
@@ -519,6 +599,17 @@ def head_tail_means(spark, sf_dir):
     return rows.select("run", F.round("head_mean", 6).alias("head_mean"), F.round("tail_mean", 6).alias("tail_mean"))
 
 
+@query(
+    "loss_summary",
+    f"""WITH {CURVES_SQL}, n AS (SELECT run, greatest(3, count(*) // 10) AS w FROM curves GROUP BY run),
+r AS (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step) AS i, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS j FROM curves JOIN n USING (run)),
+m AS (SELECT run, any_value(w)::INT AS win, avg(loss) FILTER (i <= w) AS head, avg(loss) FILTER (j <= w) AS tail, arg_max(eval_loss, step) FILTER (eval_loss IS NOT NULL) AS last_eval, arg_min(step, struct_pack(l := eval_loss, s := step)) FILTER (eval_loss IS NOT NULL) AS best_step FROM r GROUP BY run)
+SELECT run, win AS "window", round(100 * (1 - tail / head), 2) AS window_mean_loss_drop_percent, round(tail - last_eval, 4) AS final_train_eval_gap, best_step AS min_eval_loss_step FROM m""",
+)
+def loss_summary(spark, sf_dir):
+    return metrics.loss_summary(curves(spark, sf_dir)).select("run", "window", "window_mean_loss_drop_percent", "final_train_eval_gap", "min_eval_loss_step")
+
+
 @query("epoch_means", f"WITH {CURVES_SQL} SELECT run, round(avg(loss) FILTER (step <= 5), 6) AS first_mean, round(avg(loss) FILTER (step > 5), 6) AS second_mean FROM curves GROUP BY run")
 def epoch_means(spark, sf_dir):
     return metrics.epoch_means(curves(spark, sf_dir), 5).select("run", F.round("first_mean", 6).alias("first_mean"), F.round("second_mean", 6).alias("second_mean"))
@@ -555,6 +646,25 @@ def compare_models(spark, sf_dir):
     return metrics.compare_models(scored_models(spark, sf_dir)).withColumns({"base": F.round("base", 6), "new": F.round("new", 6)})
 
 
+@query(
+    "perplexity_report",
+    """WITH p AS (SELECT CASE WHEN event_type = 'click' THEN 'eval' ELSE 'eval_unseen' END AS s, user_id % 2 = 0 AS base, exp(sum(value / 100 * (user_id % 5 + 1)) / sum(user_id % 5 + 1)) AS ppl, sum(user_id % 5 + 1)::BIGINT AS tokens FROM events WHERE event_type IN ('click', 'view') GROUP BY ALL),
+w AS (SELECT s, max(ppl) FILTER (base) AS b, max(ppl) FILTER (NOT base) AS c, max(tokens) AS tokens FROM p GROUP BY s), e AS (SELECT * FROM w WHERE s = 'eval'), u AS (SELECT * FROM w WHERE s = 'eval_unseen')
+SELECT e.tokens AS eval_tokens, round(e.b, 4) AS base_ppl, round(e.c, 4) AS cpt_ppl, round(100 * (e.b - e.c) / e.b, 2) AS ppl_reduction_percent, u.tokens AS unseen_eval_tokens, round(u.b, 4) AS unseen_base_ppl, round(u.c, 4) AS unseen_cpt_ppl,
+round(100 * (u.b - u.c) / u.b, 2) AS unseen_ppl_reduction_percent, round(100 * (e.b - e.c) / e.b, 2) BETWEEN 10 AND 40 AS within_expected_10_40_percent FROM e FULL JOIN u ON TRUE""",
+)
+def perplexity_report(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").where("event_type in ('click', 'view')").select(F.when(F.col("event_type") == "click", "eval").otherwise("eval_unseen").alias("set"), F.when(F.col("user_id") % 2 == 0, "base").otherwise("cpt").alias("model"), (F.col("value") / 100 * (F.col("user_id") % 5 + 1)).alias("nll"), (F.col("user_id") % 5 + 2).alias("length"))
+    tokens = rows.groupBy("set", "model").agg(F.sum(F.col("length") - 1).cast("long").alias("tokens"))
+    return metrics.perplexity_report(metrics.perplexity(rows, ["set", "model"]).join(tokens, ["set", "model"]))
+
+
+@query("first_rows", "SELECT conv_id, turn FROM conversations WHERE role = 'assistant' ORDER BY conv_id, turn LIMIT 30")
+def first_rows(spark, sf_dir):
+    """The first thirty held-out rows: the limit is the feature."""
+    return evaluation.first_rows(table(spark, sf_dir, "conversations").where("role = 'assistant'").select("conv_id", "turn"), 30, "conv_id", "turn")
+
+
 @query("select_candidate", "SELECT c_name AS candidate, (c_custkey % 4) || '/3' AS general_facts_kept, round(abs(c_acctbal), 2) AS heldout_ppl FROM customer ORDER BY c_custkey % 4 DESC, abs(c_acctbal), c_name LIMIT 1")
 def select_candidate(spark, sf_dir):
     """The best candidate is the feature."""

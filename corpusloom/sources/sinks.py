@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from corpusloom.operators.prefix import numbered
+
 
 def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").csv(path, header=True)
@@ -16,14 +17,21 @@ def write_json_report(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def write_nested_report(row: DataFrame, path: str) -> None:
+    """A one-row table as one nested JSON object in one file."""
+    row.limit(1).coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
 def write_splits(split: DataFrame, path: str, order: str = "document_id") -> None:
-    """JSONL in a folder for each split, with an id from 0 within it."""
-    ids = F.row_number().over(W.partitionBy("split").orderBy(order)) - 1
-    split.withColumn("id", ids).write.mode("overwrite").partitionBy("split").json(path)
+    """JSONL in a folder for each split, with an id from 0 within it, of which none is gathered in one task."""
+    numbered(split, "split", [order]).write.mode("overwrite").partitionBy("split").json(path)
 
 
-def write_blocks(blocks: DataFrame, path: str, split: str = "split") -> None:
+def write_blocks(blocks: DataFrame, path: str, split: str = "split", lengths: DataFrame | None = None) -> None:
+    """A folder of Parquet for each split; with `lengths` (split, document_id, tokens) a CSV of these beside them, in <path>_doc_tokens."""
     blocks.select(split, "block", "input_ids").write.mode("overwrite").partitionBy(split).parquet(path)
+    if lengths is not None:
+        lengths.write.mode("overwrite").partitionBy(split).csv(f"{path}_doc_tokens", header=True)
 
 
 def write_texts(kept: DataFrame, path: str) -> None:

@@ -1,4 +1,4 @@
-"""Tables in the cluster's shared folder, which cut lineage and outlive executors."""
+"""Tables in the cluster's shared folder, which cut lineage and outlive executors; scans dealt out over all cores."""
 
 from __future__ import annotations
 
@@ -7,18 +7,44 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Tables of up to so many rows of ids are joined by broadcast (some 80 bytes each), larger ones by a shuffle.
+BROADCAST_ROWS = 200_000
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; a temporary one, set for the session, if it names none."""
+    """The folder named in spark.checkpoint.dir. Where it names none, a local master gets a temporary one, set for the session;
+    on a cluster that is an error, since executors would not see each other's files."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         where = tempfile.mkdtemp(prefix="corpusloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where.rstrip("/")
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back, so that nothing before it is computed again."""
-    path = f"{shared_dir(df.sparkSession)}/corpusloom/{name}-{uuid.uuid4().hex}"
+    """Write a table to the shared folder and read it back, so that nothing before it is computed again.
+
+    What a session has written goes when its JVM ends.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/corpusloom/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, a written table, marked for broadcast if it has at most so many rows."""
+    return df.hint("broadcast") if df.count() <= most else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """A scan with fewer splits than there are cores, dealt out to all of them; a scan of a large table stays as it is.
+
+    A file of one row group is one task however many splits are planned, which at small sizes leaves the cores idle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

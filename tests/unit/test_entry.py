@@ -2,6 +2,7 @@
 
 import os
 
+import pandas as pd
 import pytest
 
 from corpusloom.plans import catalogue
@@ -23,7 +24,7 @@ def duck():
 
 
 def rows_of(frame, columns):
-    plain = lambda v: None if v is None or v != v else float(v) if isinstance(v, float) else v
+    plain = lambda v: None if pd.api.types.is_scalar(v) and pd.isna(v) else float(v) if isinstance(v, float) else v
     return sorted((tuple(plain(v) for v in row) for row in frame[columns].astype(object).values.tolist()), key=repr)
 
 
