@@ -25,7 +25,7 @@ def _small_star(links: DataFrame) -> DataFrame:
     return down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """node, component (its smallest node) of every node that has a link; links has columns u and v.
 
     Null ends and links of a node to itself are ignored; an empty table gives an empty one. Each round is written to the
@@ -33,28 +33,26 @@ def components(links: DataFrame, most_rounds: int = 50) -> DataFrame:
     """
     stars = materialize(links.where("u is not null and v is not null and u <> v").select("u", "v").distinct(), "links")
     before = None
-    for _ in range(most_rounds):
+    while True:
         stars = materialize(_small_star(_large_star(stars)), "stars")
         state = stars.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
         before = state
-    raise RuntimeError(f"links did not settle in {most_rounds} rounds")
 
 
-def forest_roots(links: DataFrame, most_rounds: int = 50) -> DataFrame:
+def forest_roots(links: DataFrame) -> DataFrame:
     """node, component of a forest: links (u, v) with v smaller than u and one link for each u at most.
 
     Each round replaces a node's ancestor by that ancestor's own, so the rounds grow with the logarithm of the depth, and
     the rows of a round are the nodes.
     """
     state = materialize(links.select(F.col("u").alias("node"), F.col("v").alias("component")), "forest")
-    for _ in range(most_rounds):
+    while True:
         above = state.select(F.col("node").alias("component"), F.col("component").alias("above"))
         if state.join(above, "component", "left_semi").isEmpty():
             return state.unionByName(state.select(F.col("component").alias("node"), "component").distinct())
         state = materialize(state.join(above, "component", "left").select("node", F.coalesce("above", "component").alias("component")), "forest")
-    raise RuntimeError(f"the forest is deeper than {most_rounds} rounds reach")
 
 
 def merge(label: DataFrame, links: DataFrame) -> DataFrame:

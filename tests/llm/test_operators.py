@@ -81,6 +81,21 @@ def test_suffix_dedup_equals_brute_force(spark, monkeypatch, bin_contexts):
     assert cleaned[0] is None and cleaned[2] == "short" and cleaned[3] == ""
 
 
+def test_suffix_dedup_reports_passages_that_are_too_short_to_go(spark):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    text = lambda n: " ".join(word() for _ in range(n))
+    short, long, few = text(54), text(80), "x" + "y" * 300
+    texts = [f"{text(30)} {short} {text(9)}", f"{text(5)} {short}", f"{long} {text(20)}", f"{text(20)} {long} {short}", f"{text(7)} {few} {text(5)}", f"{few} {text(40)}", text(200), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = {r["doc_id"]: r for r in suffix_dedup.remove_repeats(df, 400, shortest=250).collect()}
+    assert [found[i]["n_removed"] > 0 for i in range(8)] == [False, False, True, True, False, False, False, False]
+    assert [found[i]["n_passages"] for i in range(8)] == [1, 1, 1, 1, 0, 0, 0, 0]
+    cleaned = {r["doc_id"]: r["text"] for r in suffix_dedup.clean(df, 400, shortest=250).collect()}
+    assert all(short not in (t or "") and long not in (t or "") for t in cleaned.values())
+    assert all(cleaned[i] == texts[i] for i in range(4, 8)) and len(cleaned[0]) >= len(texts[0]) - len(short) - 2
+
+
 def test_suffix_dedup_of_nothing(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -210,6 +225,23 @@ def plain_sets(texts):
     return out
 
 
+def plain_components(sets, percent=85):
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if sets[i] and sets[j] and 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
+                a, b = root(i), root(j)
+                parent[max(a, b)] = min(a, b)
+    return [root(i) for i in range(len(sets))]
+
+
 def test_near_dedup_equals_brute_force(spark):
     rng = random.Random(11)
     texts = [None, "", " \n", "one two", "ONE  two", "one two three four five"]
@@ -225,19 +257,7 @@ def test_near_dedup_equals_brute_force(spark):
     for i in range(6):
         texts.append(" ".join([*(f"new{k}" for k in range(5 * i)), *chain[5 * i :]]))
     sets = plain_sets(texts)
-    parent = list(range(len(texts)))
-
-    def root(i):
-        while parent[i] != i:
-            i = parent[i]
-        return i
-
-    for i in range(len(texts)):
-        for j in range(i):
-            both = len(sets[i] & sets[j])
-            if sets[i] and sets[j] and 100 * both >= 85 * (len(sets[i]) + len(sets[j]) - both):
-                a, b = root(i), root(j)
-                parent[max(a, b)] = min(a, b)
+    root = plain_components(sets).__getitem__
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
     found = {r["doc_id"]: r for r in near_dedup.near_duplicates(df).collect()}
     for i in range(len(texts)):
@@ -245,6 +265,43 @@ def test_near_dedup_equals_brute_force(spark):
     assert near_dedup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_near_dedup_of_a_large_group_equals_brute_force(spark, seed):
+    """Copies most of which are alike but not alike enough: edits, cut ends, a block that many share, in a random order."""
+    rng = random.Random(seed)
+    base, block = sentence(rng, 150).split(), sentence(rng, 40).split()
+    other = base[:90] + block + base[130:]
+    texts = []
+    for source, n in ((base, 90), (other, 60)):
+        for _ in range(n):
+            copy = list(source)
+            for _ in range(rng.randint(0, 9)):
+                copy[rng.randrange(len(copy))] = f"edit{rng.randint(0, 40 if seed == 1 else 10**6)}"
+            texts.append(" ".join(copy))
+    texts += [" ".join(base[:k]) for k in range(80, 150, 3)] + [" ".join(other[k:]) for k in range(2, 60, 4)]
+    texts += [sentence(rng, rng.randint(30, 60)) for _ in range(20)]
+    rng.shuffle(texts)
+    sets = plain_sets(texts)
+    want = plain_components(sets)
+    found = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()}
+    assert [found[i] for i in range(len(texts))] == want
+    assert 2 < len(set(want)) < len(texts)
+
+
+def test_near_dedup_of_odd_rows(spark):
+    """Null ids are linked with nothing, rows that share an id are one document, ends of very many pairs come in parts."""
+    rng = random.Random(4)
+    a, b = sentence(rng, 50), sentence(rng, 50)
+    rows = [(5, a, "x"), (5, a, "y"), (7, b, None), (5, b, "z"), (None, a, "x"), (None, None, "x"), (9, None, "x"), (8, a + " more", "x")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, component_id string")
+    found = sorted(near_dedup.near_duplicates(df).select("doc_id", "component_id", "kept").collect(), key=repr)
+    assert sorted({(r["doc_id"], r["component_id"], r["kept"]) for r in found}, key=repr) == sorted([(5, 5, True), (7, 5, False), (8, 5, False), (9, 9, True), (None, None, True)], key=repr)
+    assert len(found) == len(rows)
+    pairs = spark.createDataFrame([(i, 0) for i in range(1, 700)], "u long, v long")
+    sets = spark.createDataFrame([(i, 2, [7, 8]) for i in range(700)], "node long, n long, shingles array<long>")
+    assert near_dedup.confirm(pairs, sets, 85).count() == 699
+
+
 def test_signatures_estimate_similarity(spark):
     rng = random.Random(2)
     base = sentence(rng, 400).split()
