@@ -16,7 +16,7 @@ from corpusloom.llm.decontamination import contaminated
 from corpusloom.llm.language_id import identify, train
 from corpusloom.llm.near_dedup import near_duplicates
 from corpusloom.llm.packing import pack
-from corpusloom.llm.suffix_dedup import clean
+from corpusloom.llm.suffix_dedup import PASSAGE, clean
 
 #: Ids that go are joined by broadcast up to this number (8 bytes each), by a shuffle beyond it.
 BROADCAST_IDS = 500_000
@@ -48,13 +48,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of 400 bytes and more that occur twice are cut out; a document of which nothing is left goes.
+    """Passages that occur twice are cut out if they have 400 bytes, or more than 50 words; a document of which nothing is left goes.
 
     n_chars, where there is one, follows the text.
     """
     plain = _plain(docs)
     had = F.length(F.coalesce(F.col("text"), F.lit(""))) > 0
-    found = clean(plain.withColumn("had_text", had)).where("not had_text or text <> ''").select(*plain.columns).toDF(*docs.columns)
+    found = clean(plain.withColumn("had_text", had), shortest=PASSAGE).where("not had_text or text <> ''").select(*plain.columns).toDF(*docs.columns)
     return found.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else found
 
 
