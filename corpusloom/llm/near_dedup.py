@@ -311,3 +311,19 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
 def op5_near_dedup(spark, sf_dir: str) -> DataFrame:
     """All documents, linked at 85 hundredths of their five-word shingles."""
     return near_duplicates(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), 85)
+
+
+#: Every pair with a shingle in common is compared, and what each document reaches is walked.
+OP5_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+each AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM sets),
+links AS (
+  SELECT a.doc_id AS u, b.doc_id AS v FROM each a JOIN each b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+ways AS (SELECT u, v FROM links UNION ALL SELECT v, u FROM links),
+reached AS (SELECT doc_id, doc_id AS c FROM sets UNION SELECT v, c FROM reached JOIN ways ON u = reached.doc_id),
+least AS (SELECT doc_id, min(c) AS c FROM reached GROUP BY doc_id)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, c AS component_id, doc_id = c AS kept FROM sets JOIN least USING (doc_id)
+"""

@@ -20,6 +20,8 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op1_suffix_dedup": suffix_dedup.OP1_SQL,
     "op4_chat_format": chat_format.OP4_SQL,
+    "op5_near_dedup": near_dedup.OP5_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
 }

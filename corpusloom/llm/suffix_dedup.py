@@ -367,3 +367,35 @@ def op1_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """
     found = remove_repeats(spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), shortest=PASSAGE)
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"), "n_passages")
+
+
+#: Bytes as hexadecimal digits. Windows are told apart by MD5, runs are islands of windows that touch.
+OP1_SQL = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, strlen(coalesce(text, ''))::BIGINT AS n FROM documents),
+long AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 399)) AS i FROM d WHERE n >= 400)) QUALIFY count(*) OVER (PARTITION BY k) > 1),
+long_runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 400 AS b FROM (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run
+    FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS opens FROM long)) GROUP BY doc_id, run),
+short AS (
+  SELECT doc_id, i FROM (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 500)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 249)) AS i FROM d WHERE n >= 250)) QUALIFY count(*) OVER (PARTITION BY k) > 1),
+short_runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 250 AS b FROM (SELECT doc_id, i, sum(opens) OVER (PARTITION BY doc_id ORDER BY i) AS run
+    FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 250 THEN 0 ELSE 1 END AS opens FROM short ANTI JOIN long_runs USING (doc_id))) GROUP BY doc_id, run),
+bytes AS (
+  SELECT doc_id, i, substr(h, 2 * i + 1, 2) IN ('20', '09', '0A', '0B', '0C', '0D') AS space FROM (SELECT doc_id, h, unnest(range(0, n)) AS i FROM d SEMI JOIN short_runs USING (doc_id))),
+words AS (
+  SELECT doc_id, min(i) AS s, max(i) + 1 AS e FROM (SELECT doc_id, i, space, sum(space::INT) OVER (PARTITION BY doc_id ORDER BY i) AS word FROM bytes) WHERE NOT space GROUP BY doc_id, word),
+passages AS (
+  SELECT doc_id, count(*) AS n_passages FROM (SELECT doc_id, a FROM short_runs JOIN words USING (doc_id) WHERE s >= a AND e <= b GROUP BY doc_id, a HAVING count(*) > 50) GROUP BY doc_id),
+gaps AS (
+  SELECT doc_id, a AS upto, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM long_runs
+  UNION ALL SELECT doc_id, n, coalesce(last, 0) FROM d LEFT JOIN (SELECT doc_id, max(b) AS last FROM long_runs GROUP BY doc_id) USING (doc_id)),
+kept AS (
+  SELECT doc_id, string_agg(substr(h, 2 * since + 1, 2 * (upto - since)), '' ORDER BY since) AS k FROM gaps JOIN d USING (doc_id) GROUP BY doc_id),
+gone AS (
+  SELECT doc_id, sum(b - a)::BIGINT AS n_removed, count(*) AS n_spans FROM long_runs GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k)) AS kept_sha256, coalesce(n_spans, n_passages, 0) AS n_passages
+FROM d JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id) LEFT JOIN passages USING (doc_id)
+"""
