@@ -5,6 +5,8 @@ Documents are rows (doc_id, text); the stem of doc_id stands in for a file's nam
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -37,6 +39,25 @@ CONTENTS_LIKE = r"(?:[A-Za-z)] \d{1,3} [A-Z(].*){3,}"
 GENERIC = (
     "leave resource resources employee employees policy process purpose it they he she this these staff company organisation organization management he/she member members"
 ).split()
+#: The questions' templates and the prompt for generated pairs.
+SECTION_QA = "What does the {title} say about {section}?"
+SECTION_SUM = "Summarise the '{section}' provisions of the {title}."
+GENERIC_RULE = "Under the {title}, what is the rule for {subject} on {section}?"
+CLAUSE_RULE = "What does the {title} require regarding {subject}?"
+CLAUSE_CLOZE = "Complete this rule from the {title} (section '{section}'): \"{half} ...\""
+PROMPT = (
+    "Read the text below and generate {n} instruction-response pairs in JSON format "
+    "based ONLY on this text. Each entry must have instruction and response keys.\n"
+    "The instruction must be a question an employee or HR executive would realistically ask; "
+    "the response must answer it using only facts stated in the text (quote numbers, limits "
+    "and conditions exactly). Return a JSON list only, with no commentary.\n\n"
+    "Document: {title}\n---\n{chunk}\n---"
+)
+
+
+def fill(template: str, **values: Column) -> Column:
+    """A template with columns for its names in braces."""
+    return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(re.split(r"\{(\w+)\}", template))])
 
 
 def document_titles(docs: DataFrame, curated: DataFrame | None = None) -> DataFrame:
@@ -128,8 +149,8 @@ def section_pairs(sections: DataFrame, titles: DataFrame) -> DataFrame:
 
     nothing = F.lit(None).cast("struct<instruction:string,response:string,type:string>")
     some = (F.col("words") >= 20) & (F.col("heading") != "Overview")
-    qa = F.when(some, pair(F.concat(F.lit("What does the "), "title", F.lit(" say about "), lower, F.lit("?")), X.truncate_words(F.col("body"), 180), "section_qa")).otherwise(nothing)
-    summary = F.when(some & (F.col("words") >= 60), pair(F.concat(F.lit("Summarise the '"), "heading", F.lit("' provisions of the "), "title", F.lit(".")), X.first_sentences(F.col("body")), "section_sum")).otherwise(nothing)
+    qa = F.when(some, pair(fill(SECTION_QA, title=F.col("title"), section=lower), X.truncate_words(F.col("body"), 180), "section_qa")).otherwise(nothing)
+    summary = F.when(some & (F.col("words") >= 60), pair(fill(SECTION_SUM, title=F.col("title"), section=F.col("heading")), X.first_sentences(F.col("body")), "section_sum")).otherwise(nothing)
 
     def of_clause(c: Column) -> Column:
         n = X.word_count(c)
@@ -138,10 +159,10 @@ def section_pairs(sections: DataFrame, titles: DataFrame) -> DataFrame:
 
         def ask(s: Column) -> Column:
             generic = F.lower(s).isin(*GENERIC)
-            return F.when(generic, F.concat(F.lit("Under the "), F.col("title"), F.lit(", what is the rule for "), s, F.lit(" on "), lower, F.lit("?"))).otherwise(F.concat(F.lit("What does the "), F.col("title"), F.lit(" require regarding "), s, F.lit("?")))
+            return F.when(generic, fill(GENERIC_RULE, title=F.col("title"), subject=s, section=lower)).otherwise(fill(CLAUSE_RULE, title=F.col("title"), subject=s))
 
         half = F.array_join(F.slice(X.word_list(c), F.lit(1), F.greatest(F.lit(5), F.floor(n / 2).cast("int"))), " ")
-        cloze = F.concat(F.lit("Complete this rule from the "), F.col("title"), F.lit(" (section '"), F.col("heading"), F.lit("'): \""), half, F.lit(' ..."'))
+        cloze = fill(CLAUSE_CLOZE, title=F.col("title"), section=F.col("heading"), half=half)
         return F.when(~n.between(8, 90), nothing).when(rule, pair(let(clean_subject(subject), ask), c, "clause_rule")).when(c.rlike(LIMIT_WORDS) & (n >= 12), pair(cloze, c, "clause_cloze")).otherwise(nothing)
 
     every = F.filter(F.concat(F.array(qa, summary), F.transform("clauses", of_clause)), lambda p: p.isNotNull())
@@ -183,13 +204,30 @@ def dedup_pairs(pairs: DataFrame, order: str = "id") -> DataFrame:
         open_ = materialize(open_.join(taken.select("q").distinct(), "q", "left_anti").join(taken.select("a").distinct(), "a", "left_anti").select(order, "q", "a"), "pairs")
 
 
-def instruction_dataset(docs: DataFrame, curated: DataFrame | None = None, settings: Settings = Settings(), pinned: list[str] | None = None, least: int = 0) -> DataFrame:
+def chunk_prompts(docs: DataFrame, curated: DataFrame | None = None, n: int = 10, size: int = 600) -> DataFrame:
+    """doc_id, chunk (from 0), title, prompt: what a generator is asked about each `size` words of a document."""
+    rows = docs.select("doc_id", F.posexplode(X.word_chunks(F.col("text"), size)).alias("chunk", "words")).join(document_titles(docs, curated), "doc_id")
+    return rows.select("doc_id", "chunk", "title", fill(PROMPT, n=F.lit(str(n)), title=F.col("title"), chunk=F.col("words")).alias("prompt"))
+
+
+def reply_pairs(replies: DataFrame) -> DataFrame:
+    """The pairs of a generator's replies (doc_id, chunk, title, reply), as section_pairs gives them: a chunk is a section."""
+    listed = parse_replies(replies.select("doc_id", "chunk", "title", "reply"))
+    w = W.partitionBy("doc_id", "chunk").orderBy("instruction", "response")  # of one reply
+    name = F.concat(F.lit("chunk "), F.col("chunk").cast("string"))
+    return listed.select("doc_id", F.col("chunk").alias("section"), name.alias("heading"), "title", (F.row_number().over(w) - 1).alias("pos"), "instruction", "response", F.lit("llm_synthetic").alias("type"))
+
+
+def instruction_dataset(docs: DataFrame, curated: DataFrame | None = None, settings: Settings = Settings(), pinned: list[str] | None = None, least: int = 0, replies: DataFrame | None = None) -> DataFrame:
     """split, id (from 0 in each split), instruction, response, type, group, section, source, document_title, method.
 
-    Fewer pairs than `least` raise ValueError.
+    Fewer pairs than `least` raise ValueError. With `replies` (of a generator to chunk_prompts) the pairs come from these.
     """
-    sections = materialize(split_sections(docs), "sections")
-    pairs = filter_pairs(cap_pairs(section_pairs(sections, document_titles(docs, curated)), settings.max_pairs_per_doc, settings.seed))
+    if replies is None:
+        sections = materialize(split_sections(docs), "sections")
+        pairs = filter_pairs(cap_pairs(section_pairs(sections, document_titles(docs, curated)), settings.max_pairs_per_doc, settings.seed))
+    else:
+        pairs = filter_pairs(reply_pairs(replies))
     key = F.struct(F.col("doc_id").cast("string").alias("d"), "section", "pos")
     kept = dedup_pairs(materialize(pairs.withColumn("key", key), "instructions"), "key")
     if least and kept.limit(least).count() < least:
@@ -197,7 +235,7 @@ def instruction_dataset(docs: DataFrame, curated: DataFrame | None = None, setti
     named = kept.withColumn("group", F.concat(F.col("doc_id").cast("string"), F.lit("::"), F.col("section").cast("string")))
     pin = F.lower(F.col("doc_id").cast("string")).isin(*[p.lower() for p in pinned]) if pinned else None
     split = grouped_split(named, "group", settings.instruction_train_fraction, settings.seed, pin)
-    return numbered(split, "split", [seeded(settings.seed, "group"), "group", "key"]).select("split", "id", "instruction", "response", "type", "group", F.col("heading").alias("section"), F.col("doc_id").cast("string").alias("source"), F.col("title").alias("document_title"), F.lit("heuristic").alias("method"))
+    return numbered(split, "split", [seeded(settings.seed, "group"), "group", "key"]).select("split", "id", "instruction", "response", "type", "group", F.col("heading").alias("section"), F.col("doc_id").cast("string").alias("source"), F.col("title").alias("document_title"), F.lit("heuristic" if replies is None else "llm").alias("method"))
 
 
 def instruction_statistics(data: DataFrame) -> DataFrame:

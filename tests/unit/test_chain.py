@@ -182,6 +182,16 @@ def test_pair_filters_caps_and_least_number(spark):
         instructions.instruction_dataset(spark.createDataFrame([("p", "1. Scope\nStaff shall ask.")], "doc_id string, text string"), least=10)
 
 
+def test_pairs_from_replies(spark):
+    docs = spark.createDataFrame([("p", "Leave Policy\n" + "staff may ask " * 300), ("q", "short text")], "doc_id string, text string")
+    prompts = instructions.chunk_prompts(docs)
+    assert sorted((r["doc_id"], r["chunk"]) for r in prompts.collect()) == [("p", 0), ("p", 1), ("q", 0)]
+    assert prompts.where("doc_id = 'q'").first()["prompt"].endswith("Document: Q\n---\nshort text\n---")
+    reply = F.concat(F.lit('Here: [{"instruction": "Who asks '), "doc_id", F.col("chunk").cast("string"), F.lit('?", "response": "the staff asks in chapter '), F.col("chunk").cast("string"), F.col("doc_id"), F.lit(' then"}]'))
+    found = instructions.instruction_dataset(docs, replies=prompts.withColumn("reply", reply))
+    assert {(r["type"], r["method"], r["section"]) for r in found.collect()} == {("llm_synthetic", "llm", "chunk 0"), ("llm_synthetic", "llm", "chunk 1")} and found.count() == 3
+
+
 def test_sinks_replace_what_was_there(spark, tmp_path):
     a, b = (spark.createDataFrame([(k, "t")], "doc_id string, text string") for k in "ab")
     for df in (a, b):
