@@ -37,7 +37,7 @@ def pack_blocks(encoded: DataFrame, size: int = 2048, split: str = "split", orde
     first = few(materialize(counted.groupBy(split).agg(F.sum("_n").alias("_all")), "totals"))  # a row for each split
     base = first.alias("a").join(first.alias("b"), F.col(f"b.{split}") < F.col(f"a.{split}"), "left").groupBy(F.col(f"a.{split}").alias(split)).agg(F.coalesce(F.sum("b._all"), F.lit(0)).alias("_base"))
     at = F.col("_before") - F.col("_base")
-    rows = placed.join(F.broadcast(base), split).select(split, "ids", at.alias("_at"), F.size("ids").alias("_n"))
+    rows = placed.join(few(materialize(base, "bases")), split).select(split, "ids", at.alias("_at"), F.size("ids").alias("_n"))
 
     def piece(block: Column) -> Column:
         start = F.greatest(block * size - F.col("_at"), F.lit(0)).cast("int")

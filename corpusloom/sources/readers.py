@@ -61,6 +61,21 @@ def read_binary(spark: SparkSession, folder: str, glob: str = "*.[pP][dD][fF]")
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
 
 
+def form_feed_pages(content: bytes) -> list[str]:
+    """An extractor for plain text: pages end at form feeds, as command-line converters write them."""
+    pages = content.decode("utf-8").split("\f")
+    return pages[:-1] if len(pages) > 1 and not pages[-1].strip() else pages
+
+
+def pdf_pages(content: bytes) -> list[str | None]:
+    """An extractor for PDF files, by pypdf where that is installed; a missing package is every file's error."""
+    import io
+
+    import pypdf
+
+    return [page.extract_text() for page in pypdf.PdfReader(io.BytesIO(content)).pages]
+
+
 def extract_pages(files: DataFrame, extractor: Callable[[bytes], list[str | None]]) -> DataFrame:
     """doc_id, page_no (from 1), text, error: each file's pages by an extractor; a file that it fails on gives one row with the error.
 

@@ -154,6 +154,32 @@ def test_build_packed_raises_without_a_block(spark, tmp_path):
     assert stream == want
 
 
+def test_tokenizers_from_files_pack_too(spark):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    from corpusloom.functions.tokens import load_tokenizer
+
+    path = public.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    some = sorted(plain.get_vocab(), key=plain.get_vocab().get)[:2]
+    with pytest.raises(ValueError):
+        load_tokenizer(path, "<no such token>", some[1])
+    loaded = load_tokenizer(path, *some)
+    docs = spark.createDataFrame([("train", "a", "Leave policy, staff!"), ("train", "b", None)], "split string, document_id string, text string")
+    found = {r["document_id"]: r["ids"] for r in blocks.encode(docs, loaded.ids, loaded.bos, loaded.eos).collect()}
+    assert found == {"a": [loaded.bos, *plain.encode("Leave policy, staff!", add_special_tokens=False).ids, loaded.eos], "b": [loaded.bos, loaded.eos]}
+    assert blocks.build_packed(docs, 4, loaded.ids, splits=("train",), bos=loaded.bos, eos=loaded.eos)[0].count() == len(found["a"] + found["b"]) // 4
+
+
+def test_page_extractors(spark):
+    files = spark.createDataFrame([("x/a.txt", b"one\ftwo\f"), ("b.txt", b"\xff\xfe"), ("c.txt", b"")], "path string, content binary")
+    rows = sorted(((r["doc_id"], r["page_no"], r["text"], (r["error"] or "")[:12]) for r in readers.extract_pages(files, readers.form_feed_pages).collect()), key=repr)
+    assert rows == [("a.txt", 1, "one", ""), ("a.txt", 2, "two", ""), ("b.txt", None, None, "UnicodeDecod"), ("c.txt", 1, "", "")]
+    failed = readers.extract_pages(files.limit(1), readers.pdf_pages).collect()
+    assert len(failed) == 1 and failed[0]["error"]
+
+
 def test_rouge_equals_the_usual_table(spark):
     rng = random.Random(4)
     pairs = [(" ".join(rng.choice("abcde") for _ in range(rng.randint(0, 20))), " ".join(rng.choice("abcde") for _ in range(rng.randint(0, 90)))) for _ in range(40)] + [(None, "a"), ("a", None), ("A b", "a B")]
