@@ -182,13 +182,13 @@ SETTINGS = Settings()
 CLEANED_SQL = f"c AS (SELECT doc_id, text AS raw, {sql_clean('text')} AS text, lang FROM documents)"
 #: Records of c(doc_id, raw, text, lang).
 OF_CLEANED_SQL = f"""
-d AS (SELECT *, len({sql_words('text')}) AS wc, sha256(lower(array_to_string({sql_words('text')}, ' '))) AS digest FROM c),
+d AS MATERIALIZED (SELECT *, len({sql_words('text')}) AS wc, sha256(lower(array_to_string({sql_words('text')}, ' '))) AS digest FROM c),
 f AS (SELECT *, min(doc_id) OVER (PARTITION BY digest) AS first_of FROM d WHERE wc >= 100),
 orig AS (SELECT doc_id, text, lang FROM f WHERE doc_id = first_of),
 w AS (SELECT doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM orig),
-sets AS (SELECT doc_id, list_distinct(list_transform(range(0, greatest(1, len(w) - 4)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS s FROM w),
+sets AS MATERIALIZED (SELECT doc_id, list_distinct(list_transform(range(0, greatest(1, len(w) - 4)), lambda i: array_to_string(w[i + 1:i + 5], ' '))) AS s FROM w),
 sh AS (SELECT doc_id, len(s) AS n, unnest(s) AS s FROM sets),
-pairs AS (SELECT a.doc_id AS later, b.doc_id AS earlier, count(*) / (a.n + b.n - count(*)) AS similarity FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id > b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n),
+pairs AS MATERIALIZED (SELECT a.doc_id AS later, b.doc_id AS earlier, count(*) / (a.n + b.n - count(*)) AS similarity FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id > b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n),
 edges AS (SELECT * FROM pairs WHERE similarity >= 0.8),
 nodes AS (SELECT doc_id, lang, row_number() OVER (ORDER BY doc_id) AS rn FROM orig WHERE doc_id IN (SELECT later FROM edges UNION SELECT earlier FROM edges)),
 steps AS (SELECT n.rn, n.doc_id, n.lang, coalesce(list(e.earlier) FILTER (e.earlier IS NOT NULL), []) AS earlier FROM nodes n LEFT JOIN edges e ON e.later = n.doc_id GROUP BY ALL),
@@ -311,10 +311,10 @@ heads AS (SELECT file, list(line) AS boilerplate FROM (SELECT file, line, count(
   JOIN marked USING (file) WHERE k >= greatest(3, n // 2) AND length(line) < 120 GROUP BY file),
 cut AS (SELECT file, page, text, string_split(text, chr(10)) AS l FROM p),
 seen AS (SELECT *, list_filter(range(1, len(l) + 1), lambda i: regexp_matches(l[i], '\S')) AS filled FROM cut),
-edged AS (SELECT file, page, text, array_to_string(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN (i = filled[1] OR i = filled[-1]) AND regexp_matches(l[i], '{X.EDGE_NUMBER}') THEN '' ELSE l[i] END), chr(10)) AS edged FROM seen),
+edged AS MATERIALIZED (SELECT file, page, text, array_to_string(list_transform(range(1, len(l) + 1), lambda i: CASE WHEN (i = filled[1] OR i = filled[-1]) AND regexp_matches(l[i], '{X.EDGE_NUMBER}') THEN '' ELSE l[i] END), chr(10)) AS edged FROM seen),
 files AS (SELECT file, string_agg('--- PAGE ' || page || ' ---' || chr(10) || text, chr(10) || chr(10) ORDER BY page) AS raw, string_agg('--- PAGE ' || page || ' ---' || chr(10) || edged, chr(10) || chr(10) ORDER BY page) AS edged FROM edged GROUP BY file),
 named AS (SELECT file, CASE WHEN file % 4 = 0 THEN 'a_dup_' ELSE 'b_' END || lpad(file::VARCHAR, 12, '0') || '.txt' AS file_name, raw, edged, coalesce(boilerplate, []) AS boilerplate, lang FROM files LEFT JOIN heads USING (file) JOIN (SELECT file, min(lang) AS lang FROM p GROUP BY file) USING (file)),
-c AS (SELECT row_number() OVER (ORDER BY contains(file_name, 'dup'), file_name) - 1 AS doc_id, file_name, raw, {sql_clean('edged', " AND NOT list_contains(boilerplate, x)")} AS text, lang FROM named)
+c AS MATERIALIZED (SELECT row_number() OVER (ORDER BY contains(file_name, 'dup'), file_name) - 1 AS doc_id, file_name, raw, {sql_clean('edged', " AND NOT list_contains(boilerplate, x)")} AS text, lang FROM named)
 """
 
 
@@ -607,7 +607,7 @@ m AS (SELECT run, any_value(w)::INT AS win, avg(loss) FILTER (i <= w) AS head, a
 SELECT run, win AS "window", round(100 * (1 - tail / head), 2) AS window_mean_loss_drop_percent, round(tail - last_eval, 4) AS final_train_eval_gap, best_step AS min_eval_loss_step FROM m""",
 )
 def loss_summary(spark, sf_dir):
-    return metrics.loss_summary(curves(spark, sf_dir)).select("run", "window", "window_mean_loss_drop_percent", "final_train_eval_gap", "min_eval_loss_step")
+    return metrics.loss_summary(curves(spark, sf_dir)).select("run", "window", "window_mean_loss_drop_percent", "final_train_eval_gap", F.col("min_eval_loss_step").cast("long").alias("min_eval_loss_step"))
 
 
 @query("epoch_means", f"WITH {CURVES_SQL} SELECT run, round(avg(loss) FILTER (step <= 5), 6) AS first_mean, round(avg(loss) FILTER (step > 5), 6) AS second_mean FROM curves GROUP BY run")
