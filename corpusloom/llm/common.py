@@ -79,6 +79,10 @@ def in_worker(name: str, make: Callable[[], object]):
     return getattr(kept, name)
 
 
+#: Rows of an Arrow batch between the JVM and a worker, at most.
+BATCH_ROWS = 2_000
+
+
 def release() -> None:
     """Gives memory that is free back to the system: a worker that waits for its next task, of whatever stage, holds little."""
     pa.default_memory_pool().release_unused()
@@ -87,7 +91,13 @@ def release() -> None:
 
 
 def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
-    """df.mapInArrow, after which each task gives its free memory back."""
+    """df.mapInArrow, after which each task gives its free memory back.
+
+    Texts may be long, so the session's Arrow batches are brought down to BATCH_ROWS rows, if they have more.
+    """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(rows, "0")) <= BATCH_ROWS:
+        df.sparkSession.conf.set(rows, str(BATCH_ROWS))
 
     def tidy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
@@ -96,6 +106,13 @@ def arrow_map(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[
     return df.mapInArrow(tidy, schema)
 
 
+def forget(name: str) -> None:
+    """Lets go of what in_worker keeps under a name."""
+    kept = sys.modules.get("_corpusloom_worker")
+    if kept is not None and hasattr(kept, name):
+        delattr(kept, name)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """A scan with fewer splits than there are cores, dealt out to all of them; a scan of a large table stays as it is.
 

@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import arrow_map, in_worker, materialize, slices, spread
+from corpusloom.llm.common import arrow_map, forget, in_worker, materialize, release, slices, spread
 
-#: Words no longer than this are remembered from task to task in each worker, in two generations of so many (some 350 bytes
-#: a word, so about 140 MB at most): when the young one is full it becomes the old one, and words still in use move back.
-REMEMBERED_BYTES, GENERATION = 64, 200_000
+#: Words no longer than this are remembered from task to task in each worker, in two generations of so many (some 200 bytes
+#: a word, so about 170 MB at most): when the young one is full it becomes the old one, and words still in use move back.
+REMEMBERED_BYTES, GENERATION = 64, 250_000
 #: Totals of up to so many tasks are joined by broadcast (16 bytes each); more by a shuffle join.
 BROADCAST_TASKS = 100_000
 
@@ -140,7 +140,9 @@ def pack(df: DataFrame, path: str | None = None, length: int = 4096, end_id: int
     kind = WordEncoder(path).kind
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        forget(f"words {path}")  # the first pass is over
+        release()
+        for batch in slices(batches, "ids", 1 << 20):
             column = dict(zip(batch.schema.names, batch.columns, strict=True))
             rows, out = [], []
             for k, (at, n, ids) in enumerate(zip(column["at"].to_pylist(), column["n_tokens"].to_pylist(), column["ids"].to_pylist(), strict=True)):

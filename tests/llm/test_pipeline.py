@@ -55,3 +55,26 @@ def test_empty_tables_go_through(spark, folder):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, sf_dir).count() == 0
+
+
+def test_odd_rows_have_a_defined_result(spark, tmp_path):
+    """Null ids pass what decides by id, rows that share an id go together, every column may be null, very long texts are one row."""
+    rng = random.Random(3)
+    unique, again, huge = sentence(rng, 40), sentence(rng, 30), sentence(rng, 20_000)
+    rows = [(None, unique), (None, None), (1, again), (1, again), (2, again + " tail"), (3, huge), (4, "x" * 60_000), (5, " \n"), (6, "12 34"), (None, sentence(rng, 20))]
+    data = [(i, t, None, None, None, *OWN) for i, t in rows]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, _language string, spans int, tid string, _had_text int, found_lang string, had_text string, given_0 string, n_removed string"
+    docs = spark.createDataFrame(data + [(9, sentence(rng, 25), "en", "s", 7, *OWN)], schema).repartition(2)
+    spark.createDataFrame([(1, None), (None, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    seen = {}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = materialize(stage(spark, docs, str(tmp_path)), "t")
+        assert docs.columns == COLUMNS
+        seen[name] = sorted((r["doc_id"] for r in docs.collect()), key=repr)
+    assert seen["language"] == sorted([None, 1, 1, 2, 3, 4, None, 9], key=repr)
+    assert seen["near_dedup"] == sorted([None, 1, 1, 3, 4, None, 9], key=repr)  # 2 is like 1
+    assert seen["suffix_dedup"] == seen["decontamination"]
+    pieces = corpus_pipeline.packing(spark, docs, str(tmp_path)).collect()
+    assert {r["doc_id"] for r in pieces} == set(seen["decontamination"])
+    by = sorted((r["sequence_id"], r["offset"], r["length"]) for r in pieces)
+    assert all(a[1] + a[2] == (b[1] if a[0] == b[0] else 4096) for a, b in zip(by, by[1:]))
