@@ -23,7 +23,7 @@ from corpusloom.llm.common import arrow_map, forget, in_worker, materialize, rel
 
 #: Words no longer than this are remembered from task to task in each worker, in two generations of so many (some 200 bytes
 #: a word, so about 170 MB at most): when the young one is full it becomes the old one, and words still in use move back.
-REMEMBERED_BYTES, GENERATION = 64, 250_000
+REMEMBERED_BYTES, GENERATION = 64, 400_000
 #: Totals of up to so many tasks are joined by broadcast (16 bytes each); more by a shuffle join.
 BROADCAST_TASKS = 100_000
 
