@@ -1,6 +1,7 @@
 """Operators against slow, plain versions of what they compute, and against hostile or planted input."""
 
 import math
+import os
 import random
 import re
 import time
@@ -9,8 +10,9 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from corpusloom.llm import decontamination, html_extract, language_id, lm_scoring, toxicity
+from corpusloom.llm import decontamination, html_extract, language_id, lm_scoring, queries, toxicity
 
+SF = "/root/testdata/sf0.001"
 WORDS = "river stone garden window paper yellow silver winter summer market bridge engine candle forest island mirror pocket ribbon saddle tunnel".split()
 
 
@@ -181,3 +183,20 @@ def test_pairs_are_learnt_whose_terms_say_nothing_alone():
     assert {3 * 99_991, 17 * 99_991} <= set(machine.kept.tolist())
     score = np.array([machine.score(*machine.keep(np.zeros(len(r), np.int64), r), 1)[0] for r in rows[3_000:]])
     assert ((score > 0.5) == (labels[3_000:] > 0)).mean() > 0.95
+
+
+# ---- queries with SQL ---------------------------------------------------------------------------------------------
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    c = duckdb.connect()
+    for table in ("documents", "conversations"):
+        c.sql(f"create view {table} as from '{SF}/{table}.parquet'")
+    got, want = queries.QUERIES[name](spark, SF).toPandas(), c.sql(queries.ORACLE_SQL[name]).df()
+    columns = sorted(want.columns)
+    assert sorted(got.columns) == columns
+    assert sorted(map(tuple, got[columns].values.tolist()), key=repr) == sorted(map(tuple, want[columns].values.tolist()), key=repr)
