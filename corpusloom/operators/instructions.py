@@ -6,6 +6,7 @@ Documents are rows (doc_id, text); the stem of doc_id stands in for a file's nam
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -18,6 +19,8 @@ from corpusloom.operators.prefix import numbered
 from corpusloom.operators.split import grouped_split
 from corpusloom.sources.tables import materialize
 
+#: Tables of accepted pairs, one a round, that are put together at once.
+MOST_TABLES = 30
 #: Patterns of headings, list items, modal clauses, and words that steer the templates.
 TITLE_WORDS = "(?i)polic|rule|manual|code|guideline|program|procedure"
 HEADING = r"(?i)^(?:(?:section|rule|chapter|clause)\s+)?(\d{1,2}(?:\.\d{1,2}){0,2})[.)]?\s+([A-Z][A-Za-z0-9 ,&/()'’\-]{2,80}?)\s*(?:[.:]?\s*[—–-]{1,2}\s*(.*))?$"
@@ -193,15 +196,16 @@ def dedup_pairs(pairs: DataFrame, order: str = "id") -> DataFrame:
     """
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)\W+", " "))
     open_ = materialize(pairs.select(order, F.xxhash64(norm(F.col("instruction"))).alias("q"), F.xxhash64(norm(F.col("response"))).alias("a")), "pairs")
-    accepted = open_.select(order).limit(0)
-    while True:
-        if open_.isEmpty():
-            return pairs.join(accepted, order, "left_semi")
+    accepted: list[DataFrame] = [open_.select(order).limit(0)]
+    while not open_.isEmpty():
         q = open_.groupBy("q").agg(F.min(order).alias("q_first"))
         a = open_.groupBy("a").agg(F.min(order).alias("a_first"))
         taken = materialize(open_.join(q, "q").join(a, "a").where((F.col(order) == F.col("q_first")) & (F.col(order) == F.col("a_first"))).select(order, "q", "a"), "taken")
-        accepted = materialize(accepted.unionByName(taken.select(order)), "accepted")
+        accepted.append(taken.select(order))
+        if len(accepted) > MOST_TABLES:
+            accepted = [materialize(reduce(DataFrame.unionByName, accepted), "accepted")]
         open_ = materialize(open_.join(taken.select("q").distinct(), "q", "left_anti").join(taken.select("a").distinct(), "a", "left_anti").select(order, "q", "a"), "pairs")
+    return pairs.join(reduce(DataFrame.unionByName, accepted), order, "left_semi")
 
 
 def chunk_prompts(docs: DataFrame, curated: DataFrame | None = None, n: int = 10, size: int = 600) -> DataFrame:
