@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from corpusloom.llm import chat_format, decontamination, html_extract, language_id, lm_scoring, near_dedup, packing, quality_rules, suffix_dedup, toxicity
+from corpusloom.llm import chat_format, decontamination, filter_audit, html_extract, language_id, license_scan, lm_scoring, near_dedup, packing, prefix_trie, quality_rules, suffix_dedup, toxicity
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
@@ -16,6 +16,9 @@ QUERIES = {
     "op8_lm_scoring": lm_scoring.op8_lm_scoring,
     "op9_html_extraction": html_extract.op9_html_extraction,
     "op10_toxicity": toxicity.op10_toxicity,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_license_scan": license_scan.op12_license_scan,
+    "op13_prefix_trie": prefix_trie.op13_prefix_trie,
     "pipeline": corpus_pipeline.run,
 }
 
@@ -24,4 +27,7 @@ ORACLE_SQL = {
     "op4_chat_format": chat_format.OP4_SQL,
     "op5_near_dedup": near_dedup.OP5_SQL,
     "op7_quality_rules": quality_rules.OP7_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
+    "op12_license_scan": license_scan.OP12_SQL,
+    "op13_prefix_trie": prefix_trie.OP13_SQL,
 }
