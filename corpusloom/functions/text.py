@@ -113,7 +113,7 @@ def shingles(text: Column, size: int = 5) -> Column:
     """The distinct word shingles; a text of fewer words has one, of no words the empty one."""
 
     def of(words: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(words) - size + 1)), lambda i: F.array_join(F.slice(words, i, size), " ")))
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(words) - size)), lambda i: F.concat_ws(" ", *[F.get(words, i + k) for k in range(size)])))
 
     return let(alnum_words(text), of)
 
@@ -122,7 +122,8 @@ def shingle_hashes(text: Column, size: int = 5) -> Column:
     """array<bigint>: 64-bit hashes of the distinct word shingles, made of the words' own hashes, so that no shingle is put together."""
 
     def of(codes: Column) -> Column:
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(codes) - size + 1)), lambda i: F.xxhash64(F.slice(codes, i, size))))
+        # element by element: a slice would copy the whole array for each shingle
+        return F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(codes) - size)), lambda i: F.xxhash64(*[F.get(codes, i + k) for k in range(size)])))
 
     return let(F.transform(alnum_words(text), lambda w: F.xxhash64(w)), of)
 
