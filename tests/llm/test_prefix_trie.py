@@ -113,7 +113,7 @@ def nodes_of(chains, sizes, cuts):
 
 
 def test_very_long_conversations_and_texts(spark, monkeypatch):
-    rows = [(c, t, "user", f"t{t}" if t < 2990 else f"t{t} {c}") for c in (1000, 1001, 1002) for t in range(3000)] + [(3, 0, "user", "word " * 50_000)]
+    rows = [(c, t, "user", f"t{t}" if t < 290 else f"t{t} {c}") for c in (1000, 1001, 1002) for t in range(300)] + [(3, 0, "user", "word " * 50_000)]
     assert made(spark, rows, monkeypatch, 1, shared=False) == plain(rows, shared=False)
 
 
