@@ -5,16 +5,23 @@ Documents come with a key that orders them (originals before copies); of equals
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.config import Settings
 from corpusloom.functions import text as X
+from corpusloom.operators.prefix import prefix_sums
 from corpusloom.sources.tables import BROADCAST_ROWS, few, materialize
 
 #: Rows of one key that a join by parts gives to one task.
 SPREAD = 1_000
+#: Open documents of one shingle that are compared with each other in a round of the greedy pass.
+BLOCK = 64
+#: Kept documents of a shingle in the first band of the search for the nearest one (each next band has 8 times as many).
+BAND = 32
+#: Documents of a block of a running minimum.
+PLACES = 10_000
 REASONS = ("below_min_words", "exact_duplicate", "near_duplicate", "language_detection_failed", "non_english", "passes_filters")
 
 
@@ -63,61 +70,171 @@ def similar_pairs(df: DataFrame, threshold: float = 0.8, size: int = 5) -> DataF
     return pairs_of_sets(shingle_sets(df, size), threshold)
 
 
-def pairs_of_sets(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """later, earlier, similarity of the pairs of sets (doc_id, n, set: a written table) at or over the threshold, exactly.
+def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
+    """s, doc_id, n, parts, width: the shingles by which a set (doc_id, n, set: a written table) can meet one that is similar.
 
-    Candidates by prefix filtering: shingles in the order of their document frequency, rarest first; two sets at the
-    threshold share one of the first n - ceil(threshold * n) + 1 of each, so only these are joined. Shingles of one document
-    come first and meet nothing, so they are counted, not moved. A shingle that very many documents have stands last in every
-    order and is not joined unless it is all a document has. Sizes must fit too. The candidates are confirmed on the full
-    sets. Pairs are what is asked for, so a group of m documents that are all similar gives m * (m - 1) / 2 of them.
+    Shingles stand in the order of their document frequency, rarest first; two sets at the threshold share one of the first
+    n - ceil(threshold * n) + 1 of each. Shingles of one document come first and meet nothing, so they are counted, not
+    moved. A shingle that very many documents have stands last in every order and is not here unless it is all a document
+    has. parts: tasks to which a join deals the shingle; width: rows of the document.
     """
     each = sets.select("doc_id", "n", F.explode("set").alias("s"))
     frequency = each.groupBy("s").agg(F.count("*").alias("f"), F.ceil(F.count("*") / SPREAD).alias("parts")).where("f > 1")
     shared = join_parts(each, frequency, "s", "doc_id", "inner")
     own = W.partitionBy("doc_id")
     place = F.row_number().over(own.orderBy("f", "s")) + F.col("n") - F.count("*").over(own)
-    prefix = materialize(shared.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).select("s", "doc_id", "n"), "prefixes")
-    a, b = (prefix.select("s", F.col("doc_id").alias(i), F.col("n").alias(f"n_{i}")) for i in ("later", "earlier"))
-    pairs = a.join(b, "s").where((F.col("later") > F.col("earlier")) & (F.least("n_later", "n_earlier") >= threshold * F.greatest("n_later", "n_earlier") - 1e-9)).select("later", "earlier").distinct()
-    pairs = materialize(pairs, "pairs")
+    first = shared.withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1)
+    return materialize(first.select("s", "doc_id", "n", F.ceil(F.col("f") / SPREAD).alias("parts"), F.count("*").over(own).alias("width")), "prefixes")
+
+
+def _candidates(later: DataFrame, earlier: DataFrame, threshold: float) -> DataFrame:
+    """later, earlier: rows of prefixes that share a shingle, of sizes that can be similar; frequent shingles are dealt out in parts."""
+    a = later.select("s", F.pmod(F.xxhash64("doc_id"), F.col("parts")).alias("part"), F.col("doc_id").alias("later"), F.col("n").alias("n_later"))
+    b = earlier.select("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.col("doc_id").alias("earlier"), F.col("n").alias("n_earlier"))
+    fits = (F.col("later") > F.col("earlier")) & (F.least("n_later", "n_earlier") >= threshold * F.greatest("n_later", "n_earlier") - 1e-9)
+    return materialize(a.join(b, ["s", "part"]).where(fits).select("later", "earlier").distinct(), "pairs")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """later, earlier, similarity of those pairs (a written table) that are similar on their full sets."""
     ends = materialize(pairs.select(F.col("later").alias("doc_id")).union(pairs.select("earlier")).distinct(), "ends")
     ended = sets.join(few(ends), "doc_id", "left_semi")
     both = pairs.join(ended.select(F.col("doc_id").alias("later"), F.col("set").alias("sa")), "later").join(ended.select(F.col("doc_id").alias("earlier"), F.col("set").alias("sb")), "earlier")
     return both.select("later", "earlier", X.jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
-def nearest_kept(sets: DataFrame, kept: DataFrame) -> DataFrame:
-    """doc_id, best (similarity, earlier) of each of the sets (doc_id, n, set) that shares a shingle with an earlier one of kept (earlier), exactly.
+def pairs_of_sets(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """later, earlier, similarity of the pairs of sets (doc_id, n, set: a written table) at or over the threshold, exactly.
 
-    Without a threshold every pair with a shared shingle counts, so a shingle of f documents makes up to f * f / 2 rows before
-    they are added up.
+    Candidates by `prefixes`, confirmed on the full sets. Pairs are what is asked for, so a group of m documents that are all
+    similar gives m * (m - 1) / 2 of them; `greedy_matches` does without.
     """
-    each = sets.select("doc_id", "n", F.explode("set").alias("s"))
-    several = each.groupBy("s").agg(F.count("*").alias("f"), F.ceil(F.count("*") / SPREAD).alias("parts")).where("f > 1")
-    rows = materialize(join_parts(each, several, "s", "doc_id", "inner"), "shared")
-    a, b = (rows.select("s", F.col("doc_id").alias(i), F.col("n").alias(f"n_{i}")) for i in ("later", "earlier"))
-    shared = a.join(b.join(kept, "earlier", "left_semi"), "s").where("later > earlier").groupBy("later", "earlier", "n_later", "n_earlier").agg(F.count("*").alias("shared"))
-    similarity = F.col("shared") / (F.col("n_later") + F.col("n_earlier") - F.col("shared"))
-    return shared.groupBy(F.col("later").alias("doc_id")).agg(F.max(F.struct(similarity.alias("similarity"), "earlier")).alias("best"))
+    first = prefixes(sets, threshold)
+    return _confirmed(_candidates(first, first, threshold), sets, threshold)
+
+
+def greedy_matches(sets: DataFrame, nodes: DataFrame, threshold: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fate: 'kept', 'near', 'blocked_language'; later, earlier, similarity of what is similar to a kept one) of a greedy pass.
+
+    In the order of their ids, a document is near if an earlier kept one is similar, else kept if it `passes` (nodes: doc_id,
+    passes), else blocked. Documents are compared with kept ones only, so m near copies of a kept one make m rows, not
+    m * m. In a round, the first BLOCK open documents of each shingle are compared with each other; those among them whose
+    earlier neighbours are all decided are decided, and the new kept ones are compared with everything that may be similar
+    to them. Where no shingle of `prefixes` has more than BLOCK open documents, that is one round.
+    """
+    first = prefixes(sets, threshold)
+    passing = nodes.where("passes").select("doc_id")
+    still = materialize(first.join(passing, "doc_id", "left_semi"), "open")
+    kept, matches = [], []
+    while not still.isEmpty():
+        ahead = materialize(still.withColumn("rank", F.row_number().over(W.partitionBy("s").orderBy("doc_id"))).where(F.col("rank") <= BLOCK).drop("rank"), "ahead")
+        block = materialize(ahead.groupBy("doc_id").agg(F.count("*").alias("c"), F.first("width").alias("width")).where("c = width").select("doc_id"), "block")
+        edges = materialize(_confirmed(_candidates(ahead.join(few(block), "doc_id", "left_semi"), ahead, threshold), sets, threshold).select("later", "earlier"), "edges")
+        new = materialize(survivors(block.withColumn("passes", F.lit(True)), edges).where("fate = 'kept'").select("doc_id"), "new")
+        found = materialize(_confirmed(_candidates(first, first.join(few(new), "doc_id", "left_semi"), threshold), sets, threshold), "matches")
+        kept.append(new)
+        matches.append(found)
+        gone = few(materialize(new.union(found.select("later")).distinct(), "gone"))
+        still = materialize(still.join(gone, "doc_id", "left_anti"), "open")
+    every = sets.select(F.col("doc_id").alias("later"), F.col("doc_id").alias("earlier"), F.lit(0.0).alias("similarity")).limit(0)
+    for m in matches:
+        every = every.union(m)
+    # a passing document that is not near is kept, in whatever round, or without a shingle in common with any other
+    near = every.select(F.col("later").alias("doc_id")).distinct().withColumn("near", F.lit(True))
+    fate = F.when(F.col("near"), "near").when(F.col("passes"), "kept").otherwise("blocked_language")
+    return nodes.join(near, "doc_id", "left").select("doc_id", fate.alias("fate")), every
+
+
+def _earlier_minimum(rows: DataFrame, key: str, value: Column) -> DataFrame:
+    """rows(key, place, ...) with least: the smallest value of the rows of the key at smaller places; null without one.
+
+    A key may have any number of rows: they are taken in blocks of places, and the blocks' minima added.
+    """
+    cut = rows.withColumns({"_value": value, "_block": F.floor(F.col("place") / PLACES)})
+    before = W.partitionBy(key).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)  # one row for each block
+    blocks = cut.groupBy(key, "_block").agg(F.min("_value").alias("_least")).withColumn("_before", F.min("_least").over(before)).drop("_least")
+    within = W.partitionBy(key, "_block").orderBy("place").rangeBetween(W.unboundedPreceding, -1)
+    return cut.withColumn("_within", F.min("_value").over(within)).join(blocks, [key, "_block"]).withColumn("least", F.least("_within", "_before")).drop("_value", "_block", "_within", "_before")
+
+
+def nearest_kept(sets: DataFrame, kept: DataFrame, settled: DataFrame) -> DataFrame:
+    """doc_id, similarity: the largest similarity of each set (doc_id, n, set: a written table) to an earlier one of kept (doc_id), exactly.
+
+    Documents of settled (doc_id) are left out. One that shares no shingle with an earlier kept one has no row.
+
+    Shingles are taken by the number of kept documents that have them, band by band, rarest first. What a document has in
+    common with one that it has not met lies in the bands to come, so its number of shingles there, and the size of the
+    smallest kept document before it, bound what may still be found; only documents whose bound is over their best so far go
+    on to the next band. Documents with equal shingles in the bands to come are one class: of those, the smallest earlier one
+    is the most similar (unless it was met before), so classes are joined, not documents, and a line that very many
+    documents share makes few rows.
+    """
+    placed = prefix_sums(sets.select("doc_id"), ["doc_id"], F.lit(1), "place")
+    docs = sets.join(placed, "doc_id").join(kept.select("doc_id", F.lit(True).alias("kept")), "doc_id", "left").join(settled.select("doc_id", F.lit(True).alias("settled")), "doc_id", "left")
+    docs = docs.withColumns({"kept": F.coalesce("kept", F.lit(False)), "settled": F.coalesce("settled", F.lit(False))})
+    docs = materialize(docs, "placed")
+    each = docs.select("place", "n", "kept", F.explode("set").alias("s"))
+    held = each.groupBy("s").agg(F.count_if("kept").alias("g"), F.count("*").alias("f"), F.ceil(F.count("*") / SPREAD).alias("parts")).where("g > 0 and f > 1").drop("f")
+    # a shingle that only the document itself has among the kept ones finds nothing for it, but may be found
+    posts = materialize(join_parts(each, held, "s", "place", "inner").withColumn("finds", F.expr("g > 1 or not kept")), "posts")
+    most = posts.agg(F.max("g")).first()[0] or 0
+    state = materialize(docs.where("not settled").select("doc_id", "place", F.lit(0.0).alias("best")), "best")
+    low, high, done = 0, BAND, None
+    while True:
+        rest = posts.where(F.col("g") > low)
+        listed = F.sort_array(F.collect_list("s"))
+        units = rest.groupBy("place", "n", "kept").agg(F.count_if("finds").alias("u"), listed.alias("all"), F.sort_array(F.collect_list(F.when(F.col("g") > high, F.col("s")))).alias("beyond"))
+        units = materialize(units.select("place", "n", "kept", "u", F.size("all").alias("shared"), "beyond", F.struct(F.xxhash64("all").alias("a"), F.xxhash64(F.lit(low), "all").alias("b")).alias("class")), "units")
+        size = F.when(F.col("kept"), F.col("n"))
+        alike = _earlier_minimum(units.drop("beyond"), "class", size).withColumnRenamed("least", "alike")
+        both = _earlier_minimum(alike.withColumn("_all", F.lit(0)), "_all", size)
+        u, n, shared = F.col("u"), F.col("n"), F.col("shared")
+        known = both.join(state, "place").withColumn("best", F.greatest("best", F.coalesce(shared / (n + F.col("alike") - shared), F.lit(0.0))))
+        known = materialize(known.withColumn("bound", F.coalesce(u / (n + F.greatest("least", u) - u), F.lit(0.0))).select("doc_id", "place", "n", "class", "best", "bound"), "known")
+        still = known.where("bound > best + 1e-12")
+        # one document stands for its class on either side
+        near = F.col("g") <= high
+        heads = still.groupBy("class").agg(F.min("place").alias("place"))
+        tails = units.where("kept").groupBy("class").agg(F.min("place").alias("place"))
+        a = rest.where(near).join(heads, "place").select("s", F.col("class").alias("x"))
+        b = rest.where(near).join(tails, "place").select("s", F.col("class").alias("y"))
+        met = materialize(a.join(b, "s").where("x <> y").groupBy("x", "y").agg(F.count("*").alias("c")), "met")
+        arrays = lambda rows, name: units.join(rows.select("place"), "place", "left_semi").where(F.size("beyond") > 0).select(F.col("class").alias(name), F.col("beyond").alias(f"b{name}"))
+        more = F.coalesce(F.size(F.array_intersect("bx", "by")), F.lit(0))
+        common = met.join(arrays(heads, "x"), "x", "left").join(arrays(tails, "y"), "y", "left").select("x", "y", (F.col("c") + F.when(F.col("bx").isNull() | F.col("by").isNull(), 0).otherwise(more)).alias("o"))
+        asked = still.select("place", "n", F.col("class").alias("x")).join(common, "x").select(F.col("y").alias("class"), "place", "n", "o", F.lit(None).cast("int").alias("size"))
+        there = units.where("kept").join(met.select(F.col("y").alias("class")).distinct(), "class", "left_semi").select("class", "place", "n", F.lit(None).cast("long").alias("o"), F.col("n").alias("size"))
+        answers = _earlier_minimum(asked.unionByName(there), "class", F.col("size")).where("o is not null and least is not null")
+        found = answers.groupBy("place").agg(F.max(F.col("o") / (F.col("n") + F.col("least") - F.col("o"))).alias("found"))
+        better = known.join(found, "place", "left").select("doc_id", "place", F.greatest("best", F.coalesce("found", F.lit(0.0))).alias("best"), (F.col("bound") > F.col("best") + 1e-12).alias("open"))
+        after = materialize(state.join(better.withColumnRenamed("best", "now").drop("doc_id"), "place", "left").select("doc_id", "place", F.coalesce("now", "best").alias("best"), F.coalesce("open", F.lit(False)).alias("open")), "best")
+        closed = after.where("not open").select("doc_id", F.col("best").alias("similarity"))
+        done = closed if done is None else done.unionByName(closed)
+        state = after.where("open").drop("open")
+        low, high = high, high * 8
+        if low >= most or state.isEmpty():
+            return done.unionByName(state.select("doc_id", F.col("best").alias("similarity"))).where("similarity > 0")
 
 
 def survivors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """doc_id, fate ('kept', 'near', 'blocked_language') of documents in a greedy pass: each is near if an earlier kept one is similar.
+    """doc_id, fate ('kept', 'near', 'blocked_language', null) of documents in a greedy pass: each is near if an earlier kept one is similar.
 
     nodes: doc_id, passes (whether it would be kept by what follows). edges: later, earlier. In a round, a document without
     an undecided or kept earlier neighbour is decided by `passes`; one with a kept earlier neighbour is near. Documents
     without edges are decided in the first round. Each round is written to the shared folder, and decides the smallest
-    undecided document of every group at least, so there are as many rounds as the longest chain of decisions needs.
+    undecided document of every group at least, so there are as many rounds as the longest chain of decisions needs. An
+    earlier neighbour that is not among the nodes counts as undecided; what waits for it keeps a null fate.
     """
     linked = edges.select(F.col("later").alias("doc_id")).union(edges.select(F.col("earlier").alias("doc_id"))).distinct()
     free = nodes.join(linked, "doc_id", "left_anti").select("doc_id", F.when(F.col("passes"), "kept").otherwise("blocked_language").alias("fate"))
     state = materialize(nodes.join(linked, "doc_id", "left_semi").select("doc_id", "passes", F.lit(None).cast("string").alias("fate")), "fates")
+    undecided = None
     while True:
-        if state.where("fate is null").isEmpty():
+        before, undecided = undecided, state.where("fate is null").count()
+        if undecided == 0 or undecided == before:
             return free.unionByName(state.select("doc_id", "fate"))
         earlier = state.select(F.col("doc_id").alias("earlier"), F.col("fate").alias("f"))
-        seen = edges.join(earlier, "earlier").groupBy(F.col("later").alias("doc_id")).agg(F.max(F.col("f") == "kept").alias("kept_one"), F.max(F.col("f").isNull()).alias("open_one"))
+        seen = edges.join(earlier, "earlier", "left").groupBy(F.col("later").alias("doc_id")).agg(F.max(F.coalesce(F.col("f") == "kept", F.lit(False))).alias("kept_one"), F.max(F.col("f").isNull()).alias("open_one"))
         after = state.join(seen, "doc_id", "left")
         new = F.when(F.col("kept_one"), F.lit("near")).when(F.coalesce(F.col("open_one"), F.lit(False)), F.lit(None)).when(F.col("passes"), F.lit("kept")).otherwise(F.lit("blocked_language"))
         state = materialize(after.select("doc_id", "passes", F.coalesce("fate", new).alias("fate")), "fates")
@@ -137,14 +254,13 @@ def cleaning_records(df: DataFrame, settings: Settings = Settings(), below: bool
     docs = cleaned.drop("text")  # what follows moves texts no more, but for the sets of the originals
     firsts, originals = first_documents(cleaned.where(F.col("word_count") >= settings.min_words))
     sets = shingle_sets(originals, settings.shingle_words)
-    edges = materialize(pairs_of_sets(sets, settings.near_dup_threshold), "edges")
     passes = F.coalesce(F.col("lang") == settings.language, F.lit(False))
-    fate = materialize(survivors(originals.select("doc_id", passes.alias("passes")), edges.select("later", "earlier")), "fate")
-    kept = fate.where("fate = 'kept'").select(F.col("doc_id").alias("earlier"))
+    fates, matches = greedy_matches(sets, originals.select("doc_id", passes.alias("passes")), settings.near_dup_threshold)
+    fate = materialize(fates, "fate")
+    best = materialize(matches.groupBy(F.col("later").alias("doc_id")).agg(F.max(F.struct("similarity", "earlier")).alias("best")), "nearest")
     if below:
-        best = nearest_kept(sets, kept)
-    else:
-        best = edges.join(kept, "earlier", "left_semi").groupBy(F.col("later").alias("doc_id")).agg(F.max(F.struct("similarity", "earlier")).alias("best"))
+        nearest = nearest_kept(sets, fate.where("fate = 'kept'").select("doc_id"), best.select("doc_id"))
+        best = best.unionByName(nearest.select("doc_id", F.struct("similarity", F.lit(None).cast(dict(cleaned.dtypes)["doc_id"]).alias("earlier")).alias("best")))
     none = F.when(F.col("fate").isNotNull() & F.lit(below), F.lit(0.0))
     every = docs.join(firsts, "doc_id", "left").join(fate, "doc_id", "left").join(best, "doc_id", "left")
     copy = F.col("first_of").isNotNull() & (F.col("first_of") != F.col("doc_id"))
