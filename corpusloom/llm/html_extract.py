@@ -25,7 +25,11 @@ BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul caption head".split()
 )
-LEFT_OUT = frozenset("head nav header footer aside form menu search dialog button select option fieldset input label object canvas audio video".split()) | RAW
+LEFT_OUT = frozenset("head nav header footer aside menu search dialog button select option fieldset input canvas audio video".split()) | RAW
+#: Left out like what a class or id marks: a form may be wrapped around the whole page.
+MAY_WRAP = frozenset("form object".split())
+#: Elements within a line of text: a class such as hljs-comment does not make them reader comments.
+INLINE = frozenset("span code em strong b i u s mark small sub sup tt var kbd samp q cite dfn abbr time".split())
 NEVER_LEFT_OUT = frozenset("html body article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar form toolbar".split())
 MARKS = frozenset(
@@ -57,23 +61,23 @@ _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
 def left_out(tag: str, attributes: str) -> int:
-    """Whether an element is not part of an article: 2 by its tag, role or a sure mark, 1 by another class or id, 0 if it may be."""
+    """Whether an element is not part of an article: 2 by its tag, role or a sure mark, 1 by another class or id or as a form, 0 if it may be."""
     if tag in NEVER_LEFT_OUT:
         return 0
     if tag in LEFT_OUT:
         return 2
+    most = int(tag in MAY_WRAP)
     if not attributes or attributes.isspace():
-        return 0
+        return most
     found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)}
     if "hidden" in found or found.get("aria-hidden") == "true" or found.get("role", "") in ROLES or _HIDDEN.search(found.get("style", "")):
         return 2
-    most = 0
     for value in (found.get("class", ""), found.get("id", "")):
         for name in value.split():
             parts = [p for p in _SPLIT.split(name) if p]
             if not parts or parts[0] in ("has", "no", "with", "without"):
                 continue  # such as has-sidebar on a wrapper
-            if not SURE_MARKS.isdisjoint(parts):
+            if tag not in INLINE and not SURE_MARKS.isdisjoint(parts):
                 return 2
             for p in (parts[0], parts[-1]):  # such as cookie-notice, site-footer; not elementor-menu-anchor
                 if p in MARKS or p.startswith(MARK_STARTS):
@@ -93,7 +97,7 @@ def value(text: str) -> float:
 class Page:
     """Nodes in page order (parent before child) and blocks of text (node, text, characters in links).
 
-    marked: the nodes left out for a class or id alone, if not in `spared`; held: at most how many points their text has.
+    marked: the nodes left out for a class or id alone, or as forms, if not in `spared`; held: at most how many points their text has.
     """
 
     def __init__(self, source: str, spared: frozenset | None = frozenset()):

@@ -265,6 +265,19 @@ def _inner_links(group: DataFrame, classes: DataFrame, sets: DataFrame, label: D
     return label if inner.isEmpty() else merge(label, inner)
 
 
+def _once(texts: DataFrame, every: DataFrame) -> DataFrame:
+    """texts(node, text) with one row for rows of an id that have equal texts: sets are joined by id, and m equal ones would make m * m rows.
+
+    Only ids with several rows are put together, by two hashes of the text, before the shuffle and after it.
+    """
+    several = materialize(every.where("doc_id is not null").groupBy(F.col("doc_id").alias("node")).agg(F.count("*").alias("n")).where("n > 1").select("node"), "several")
+    if several.isEmpty():
+        return texts
+    several = _few(several)
+    again = texts.join(several, "node", "left_semi").groupBy("node", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")).agg(F.first("text").alias("text"))
+    return texts.join(several, "node", "left_anti").unionByName(again.select("node", "text"))
+
+
 def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row.
 
@@ -285,7 +298,7 @@ def near_duplicates(df: DataFrame, percent: int = 85, id_col: str = "doc_id", te
     mates = rest.join(pivots, ["band", "key"]).where(F.col("node") != F.col("p.node"))
     group = materialize(mates.select("node", F.col("p.node").alias("pivot"), near.alias("near"), kin.alias("kin")).distinct(), "groups")
     nodes = materialize(group.select("node").unionByName(group.select(F.col("pivot").alias("node"))).distinct(), "nodes")
-    sets = materialize(full_sets(docs.select(F.col("doc_id").alias("node"), "text").join(_few(nodes), "node", "left_semi")), "sets")
+    sets = materialize(full_sets(_once(docs.select(F.col("doc_id").alias("node"), "text"), every).join(_few(nodes), "node", "left_semi")), "sets")
     # first the smallest of a class's pivots, then those pivots that this has not put into its component
     pairs = group.where("near").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
     first = materialize(pairs.groupBy("u").agg(F.min("v").alias("v")), "first")

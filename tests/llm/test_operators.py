@@ -514,3 +514,39 @@ def test_hash_of_a_word_is_that_of_the_word_alone(text):
     assert many[1].tolist()[1] == len(words(text))
     assert np.array_equal(many[0][2 : 2 + len(words(text))], alone[0])
     assert hashlib.sha256(b"").hexdigest()[:2] == "e3"
+
+
+# ---- pages inside forms, repeated rows ---------------------------------------------------------------------------
+
+FLOOD = " ".join("The river rose, and the town, which lay low, was under water for many days." for _ in range(6))
+
+
+@pytest.mark.parametrize("inside", [f"<article><p>{FLOOD}</p></article>", f"<div><p>{FLOOD}</p><p>{FLOOD}</p></div>"])
+@pytest.mark.parametrize("wrapper", ['form id="aspnetForm"', "object"])
+def test_a_page_inside_a_form_is_kept(inside, wrapper):
+    page = f"<html><body><{wrapper}>{inside}</{wrapper.split()[0]}></body></html>"
+    assert html_extract.main_text(page).split("\n\n")[0] == FLOOD
+
+
+def test_forms_and_comments_beside_an_article_go_and_words_in_a_line_stay():
+    line = '<p>Write <span class="hljs-comment">a note</span> or <label>a letter</label> to them, and wait for the answer.</p>'
+    page = f'<body><form><p>Search this site</p></form><article><p>{FLOOD}</p>{line}<form><p>Your name, please</p></form></article><div class="comments"><p>{FLOOD}</p></div></body>'
+    assert html_extract.main_text(page) == f"{FLOOD}\n\nWrite a note or a letter to them, and wait for the answer."
+
+
+def test_repeated_rows_of_near_copies_are_compared_once(spark, monkeypatch):
+    rng = random.Random(3)
+    base = sentence(rng, 120)
+    rows = [(1, base), (2, base + " one more"), (3, sentence(rng, 60))]
+    seen, make = [], near_dedup.full_sets
+
+    def counted(df):
+        out = make(df).cache()
+        seen.append(out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "full_sets", counted)
+    df = spark.createDataFrame(rows * 300, "doc_id long, text string").repartition(4)
+    found = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect()}
+    assert found == {(1, 116, 1, True), (2, 118, 1, False), (3, 56, 3, True)}
+    assert seen == [2]
