@@ -5,6 +5,7 @@ A null text gives null unless a function says otherwise.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 
 import pandas as pd
@@ -26,10 +27,35 @@ DOT_LEADER = r"(?:\.\s?){5,}|…{2,}|_{5,}"
 INLINE_PAGE = r"(?i)\bPage\s+\d+\s+(?:of|/)\s+\d+\b"
 
 
+@functools.cache
+def nfkc_safe() -> str:
+    """A class of code points that NFKC leaves as they are and that combine with none before them, as far as texts mostly use them.
+
+    By rule: ASCII; runs of at least five below U+0500 (Latin, Greek, Cyrillic) and in U+2000 to U+2030; runs of at least 2,000
+    anywhere (ideographs, Hangul syllables).
+    """
+    runs, start = [], None
+    for point in range(0x80, 0x30000):
+        c = chr(point)
+        safe = not 0xD800 <= point <= 0xDFFF and unicodedata.category(c)[0] not in "MC" and not 0x1100 <= point <= 0x11FF and unicodedata.is_normalized("NFKC", c)
+        if safe and start is None:
+            start = point
+        elif not safe and start is not None:
+            runs.append((start, point - 1))
+            start = None
+    used = [(a, b) for a, b in runs if b - a >= (4 if b < 0x500 or 0x2000 <= a <= 0x2030 else 1_999)]
+    return r"\x00-\x7F" + "".join(rf"\x{{{a:x}}}-\x{{{b:x}}}" for a, b in used)
+
+
 @F.pandas_udf(T.StringType())
-def nfkc(text: pd.Series) -> pd.Series:
-    """Unicode NFKC; Spark has no built-in, so this one runs in Arrow batches."""
-    return text.map(lambda t: None if t is None else t if t.isascii() else unicodedata.normalize("NFKC", t))
+def _nfkc(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
+
+
+def nfkc(text: Column) -> Column:
+    """Unicode NFKC. Spark has no built-in, so texts that it may change go to Python, in Arrow batches; the others, found by a
+    class of code points, stay in the JVM."""
+    return F.coalesce(_nfkc(F.when(text.rlike(f"[^{nfkc_safe()}]"), text)), text)
 
 
 def strip_control(text: Column) -> Column:

@@ -6,6 +6,8 @@ order in which they are added.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,10 +15,10 @@ from pyspark.sql import functions as F
 from corpusloom.config import Settings
 from corpusloom.functions import scoring
 from corpusloom.functions import text as X
-from corpusloom.operators import blocks, cleaning, conversations, dedup, evaluation, funnel, instructions, metrics, pages, split, vocabulary
+from corpusloom.operators import blocks, cleaning, conversations, dedup, evaluation, funnel, instructions, language, metrics, pages, split, sync, vocabulary
 from corpusloom.plans.policies import policy_texts
 from corpusloom.sources import readers
-from corpusloom.sources.tables import materialize, spread
+from corpusloom.sources.tables import materialize, shared_dir, spread
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -370,6 +372,99 @@ def language_filter(spark, sf_dir):
     return documents(spark, sf_dir, "doc_id", "lang").groupBy(lang.alias("language")).agg(F.count("*").alias("n"), F.count_if(F.col("lang") == SETTINGS.language).alias("kept"))
 
 
+def sql_detect(labelled: str, rows: str) -> str:
+    """CTEs: detected(doc_id, language) of rows(doc_id, text), learnt from labelled(text, lang)."""
+    words = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}]+'), lambda w: w <> '')"
+    return f"""
+labelled_words AS (SELECT lang, word, count(*) AS n FROM (SELECT lang, unnest({words}) AS word FROM {labelled} WHERE lang IS NOT NULL) GROUP BY ALL),
+labelled_grams AS (SELECT lang, gram, sum(n) AS n FROM (SELECT lang, n, substring(' ' || word || ' ', i, 3) AS gram FROM labelled_words, range(1, length(word) + 1) t(i)) GROUP BY ALL),
+profiles AS (SELECT lang, gram, {language.PROFILE + 1} - row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS worth FROM labelled_grams QUALIFY worth > 0),
+text_words AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest({words}) AS word FROM {rows}) GROUP BY ALL),
+text_grams AS (SELECT doc_id, substring(' ' || word || ' ', i, 3) AS gram, sum(n) AS n FROM text_words, range(1, length(word) + 1) t(i) GROUP BY ALL),
+worths AS (SELECT doc_id, lang, sum(n * worth) AS worth FROM text_grams JOIN profiles USING (gram) GROUP BY ALL),
+detected AS (SELECT doc_id, lang AS language FROM worths QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY worth DESC, lang) = 1)"""
+
+
+def learnt_profiles(spark, sf_dir):
+    return language.learn_profiles(documents(spark, sf_dir, "text", "lang"))
+
+
+@query("language_profiles", f"WITH {sql_detect('documents', 'documents')} SELECT lang, gram, worth FROM profiles")
+def language_profiles(spark, sf_dir):
+    return learnt_profiles(spark, sf_dir)
+
+
+@query("detected_languages", f"WITH {sql_detect('documents', 'documents')} SELECT d.doc_id, language FROM documents d LEFT JOIN detected USING (doc_id)")
+def detected_languages(spark, sf_dir):
+    docs = documents(spark, sf_dir)
+    return docs.select("doc_id").join(language.detect(docs, learnt_profiles(spark, sf_dir)), "doc_id", "left")
+
+
+@query("detected_filter", f"WITH {sql_detect('documents', 'documents')} SELECT coalesce(language, 'unknown') AS language, count(*) AS n, count(*) FILTER (language = 'en') AS kept, count(*) FILTER (language = lang) AS as_labelled FROM documents LEFT JOIN detected USING (doc_id) GROUP BY 1")
+def detected_filter(spark, sf_dir):
+    """What the language filter keeps by the detector's answers, and how many of them are the label."""
+    rows = documents(spark, sf_dir, "doc_id", "lang").join(detected_languages(spark, sf_dir), "doc_id")
+    return rows.groupBy(F.coalesce("language", F.lit("unknown")).alias("language")).agg(F.count("*").alias("n"), F.count_if(F.col("language") == SETTINGS.language).alias("kept"), F.count_if(F.col("language") == F.col("lang")).alias("as_labelled"))
+
+
+DETECTED_FILES_SQL = f"""{FILES_SQL.rstrip().replace("c AS MATERIALIZED", "named_rows AS MATERIALIZED")}, {sql_detect("documents", "named_rows")},
+c AS MATERIALIZED (SELECT n.doc_id, file_name, raw, text, language AS lang FROM named_rows n LEFT JOIN detected USING (doc_id))"""
+
+
+@query(
+    "clean_corpus_detected",
+    f"WITH RECURSIVE {DETECTED_FILES_SQL}, {OF_CLEANED_SQL} SELECT c.file_name, r.* EXCLUDE (doc_id, duplicate_of), k.file_name AS duplicate_of FROM records r JOIN c USING (doc_id) LEFT JOIN c k ON k.doc_id = r.duplicate_of",
+)
+def clean_corpus_detected(spark, sf_dir):
+    """The whole chain with the language that the detector finds in the cleaned text."""
+    found, _ = cleaning.clean_corpus(paged_files(spark, sf_dir).drop("lang"), SETTINGS, repair=False, profiles=learnt_profiles(spark, sf_dir))
+    return found.withColumn("max_similarity", F.round("max_similarity", 6))
+
+
+@query("paged_folder", "SELECT CASE WHEN doc_id // 8 % 4 = 0 THEN 'a_dup_' ELSE 'b_' END || lpad((doc_id // 8)::VARCHAR, 12, '0') || '.txt' AS file_name, (doc_id % 8 + 1)::INTEGER AS page_no, sha256(regexp_replace('Running Head ' || (doc_id // 8) || chr(10) || coalesce(text, '') || chr(10) || (doc_id % 8 + 1), '^\\s+|\\s+$', '', 'g')) AS sha, NULL::VARCHAR AS error FROM documents")
+def paged_folder(spark, sf_dir):
+    """The page-marked files, written to a folder and read back page by page."""
+    folder = f"{shared_dir(spark)}/corpusloom/paged-{uuid.uuid4().hex}"
+    paged_files(spark, sf_dir).select("text", F.col("file_name").alias("file")).repartition("file").write.partitionBy("file").text(folder)
+    return readers.read_page_marked(spark, folder, name=F.col("file")).select("file_name", "page_no", F.sha2("text", 256).alias("sha"), "error")
+
+
+def kept_by_rules(files: DataFrame) -> DataFrame:
+    cleaned = files.select("file_name", X.clean_text(F.col("text")).alias("text"))
+    return cleaned.where(X.word_count(F.col("text")) >= SETTINGS.min_words)
+
+
+@query(
+    "incremental_sync",
+    f"""
+WITH now AS (SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN coalesce(text, '') || ' as revised' ELSE coalesce(text, '') END AS text FROM documents WHERE doc_id % 10 <> 0),
+cleaned AS (SELECT doc_id, {sql_clean('text')} AS text FROM now),
+kept AS (SELECT doc_id, sha256(text) AS sha FROM cleaned WHERE len({sql_words('text')}) >= 100)
+SELECT doc_id::VARCHAR AS file_name, CASE WHEN doc_id % 10 = 0 THEN 'removed' WHEN doc_id % 10 = 1 THEN 'changed' WHEN doc_id % 10 = 2 THEN 'added' ELSE 'same' END AS action, sha FROM documents LEFT JOIN kept USING (doc_id)
+""",
+)
+def incremental_sync(spark, sf_dir):
+    """A table made from a first state of all documents, brought up to a second one in which a tenth each has vanished, changed
+    and come: what was done to each document, and the digest of the text that the table then keeps."""
+    path = f"{shared_dir(spark)}/corpusloom/synced-{uuid.uuid4().hex}"
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("file_name"), F.coalesce("text", F.lit("")).alias("text"), (F.col("doc_id") % 10).alias("k"))
+    sync.sync(docs.where("k <> 2").select("file_name", "text"), path, kept_by_rules)
+    after = docs.where("k <> 0").select("file_name", F.when(F.col("k") == 1, F.concat("text", F.lit(" as revised"))).otherwise(F.col("text")).alias("text"))
+    actions = sync.sync(after, path, kept_by_rules)
+    return actions.join(sync.synced_texts(spark, path).select("file_name", F.sha2("text", 256).alias("sha")), "file_name", "left")
+
+
+@query("merged_log", "SELECT event_id AS step, round(CASE WHEN event_id % 5 = 0 THEN value + 1 ELSE value END, 6) AS loss FROM events WHERE value IS NOT NULL")
+def merged_log(spark, sf_dir):
+    """Events as a log that arrives in three batches: the first comes twice, the last corrects every fifth record."""
+    path = f"{shared_dir(spark)}/corpusloom/log-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "events", "event_id", "value").where("value is not null").select(F.col("event_id").alias("step"), F.col("value").alias("loss"))
+    first = rows.where("step % 2 = 0")
+    for batch in (first, rows.where("step % 2 = 1"), first, rows.where("step % 5 = 0").select("step", (F.col("loss") + 1).alias("loss"))):
+        sync.merge_log(batch, path)
+    return spark.read.parquet(path).select("step", F.round("loss", 6).alias("loss"))
+
+
 # ---- split, tokens, blocks ---------------------------------------------------------------------------------------
 
 UNSEEN_SQL = f"""

@@ -61,6 +61,33 @@ def read_binary(spark: SparkSession, folder: str, glob: str = "*.[pP][dD][fF]")
     return spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
 
 
+def read_page_marked(spark: SparkSession, folder: str, glob: str = "*.txt", name: Column | None = None) -> DataFrame:
+    """file_name, page_no, text, error of the page-marked text files of a folder; none is an error. name: from path and the
+    folder's partition columns, if the file name is not the path's last part.
+
+    Files are found, dealt out to tasks and read by Spark, whatever store they lie in, and cut where they are read. Pages come
+    without white space at their ends and may be empty; a file without marks is one page, one without a byte has none (Spark's
+    readers pass over it). A file that is not UTF-8 gives one row
+    with the error, the other files' rows stay.
+    """
+    files = read_binary(spark, folder, glob)
+    if files.select("path").isEmpty():
+        raise ValueError(f"no {glob} in {folder}")
+    name = F.regexp_extract(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), r"([^/]+)$", 1) if name is None else name
+    valid = F.is_valid_utf8(F.col("content").cast("string"))
+    read = files.select(name.alias("file_name"), valid.alias("valid"), F.when(valid, F.col("content").cast("string")).alias("whole"))
+    mark = r"(?m)^--- PAGE (\d+) ---$"
+    numbers = F.regexp_extract_all("whole", F.lit(mark), F.lit(1))
+    parts = F.split("whole", mark)
+    # what stands before the first mark is no page, unless there are no marks
+    marked = F.zip_with(numbers, F.slice(parts, F.lit(2), F.size(numbers)), lambda n, t: F.struct(n.cast("int").alias("page_no"), t.alias("text")))
+    pages = F.when(F.size(numbers) == 0, F.array(F.struct(F.lit(1).alias("page_no"), F.col("whole").alias("text")))).otherwise(marked)
+    bad = F.array(F.struct(F.lit(None).cast("int").alias("page_no"), F.lit(None).cast("string").alias("text")))
+    rows = read.select("file_name", "valid", F.explode(F.when(F.col("valid"), pages).otherwise(bad)).alias("p"))
+    error = F.when(~F.col("valid"), F.lit("not UTF-8"))
+    return rows.select("file_name", "p.page_no", F.regexp_replace("p.text", r"^\s+|\s+$", "").alias("text"), error.alias("error"))
+
+
 def form_feed_pages(content: bytes) -> list[str]:
     """An extractor for plain text: pages end at form feeds, as command-line converters write them."""
     pages = content.decode("utf-8").split("\f")

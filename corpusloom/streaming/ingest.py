@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusloom.functions import text as X
+from corpusloom.operators.sync import merge_log
 
 DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 
@@ -31,6 +32,12 @@ def ingest(spark: SparkSession, folder: str, out: str, checkpoint: str, min_word
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def ingest_log(spark: SparkSession, folder: str, path: str, checkpoint: str, schema: str = "step bigint, loss double, eval_loss double") -> StreamingQuery:
+    """Loss records from files as they arrive, merged by step into the log at path: a batch that comes again changes nothing."""
+    stream = spark.readStream.schema(schema).parquet(folder)
+    return stream.writeStream.foreachBatch(lambda batch, number: merge_log(batch, path)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def windowed_losses(events: DataFrame, delay: str = "10 minutes", width: str = "1 hour") -> DataFrame:
     """start, event_type, n, mean_value of an event stream (ts, event_type, value), late rows up to the delay counted."""
     return events.withWatermark("ts", delay).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.avg("value").alias("mean_value")).select(F.col("window.start").alias("start"), "event_type", "n", "mean_value")
