@@ -5,12 +5,14 @@ Documents come with a key that orders them (originals before copies); of equals
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusloom.config import Settings
 from corpusloom.functions import text as X
+from corpusloom.operators.components import components
 from corpusloom.operators.prefix import prefix_sums
 from corpusloom.sources.tables import BROADCAST_ROWS, few, materialize
 
@@ -18,6 +20,8 @@ from corpusloom.sources.tables import BROADCAST_ROWS, few, materialize
 SPREAD = 1_000
 #: Open documents of one shingle that are compared with each other in a round of the greedy pass.
 BLOCK = 64
+#: Rounds of a greedy pass before what is left goes by components; edges (or pairs) of a component that one task goes through.
+ROUNDS, ORDERED = 3, 200_000
 #: Kept documents of a shingle in the first band of the search for the nearest one (each next band has 8 times as many).
 BAND = 32
 #: Documents of a block of a running minimum.
@@ -216,23 +220,42 @@ def nearest_kept(sets: DataFrame, kept: DataFrame, settled: DataFrame) -> DataFr
             return done.unionByName(state.select("doc_id", F.col("best").alias("similarity"))).where("similarity > 0")
 
 
+def _in_order(nodes: pa.Table, edges: pa.Table) -> pa.Table:
+    """The fates of one component, document by document. nodes: component, doc_id, passes; edges: component, later, earlier, known (the earlier one's fate, if decided before)."""
+    earlier: dict = {}
+    for a, b, known in zip(edges["later"].to_pylist(), edges["earlier"].to_pylist(), edges["known"].to_pylist()):
+        earlier.setdefault(a, []).append((b, known))
+    fates: dict = {}
+    for i, passes in sorted(zip(nodes["doc_id"].to_pylist(), nodes["passes"].to_pylist())):
+        before = [known or fates.get(j) for j, known in earlier.get(i, ())]
+        fates[i] = "near" if "kept" in before else None if None in before else "kept" if passes else "blocked_language"
+    return pa.table({"doc_id": pa.array(fates.keys(), nodes.schema.field("doc_id").type), "fate": pa.array(fates.values(), pa.string())})
+
+
 def survivors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """doc_id, fate ('kept', 'near', 'blocked_language', null) of documents in a greedy pass: each is near if an earlier kept one is similar.
 
     nodes: doc_id, passes (whether it would be kept by what follows). edges: later, earlier. In a round, a document without
     an undecided or kept earlier neighbour is decided by `passes`; one with a kept earlier neighbour is near. Documents
-    without edges are decided in the first round. Each round is written to the shared folder, and decides the smallest
-    undecided document of every group at least, so there are as many rounds as the longest chain of decisions needs. An
-    earlier neighbour that is not among the nodes counts as undecided; what waits for it keeps a null fate.
+    without edges are decided in the first round. After ROUNDS rounds, which settle most, the components of what is left
+    that have up to ORDERED edges are gone through in order, each in one task, so a long chain of versions takes no round for
+    each; larger ones go on in rounds. Each round is written to the shared folder. An earlier neighbour that is not among
+    the nodes counts as undecided; what waits for it keeps a null fate.
     """
     linked = edges.select(F.col("later").alias("doc_id")).union(edges.select(F.col("earlier").alias("doc_id"))).distinct()
     free = nodes.join(linked, "doc_id", "left_anti").select("doc_id", F.when(F.col("passes"), "kept").otherwise("blocked_language").alias("fate"))
     state = materialize(nodes.join(linked, "doc_id", "left_semi").select("doc_id", "passes", F.lit(None).cast("string").alias("fate")), "fates")
-    undecided = None
+    undecided, rounds = None, 0
     while True:
         before, undecided = undecided, state.where("fate is null").count()
         if undecided == 0 or undecided == before:
             return free.unionByName(state.select("doc_id", "fate"))
+        if rounds == ROUNDS:
+            state = _by_component(state, edges)
+            undecided, before = state.where("fate is null").count(), undecided
+            if undecided == 0:
+                return free.unionByName(state.select("doc_id", "fate"))
+        rounds += 1
         earlier = state.select(F.col("doc_id").alias("earlier"), F.col("fate").alias("f"))
         seen = edges.join(earlier, "earlier", "left").groupBy(F.col("later").alias("doc_id")).agg(F.max(F.coalesce(F.col("f") == "kept", F.lit(False))).alias("kept_one"), F.max(F.col("f").isNull()).alias("open_one"))
         after = state.join(seen, "doc_id", "left")
@@ -240,6 +263,21 @@ def survivors(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         state = materialize(after.select("doc_id", "passes", F.coalesce("fate", new).alias("fate")), "fates")
 
 
+def _by_component(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """state after the undecided documents in components of up to ORDERED edges are decided, as far as they can be."""
+    still = state.where("fate is null").select("doc_id", "passes")
+    decided = state.where("fate is not null").select(F.col("doc_id").alias("earlier"), F.col("fate").alias("known"))
+    rest = materialize(edges.join(still.select(F.col("doc_id").alias("later")), "later", "left_semi").join(decided, "earlier", "left").select("later", "earlier", "known"), "rest")
+    label = materialize(components(rest.where("known is null").select(F.col("later").alias("u"), F.col("earlier").alias("v"))), "components")
+    of = rest.join(label.withColumnRenamed("node", "later"), "later")
+    small = materialize(of.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") <= ORDERED).select("component"), "small")
+    own = materialize(still.join(label.withColumnRenamed("node", "doc_id"), "doc_id").join(few(small), "component", "left_semi").select("component", "doc_id", "passes"), "own")
+    links = materialize(of.join(few(small), "component", "left_semi").select("component", "later", "earlier", "known"), "links")
+    schema = still.select("doc_id").schema.add("fate", "string")
+    found = own.groupBy("component").cogroup(links.groupBy("component")).applyInArrow(_in_order, schema)
+    return materialize(state.join(found.withColumnRenamed("fate", "found"), "doc_id", "left").select("doc_id", "passes", F.coalesce("fate", "found").alias("fate")), "fates")
+
+
 def cleaning_records(df: DataFrame, settings: Settings = Settings(), below: bool = True) -> DataFrame:
     """One record per document: doc_id, word_count, status, reason, duplicate_of, max_similarity, language, characters_before,
     characters_after, characters_removed, reduction_percent.

@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,9 +16,11 @@ from pyspark.sql import functions as F
 from corpusloom.config import Settings
 from corpusloom.functions import text as X
 from corpusloom.functions.columns import let, seeded
+from corpusloom.operators.components import components
+from corpusloom.operators.dedup import ORDERED, ROUNDS
 from corpusloom.operators.prefix import numbered
 from corpusloom.operators.split import grouped_split
-from corpusloom.sources.tables import materialize
+from corpusloom.sources.tables import few, materialize
 
 #: Tables of accepted pairs, one a round, that are put together at once.
 MOST_TABLES = 30
@@ -192,12 +195,18 @@ def dedup_pairs(pairs: DataFrame, order: str = "id") -> DataFrame:
 
     In a round, a pair that is the first undecided one for both of its keys is accepted, and every pair that shares a key with
     an accepted one is rejected. Keys are aggregated to their first undecided pair, so a key of any number of rows costs no
-    more than its rows.
+    more than its rows. After ROUNDS rounds, what hangs together through shared keys and has up to ORDERED pairs is gone through
+    in order, each component in one task, so a long chain of revisions takes no round for each; larger ones go on in rounds.
     """
     norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"(?U)\W+", " "))
     open_ = materialize(pairs.select(order, F.xxhash64(norm(F.col("instruction"))).alias("q"), F.xxhash64(norm(F.col("response"))).alias("a")), "pairs")
     accepted: list[DataFrame] = [open_.select(order).limit(0)]
+    rounds = 0
     while not open_.isEmpty():
+        if rounds == ROUNDS:
+            taken, open_ = _by_component(open_, order)
+            accepted.append(taken)
+        rounds += 1
         q = open_.groupBy("q").agg(F.min(order).alias("q_first"))
         a = open_.groupBy("a").agg(F.min(order).alias("a_first"))
         taken = materialize(open_.join(q, "q").join(a, "a").where((F.col(order) == F.col("q_first")) & (F.col(order) == F.col("a_first"))).select(order, "q", "a"), "taken")
@@ -208,6 +217,31 @@ def dedup_pairs(pairs: DataFrame, order: str = "id") -> DataFrame:
     return pairs.join(reduce(DataFrame.unionByName, accepted), order, "left_semi")
 
 
+def _by_component(open_: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs accepted in the components of up to ORDERED pairs; the pairs of larger ones, open still)."""
+    # questions and answers are the nodes, a pair is a link; an answer's node is told apart from an equal question's
+    link = F.struct(F.lit(0).alias("side"), F.col("q").alias("key")).alias("u"), F.struct(F.lit(1).alias("side"), F.col("a").alias("key")).alias("v")
+    label = materialize(components(open_.select(*link)).where("node.side = 0").select(F.col("node.key").alias("q"), "component"), "components")
+    of = materialize(open_.join(label, "q").select(order, "q", "a", "component"), "labelled")
+    large = materialize(of.groupBy("component").agg(F.count("*").alias("n")).where(F.col("n") > ORDERED).select("component"), "large")
+
+    def in_order(rows: pa.Table) -> pa.Table:
+        plain = lambda v: tuple(v.values()) if isinstance(v, dict) else v
+        place = [plain(v) for v in rows[order].to_pylist()]
+        q, a = rows["q"].to_pylist(), rows["a"].to_pylist()
+        seen_q, seen_a, kept = set(), set(), []
+        for i in sorted(range(len(place)), key=place.__getitem__):
+            if q[i] not in seen_q and a[i] not in seen_a:
+                seen_q.add(q[i])
+                seen_a.add(a[i])
+                kept.append(i)
+        return rows.select([order]).take(pa.array(kept, pa.int64()))
+
+    small = of.join(few(large), "component", "left_anti")
+    taken = materialize(small.groupBy("component").applyInArrow(in_order, open_.select(order).schema), "taken")
+    return taken, materialize(of.join(few(large), "component", "left_semi").select(order, "q", "a"), "pairs")
+
+
 def chunk_prompts(docs: DataFrame, curated: DataFrame | None = None, n: int = 10, size: int = 600) -> DataFrame:
     """doc_id, chunk (from 0), title, prompt: what a generator is asked about each `size` words of a document."""
     rows = docs.select("doc_id", F.posexplode(X.word_chunks(F.col("text"), size)).alias("chunk", "words")).join(document_titles(docs, curated), "doc_id")
