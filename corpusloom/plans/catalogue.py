@@ -16,7 +16,7 @@ from corpusloom.config import Settings
 from corpusloom.functions import scoring
 from corpusloom.functions import text as X
 from corpusloom.operators import blocks, cleaning, conversations, dedup, evaluation, funnel, instructions, language, metrics, pages, split, sync, vocabulary
-from corpusloom.plans.policies import policy_texts
+from corpusloom.plans.policies import PARTS, policy_texts
 from corpusloom.sources import readers
 from corpusloom.sources.tables import materialize, shared_dir, spread
 
@@ -50,6 +50,8 @@ def documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 # ---- lines and pages ---------------------------------------------------------------------------------------------
 
+#: documents' texts with the line that nfkc_clean_text adds, as NFKC leaves it.
+NFKC_SQL = "(coalesce(text, '') || chr(10) || 'final 20 1')"
 #: documents' texts with what the line rules look for: marks, labels, contents lines, page numbers, a broken word.
 DECORATED = "concat('--- PAGE 1 ---\\nRef No: HR-', doc_id, '\\n', coalesce(text, ''), '\\n\\n\\nLeave Rules ........ 12\\nsee Page 2 of 9 now\\nexam-\\nple\\n', doc_id % 50, '/50\\n- 7 -')"
 DECORATED_SQL = "('--- PAGE 1 ---' || chr(10) || 'Ref No: HR-' || doc_id || chr(10) || coalesce(text, '') || repeat(chr(10), 3) || 'Leave Rules ........ 12' || chr(10) || 'see Page 2 of 9 now' || chr(10) || 'exam-' || chr(10) || 'ple' || chr(10) || doc_id % 50 || '/50' || chr(10) || '- 7 -')"
@@ -81,9 +83,9 @@ def clean_text(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", cleaned.alias("c")).select("doc_id", F.sha2("c", 256).alias("sha"), F.length("c").cast("long").alias("n_chars"))
 
 
-@query("nfkc_clean_text")
+@query("nfkc_clean_text", f"SELECT doc_id, {sql_clean(NFKC_SQL)} AS text FROM documents")
 def nfkc_clean_text(spark, sf_dir):
-    """With NFKC first, on texts that it changes: ligatures and full-width digits put in."""
+    """With NFKC first, on texts that it changes: ligatures and full-width digits put in; nothing else of the given texts changes."""
     strange = F.concat(F.coalesce("text", F.lit("")), F.lit("\nﬁnal ２０ ①"))
     return documents(spark, sf_dir).select("doc_id", X.clean_text(X.nfkc(strange)).alias("text"))
 
@@ -593,18 +595,57 @@ def chat_render(spark, sf_dir):
     return conversations.collect_messages(table(spark, sf_dir, "conversations")).select("conv_id", F.sha2(conversations.render(F.col("messages")), 256).alias("sha"))
 
 
-@query("document_titles")
+#: What the policy texts are made of, and what titles, sections and clauses their lines have to give.
+POLICIES_SQL = rf"""
+p AS (SELECT regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g') || '_' || p_partkey // {PARTS} AS doc_id, p_partkey, lower(p_type) AS kind, p_size AS size, floor(p_retailprice)::BIGINT AS price,
+    array_to_string(list_transform(string_split(regexp_replace(p_type, '[^A-Za-z ]', ' ', 'g'), ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') || ' Storage' AS heading FROM part),
+named AS (SELECT DISTINCT doc_id, 'Stock Policy of ' || upper(replace(doc_id, '_', ' ')) AS first_line, CASE WHEN doc_id = 'brand_11_0' THEN 'Curated Title' ELSE 'Stock Policy of Brand' || replace(doc_id[6:], '_', ' ') END AS title FROM p),
+rules AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p_partkey)::INTEGER AS section, heading,
+    'Every keeper of ' || kind || ' must count the stock within ' || size || ' days of its arrival at the store.' AS a,
+    'The price of an item is entered only once, and a change of more than ' || price || ' per unit is signed by the head of the office before it takes effect.' AS b,
+    'Stock that is not eli gible for sale after ' || size || ' weeks is reported to the board, and eligible stock is listed with it.' AS d, kind FROM p),
+sections AS (
+  SELECT doc_id, 0 AS section, 'Overview' AS heading, 2 AS n_lines, [first_line || ' This text binds all stores.'] AS clauses FROM named
+  UNION ALL SELECT doc_id, section, heading, 7, [a, b, 'The following are kept apart: open boxes; returned goods.', d] FROM rules
+  UNION ALL SELECT doc_id, max(section) + 1, 'Annexure Forms', 1, ['Sign here on line 1.'] FROM rules GROUP BY doc_id)
+"""
+CURATED = [("brand_11_0", "Curated Title"), ("brand_12_0", "")]
+
+
+def titled(spark, docs):
+    return instructions.document_titles(docs, spark.createDataFrame(CURATED, "doc_id string, title string"))
+
+
+@query("document_titles", f"WITH {POLICIES_SQL} SELECT doc_id, title FROM named")
 def document_titles(spark, sf_dir):
-    docs = policy_texts(spark, sf_dir)
-    return instructions.document_titles(docs, spark.createDataFrame([("brand_11", "Curated Title"), ("brand_12", "")], "doc_id string, title string"))
+    return titled(spark, policy_texts(spark, sf_dir))
 
 
-@query("policy_sections")
+@query("policy_sections", f"WITH {POLICIES_SQL} SELECT doc_id, section, heading, n_lines, to_json(clauses)::VARCHAR AS clauses FROM sections")
 def policy_sections(spark, sf_dir):
     rows = instructions.split_sections(policy_texts(spark, sf_dir))
     return rows.select("doc_id", "section", "heading", F.size("lines").alias("n_lines"), F.to_json(instructions.split_items(F.col("lines"))).alias("clauses"))
 
 
+@query(
+    "instruction_pairs",
+    rf"""WITH {POLICIES_SQL},
+bodies AS (SELECT r.*, title, '(a) ' || a || ' (b) ' || b || ' (c) The following are kept apart: - open boxes - returned goods; (d) ' || d AS body, string_split(b, ' ') AS w FROM rules r JOIN named USING (doc_id)),
+pairs AS (
+  SELECT doc_id, section, 0 AS pos, 'What does the ' || title || ' say about ' || lower(heading) || '?' AS instruction, body AS response, 'section_qa' AS type FROM bodies
+  UNION ALL SELECT doc_id, section, 1, 'Summarise the ''' || heading || ''' provisions of the ' || title || '.', body, 'section_sum' FROM bodies
+  UNION ALL SELECT doc_id, section, 2, 'What does the ' || title || ' require regarding keeper of ' || kind || '?', a, 'clause_rule' FROM bodies
+  UNION ALL SELECT doc_id, section, 3, 'Complete this rule from the ' || title || ' (section ''' || heading || '''): "' || array_to_string(w[1:greatest(5, len(w) // 2)], ' ') || ' ..."', b, 'clause_cloze' FROM bodies
+  UNION ALL SELECT doc_id, section, 4, 'What does the ' || title || ' require regarding stock that?', d, 'clause_rule' FROM bodies)
+SELECT doc_id, section, pos, instruction, sha256(response) AS response, type FROM pairs""",
+)
+def instruction_pairs(spark, sf_dir):
+    """All pairs that the templates make, before caps and dedup; each section has 5."""
+    docs = policy_texts(spark, sf_dir)
+    pairs = instructions.filter_pairs(instructions.section_pairs(materialize(instructions.split_sections(docs), "sections"), titled(spark, docs)))
+    return pairs.select("doc_id", "section", "pos", "instruction", F.sha2("response", 256).alias("response"), "type")
+
+
 @query("instruction_dataset")
 def instruction_dataset(spark, sf_dir):
     return instructions.instruction_dataset(policy_texts(spark, sf_dir))
@@ -641,7 +682,22 @@ def forgetting_verdicts(spark, sf_dir):
     return funnel.counts_by(both, scoring.forgetting_verdict(F.col("base"), F.col("new")), "verdict")
 
 
-@query("rouge_l")
+def sql_rouge(p: str, r: str) -> str:
+    """F1 of the longest common subsequence of two lists of words, by a row of its table for each word of p."""
+    rows = f"list_concat([list_transform(range(0, len({r}) + 1), lambda i: 0)], list_transform({p}, lambda w: list_concat([-1], list_transform({r}, lambda v: CASE WHEN v = w THEN 1 ELSE 0 END))))"
+    cells = "list_concat([[0]], list_transform(range(2, len(old) + 1), lambda j: [j]))"
+    step = "lambda row, j: list_append(row, CASE WHEN same[j[1]] = 1 THEN old[j[1] - 1] + 1 ELSE greatest(old[j[1]], row[-1]) END)"
+    return f"2.0 * (list_reduce({rows}, lambda old, same: list_reduce({cells}, {step}))[-1]) / greatest(len({p}) + len({r}), 1)"
+
+
+def sql_lower_words(x: str) -> str:
+    return rf"list_filter(string_split_regex(lower(coalesce({x}, '')), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> '')"
+
+
+@query("rouge_l", f"""
+WITH asked AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS asked FROM conversations),
+w AS (SELECT conv_id, turn, {sql_lower_words('text')} AS p, {sql_lower_words('asked')} AS r FROM asked WHERE role = 'assistant' AND asked IS NOT NULL)
+SELECT conv_id, turn, round({sql_rouge('p', 'r')}, 6) AS rouge_l FROM w""")
 def rouge_l(spark, sf_dir):
     """Each assistant turn against the user turn before it; tested against a plain table of the subsequence."""
     w = W.partitionBy("conv_id").orderBy("turn")
@@ -823,7 +879,11 @@ def review_counts(spark, sf_dir):
     return evaluation.review_counts(rows.select("prompt_id", "set", F.col("base_correct").alias("correct")), rows.select("prompt_id", F.col("cpt_correct").alias("correct")))
 
 
-@query("adapter_summary")
+@query("adapter_summary", f"""
+WITH asked AS (SELECT conv_id, {sql_lower_words("arg_min(text, turn)")} AS q FROM conversations WHERE role = 'user' GROUP BY conv_id),
+answers AS (SELECT conv_id, {sql_lower_words("arg_min(text, turn)")} AS f, {sql_lower_words("arg_max(text, turn)")} AS l FROM conversations WHERE role = 'assistant' GROUP BY conv_id),
+scores AS (SELECT {sql_rouge('f', 'q')} AS before, {sql_rouge('l', 'q')} AS after FROM asked JOIN answers USING (conv_id))
+SELECT count(*) AS pairs, round(avg(before), 6) AS mean_before, round(avg(after), 6) AS mean_after, count(*) FILTER (after > before) AS improved FROM scores""")
 def adapter_summary(spark, sf_dir):
     """ROUGE-L of first and last answers against the prompt's first user turn; tested with the scores it is made of."""
     rows = table(spark, sf_dir, "conversations")
