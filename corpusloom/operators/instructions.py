@@ -8,10 +8,12 @@ from __future__ import annotations
 import re
 from functools import reduce
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom.config import Settings
 from corpusloom.functions import text as X
@@ -22,6 +24,8 @@ from corpusloom.operators.prefix import numbered
 from corpusloom.operators.split import grouped_split
 from corpusloom.sources.tables import few, materialize
 
+#: Items that a clause which ends with a colon takes in, at most.
+MOST_ITEMS = 8
 #: Tables of accepted pairs, one a round, that are put together at once.
 MOST_TABLES = 30
 #: Patterns of headings, list items, modal clauses, and words that steer the templates.
@@ -106,7 +110,8 @@ def _fold(items: Column, start: Column, step, finish) -> Column:
 
 def split_items(lines: Column) -> Column:
     """array<string> of clauses: wrapped lines joined, list marks taken off, long paragraphs cut into sentences, and the short
-    items after a clause that ends with a colon taken into it."""
+    items after a clause that ends with a colon taken into it. For short lists; `section_clauses` does it for sections of any
+    length."""
     strings = "array<string>"
     wrapped = _fold(
         lines,
@@ -130,7 +135,7 @@ def split_items(lines: Column) -> Column:
 
     def take(acc: Column, x: Column) -> Column:
         n = X.word_count(x["t"])
-        absorbed = acc["open"].isNotNull() & (F.size(acc["tail"]) < 8) & (x["bullet"] | (n <= 6)) & (n <= 25)
+        absorbed = acc["open"].isNotNull() & (F.size(acc["tail"]) < MOST_ITEMS) & (x["bullet"] | (n <= 6)) & (n <= 25)
         none = F.array().cast(strings)
         return F.when(absorbed, F.struct(acc["done"].alias("done"), acc["open"].alias("open"), F.array_append(acc["tail"], F.regexp_replace(x["t"], "[ ;,.]+$", "")).alias("tail"))).when(
             x["t"].endswith(":"), F.struct(close(acc).alias("done"), x["t"].alias("open"), none.alias("tail"))
@@ -139,6 +144,51 @@ def split_items(lines: Column) -> Column:
     return _fold(clauses, F.struct(F.array().cast(strings), F.lit(None).cast("string"), F.array().cast(strings)).cast(kind), lambda acc, x: take(acc, x).cast(kind), close)
 
 
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _openers(places: pd.Series) -> pd.Series:
+    """Of the places, in order, of a run's clauses that end with a colon: those that no earlier one takes in."""
+
+    def of(run) -> list[int]:
+        out: list[int] = []
+        for k in run:
+            if not out or k > out[-1] + MOST_ITEMS:
+                out.append(int(k))
+        return out
+
+    return places.map(of)
+
+
+def section_clauses(sections: DataFrame) -> DataFrame:
+    """doc_id, section, clauses of sections(doc_id, section, lines): what `split_items` makes of the lines, row by row instead of by
+    folds over arrays, so a section takes time in proportion to its lines. A section without clauses has no row.
+
+    Wrapped lines are an island from one list mark to the next. Clauses that may be taken into one before them stand in runs; a
+    clause that ends with a colon takes in up to MOST_ITEMS of its run, and the next one after those may open anew.
+    """
+    own = W.partitionBy("doc_id", "section")
+    before = own.orderBy("no").rowsBetween(W.unboundedPreceding, W.currentRow)
+    lines = sections.select("doc_id", "section", F.posexplode("lines").alias("no", "line")).withColumn("item", F.sum(F.col("line").rlike(ITEM).cast("int")).over(before))
+    items = lines.groupBy("doc_id", "section", "item").agg(F.sort_array(F.collect_list(F.struct("no", "line"))).alias("l")).select("doc_id", "section", "item", F.trim(F.array_join("l.line", " ")).alias("whole"))
+    plain = F.trim(F.regexp_replace("whole", ITEM, ""))
+    parts = F.when(X.word_count(plain) > 80, F.split(plain, r"(?<=[.;])\s+(?=[A-Z])")).otherwise(F.array(plain))
+    cut = items.select("doc_id", "section", "item", F.col("whole").rlike(BULLET).alias("bullet"), F.posexplode(F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")).alias("part", "t"))
+    n = X.word_count(F.col("t"))
+    rows = cut.withColumn("k", F.row_number().over(own.orderBy("item", "part")).cast("long")).withColumn("fits", (F.col("bullet") | (n <= 6)) & (n <= 25))
+    rows = rows.withColumn("run", F.sum((~F.col("fits")).cast("int")).over(own.orderBy("k").rowsBetween(W.unboundedPreceding, W.currentRow)))
+    rows = materialize(rows.select("doc_id", "section", "run", "k", "t"), "clauses")
+    colons = rows.where(F.col("t").endswith(":")).groupBy("doc_id", "section", "run").agg(F.sort_array(F.collect_list("k")).alias("places"))
+    opens = colons.select("doc_id", "section", F.explode(_openers("places")).alias("k")).withColumn("opens", F.col("k"))
+    last = F.last("opens", ignorenulls=True).over(W.partitionBy("doc_id", "section", "run").orderBy("k").rowsBetween(W.unboundedPreceding, W.currentRow))
+    headed = rows.join(opens, ["doc_id", "section", "k"], "left").withColumn("last", last)
+    head = F.when(F.col("k") - F.col("last") <= MOST_ITEMS, F.col("last")).otherwise(F.col("k"))
+    groups = headed.groupBy("doc_id", "section", head.alias("head")).agg(F.sort_array(F.collect_list(F.struct("k", "t"))).alias("g"))
+    tail = F.transform(F.slice("g", F.lit(2), F.size("g")), lambda x: F.regexp_replace(x["t"], "[ ;,.]+$", ""))
+    first = F.col("g")[0]["t"]
+    joined = groups.select("doc_id", "section", "head", F.when(F.size("g") == 1, first).otherwise(F.concat(first, F.lit(" "), F.array_join(tail, "; "), F.lit("."))).alias("clause"))
+    listed = joined.groupBy("doc_id", "section").agg(F.sort_array(F.collect_list(F.struct("head", "clause"))).alias("c"))
+    return listed.select("doc_id", "section", F.col("c.clause").alias("clauses"))
+
+
 def clean_subject(subject: Column) -> Column:
     plain = F.regexp_replace(F.trim(subject), r"(?i)^(?:the|all|any|every|an?)\s+", "")
     return F.when(F.substring(plain, 1, 2).rlike(r"^\P{Ll}*\p{Lu}\P{Ll}*$"), plain).otherwise(F.concat(F.lower(F.substring(plain, 1, 1)), F.expr("''"), F.substr(plain, F.lit(2))))
@@ -147,7 +197,8 @@ def clean_subject(subject: Column) -> Column:
 def section_pairs(sections: DataFrame, titles: DataFrame) -> DataFrame:
     """doc_id, section, heading, title, pos, instruction, response, type: the templates over sections and their clauses."""
     rows = sections.where(~F.col("heading").rlike(SKIPPED)).join(titles, "doc_id").withColumn("body", F.trim(F.regexp_replace(F.array_join("lines", " "), r"(?U)\s+", " ")))
-    rows = rows.withColumns({"words": X.word_count(F.col("body")), "clauses": split_items(F.col("lines"))})
+    rows = rows.join(section_clauses(sections), ["doc_id", "section"], "left")
+    rows = rows.withColumns({"words": X.word_count(F.col("body")), "clauses": F.coalesce("clauses", F.array().cast("array<string>"))})
     lower = F.lower("heading")
 
     def pair(instruction: Column, response: Column, kind: str) -> Column:

@@ -623,8 +623,9 @@ def document_titles(spark, sf_dir):
 
 @query("policy_sections", f"WITH {POLICIES_SQL} SELECT doc_id, section, heading, n_lines, to_json(clauses)::VARCHAR AS clauses FROM sections")
 def policy_sections(spark, sf_dir):
-    rows = instructions.split_sections(policy_texts(spark, sf_dir))
-    return rows.select("doc_id", "section", "heading", F.size("lines").alias("n_lines"), F.to_json(instructions.split_items(F.col("lines"))).alias("clauses"))
+    rows = materialize(instructions.split_sections(policy_texts(spark, sf_dir)), "sections")
+    rows = rows.join(instructions.section_clauses(rows), ["doc_id", "section"], "left")
+    return rows.select("doc_id", "section", "heading", F.size("lines").alias("n_lines"), F.to_json(F.coalesce("clauses", F.array().cast("array<string>"))).alias("clauses"))
 
 
 @query(
