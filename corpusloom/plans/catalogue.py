@@ -663,6 +663,24 @@ def parsed_replies(spark, sf_dir):
     return instructions.parse_replies(documents(spark, sf_dir, "doc_id").select("doc_id", reply.alias("reply")))
 
 
+#: A page is a file that was asked for once or twice; what came of it goes by its number.
+ATTEMPTS = "SELECT concat(page_id, '.pdf') AS file_name, 1 AS attempt, CASE page_id % 5 WHEN 0 THEN CAST(NULL AS STRING) WHEN 1 THEN 'HTTPError: 404' WHEN 2 THEN 'SSLError: bad' ELSE 'timed out' END AS error FROM pages UNION ALL SELECT concat(page_id, '.pdf'), 2, CASE WHEN page_id % 10 = 4 THEN CAST(NULL AS STRING) ELSE 'connection reset' END FROM pages WHERE page_id % 5 = 4"
+
+
+@query("files_to_retry", "SELECT page_id || '.pdf' AS file_name, CASE WHEN page_id % 5 = 4 THEN 2 ELSE 1 END::BIGINT AS attempts FROM pages WHERE page_id % 5 = 3 OR page_id % 10 = 9")
+def files_to_retry(spark, sf_dir):
+    """Up to two retries: what failed for a passing reason each time, and never for good."""
+    attempts = spark.sql(ATTEMPTS.replace("FROM pages", "FROM {pages}"), pages=table(spark, sf_dir, "pages", "page_id"))
+    return readers.files_to_retry(attempts, retries=2)
+
+
+@query("quoted_urls", "SELECT page_id, regexp_extract(url, '^([a-z]+://[^/]+)', 1) || '/a%20b/%C3%BC%20(x)~' || page_id || '.pdf?q=a b' AS url FROM pages".replace("(x)", "%28x%29"))
+def quoted_urls(spark, sf_dir):
+    """Every page's host with a path that has to be quoted, and a query that has not."""
+    strange = F.concat(F.regexp_extract("url", "^([a-z]+://[^/]+)", 1), F.lit("/a%20b/ü (x)~"), F.col("page_id").cast("string"), F.lit(".pdf?q=a b"))
+    return table(spark, sf_dir, "pages", "page_id", "url").select("page_id", readers.quoted_url(strange).alias("url"))
+
+
 # ---- scores and curves -------------------------------------------------------------------------------------------
 
 

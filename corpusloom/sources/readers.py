@@ -143,6 +143,31 @@ def download_report(manifest: DataFrame, fetched: DataFrame, existing: DataFrame
     return rows.select(*manifest.columns, download_status(F.col("content"), F.col("error"), F.col("_length").isNotNull()).alias("status"), F.coalesce("_length", F.length("content").cast("long"), F.lit(0).cast("long")).alias("bytes"))
 
 
+def quoted_url(url: Column) -> Column:
+    """A URL whose path may be sent: letters, digits and `_.-~/%` stay, every other byte of its UTF-8 is percent-encoded. Query and
+    fragment stay as they are."""
+    cut = r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)(.*)$"
+    path = F.url_encode(F.regexp_extract(url, f"(?s){cut}", 2))
+    for encoded, plain in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%2F", "/"), ("%25", "%")):
+        path = F.replace(path, F.lit(encoded), F.lit(plain))
+    return F.when(url.isNotNull(), F.concat(F.regexp_extract(url, f"(?s){cut}", 1), path, F.regexp_extract(url, f"(?s){cut}", 3)))
+
+
+#: Errors after which asking again does not help: the server has answered, or its certificate is not accepted.
+FINAL_ERROR = r"(?i)^HTTP|\bSSL|certificate"
+
+
+def files_to_retry(attempts: DataFrame, retries: int = 1) -> DataFrame:
+    """file_name, attempts of the files whose last attempt failed for a passing reason and that were tried at most `retries` times.
+
+    attempts: file_name, attempt (1, 2, ...), error (null: fetched). A file that was fetched once is done, and so is one that
+    failed for good once.
+    """
+    error = F.col("error")
+    by = attempts.groupBy("file_name").agg(F.max("attempt").cast("long").alias("attempts"), F.max(error.isNull() | error.rlike(FINAL_ERROR)).alias("settled"))
+    return by.where(~F.col("settled") & (F.col("attempts") <= retries)).select("file_name", "attempts")
+
+
 def status_counts(report: DataFrame) -> DataFrame:
     """status (before a colon), n."""
     return report.groupBy(F.split("status", ":")[0].alias("status")).agg(F.count("*").alias("n"))

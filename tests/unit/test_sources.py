@@ -60,3 +60,20 @@ def test_stream_cleans_each_file_once(spark, tmp_path):
     found = spark.read.parquet(str(tmp_path / "out"))
     assert sorted(r["doc_id"] for r in found.collect()) == [1, 3, 5]
     assert found.where(F.col("text") != X.clean_text(F.col("text"))).count() == 0
+
+
+def test_paths_are_quoted_as_a_client_does(spark):
+    from urllib.parse import quote, urlsplit, urlunsplit
+
+    urls = ["https://a.org/x y/ü.pdf?q=a b#f g", "http://a.org", "https://a.org/%20ok/+*~'()!,;:@&=$[]", "/only/a path", "", "https://h/漢字/\t"]
+    want = [urlunsplit(urlsplit(u)._replace(path=quote(urlsplit(u).path, safe="/%"))) for u in urls[:-1]] + ["https://h/%E6%BC%A2%E5%AD%97/%09"]
+    df = spark.createDataFrame(list(enumerate([*urls, None])), "i int, url string")
+    got = {r["i"]: r["u"] for r in df.select("i", readers.quoted_url(F.col("url")).alias("u")).collect()}
+    assert [got[i] for i in range(len(got))] == [*(w.replace("f%20g", "f g") for w in want), None]
+
+
+def test_only_passing_errors_are_tried_again(spark):
+    rows = [("a", 1, None), ("b", 1, "HTTPError: 503"), ("c", 1, "timed out"), ("d", 1, "timed out"), ("d", 2, "reset"), ("e", 1, "timed out"), ("e", 2, None), ("f", 1, "[SSL: CERTIFICATE_VERIFY_FAILED]")]
+    df = spark.createDataFrame(rows, "file_name string, attempt int, error string")
+    assert sorted(tuple(r) for r in readers.files_to_retry(df).collect()) == [("c", 1)]
+    assert sorted(tuple(r) for r in readers.files_to_retry(df, 2).collect()) == [("c", 1), ("d", 2)]
