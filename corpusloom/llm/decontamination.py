@@ -2,7 +2,7 @@
 
 Words of documents and benchmark items are canonicalised: numbers, names (capitalised words inside a sentence) and units after
 a number become typed placeholders, of which a run counts once. Windows of five canonical words are joined by hash. Windows
-that lie alike in a document and an item (within a few words) make up one alignment, which counts if it covers enough of the item
+that lie alike in a document and an item (within a few words, or within the 64 that may stand between its parts) make up one alignment, which counts if it covers enough of the item
 and its slots are consistent: each value in the item stands for one value in the document, and the other way round. So a
 question with other numbers or names is found, and one with other relations between them is not. Where an item repeats a
 template inside itself, windows also match a clause further; chains of matches in one order tell the alignments apart.
@@ -15,8 +15,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.llm.common import let, spread
 
-#: Words of a window, least share of an item's words that an alignment covers, words by which an alignment may shift.
-WINDOW, COVERED, SHIFT = 5, 0.8, 8
+#: Words of a window, least share of an item's words that an alignment covers.
+WINDOW, COVERED = 5, 0.8
+#: Words by which an alignment may shift: few, or as many as may be put in between the parts of an item.
+SHIFTS = (8, 64)
 #: Benchmark windows up to this number are broadcast (some 60 bytes each), more are joined by a shuffle.
 BROADCAST_WINDOWS = 500_000
 #: Units that are placeholders after a number.
@@ -127,9 +129,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, covered: float = COVERED
         item_windows = F.broadcast(item_windows)
     doc_windows = docs.select(F.col(id_col).alias("doc_id"), F.explode(windows(canonical(F.col(text)), sizes)).alias("d")).select("doc_id", F.col("d.hash").alias("hash"), F.col("d.size").alias("size"), F.col("d.pos").alias("pos"), F.col("d.slots").alias("slots"))
     found = doc_windows.join(item_windows, ["hash", "size"])
-    # two overlapping ranges of shifts, so that windows up to SHIFT words apart in shift always share one
+    # two overlapping ranges of shifts for each of SHIFTS, so that windows up to so many words apart in shift always share one
     shift = F.col("pos") - F.col("item_pos")
-    ranges = F.explode(F.array(F.floor(shift / (2 * SHIFT)) * 2, F.floor((shift + SHIFT) / (2 * SHIFT)) * 2 + 1))
+    numbered = lambda most, number: F.struct(F.lit(most).alias("most"), number.alias("number"))
+    ranges = F.explode(F.array(*[numbered(s, n) for s in SHIFTS for n in (F.floor(shift / (2 * s)) * 2, F.floor((shift + s) / (2 * s)) * 2 + 1)]))
     pairs = F.filter(
         F.zip_with(F.split("item_slots", "\x1f"), F.split("slots", "\x1f"), lambda a, b: F.struct(a.alias("a"), b.alias("b"))),
         lambda p: (F.coalesce(p["a"], F.lit("")) != "") | (F.coalesce(p["b"], F.lit("")) != ""),

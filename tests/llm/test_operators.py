@@ -550,3 +550,15 @@ def test_repeated_rows_of_near_copies_are_compared_once(spark, monkeypatch):
     found = {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dedup.near_duplicates(df).collect()}
     assert found == {(1, 116, 1, True), (2, 118, 1, False), (3, 56, 3, True)}
     assert seen == [2]
+
+
+@pytest.mark.parametrize("between, found", [(6, True), (20, True), (60, True), (400, False)])
+def test_an_item_with_words_put_in_its_middle_is_found(spark, between, found):
+    """Up to 64 words; what is further apart are two halves of an item."""
+    rng = random.Random(between)
+    item = [f"w{rng.randint(0, 9999)}x" for _ in range(40)]
+    other = [f"o{rng.randint(0, 9999)}y" for _ in range(between + 100)]
+    text = " ".join([*other[:50], *item[:20], *other[100:], *item[20:], *other[50:100]])
+    docs = spark.createDataFrame([(1, text), (2, " ".join(other)), (3, " ".join(other[:30] + item[:20]))], "doc_id long, text string")
+    got = decontamination.contaminated(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
+    assert [(r["doc_id"], r["item_id"], r["exact"]) for r in got] == ([(1, 7, True)] if found else [])
