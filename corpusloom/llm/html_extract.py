@@ -39,6 +39,14 @@ MARKS = frozenset(
     "topbar".split()
 )
 MARK_STARTS = ("advert", "cookie", "navig", "sidebar", "sponsor", "promo")
+#: Marks that also end names of an article's own blocks, such as market-share: at the end they mark only after one of PLACES.
+WORDS = frozenset("share sharing notice notices related reply replies respond".split())
+PLACES = frozenset(
+    "admin article bottom btn button buttons cookies copyright email entry float floating footer global header icon legal page post privacy site "
+    "sticky story system top user widget wp".split()
+)
+#: What stands before `header` in names of an article's own head.
+OWN_HEADERS = frozenset("article blog chapter content entry news page post section single story".split())
 #: Marks of what is never the article, however long it is.
 SURE_MARKS = frozenset("comment comments commentlist commentform disqus".split())
 #: An element marked by another class or id alone stays if it holds this share of the page's points of paragraphs.
@@ -60,11 +68,24 @@ _SPLIT = re.compile(r"[^a-z0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 
 
-def left_out(tag: str, attributes: str) -> int:
-    """Whether an element is not part of an article: 2 by its tag, role or a sure mark, 1 by another class or id or as a form, 0 if it may be."""
+def marks(parts: list[str], in_article: bool) -> bool:
+    """Whether the parts of a class or id, such as those of cookie-notice or site-footer (not elementor-menu-anchor), mark what is not the article."""
+    first, last = parts[0], parts[-1]
+    if first in MARKS and not (in_article and parts == ["header"]) or first.startswith(MARK_STARTS) or last.startswith(MARK_STARTS):
+        return True
+    if last == "header" and first in OWN_HEADERS and (in_article or first != "page"):
+        return False
+    return last in MARKS and len(parts) > 1 and (last not in WORDS or first in PLACES)
+
+
+def left_out(tag: str, attributes: str, in_article: bool = False) -> int:
+    """Whether an element is not part of an article: 2 by its tag, role or a sure mark, 1 by another class or id or as a form, 0 if it may be.
+
+    A header inside an article is the article's own: its title, its author.
+    """
     if tag in NEVER_LEFT_OUT:
         return 0
-    if tag in LEFT_OUT:
+    if tag in LEFT_OUT and not (tag == "header" and in_article):
         return 2
     most = int(tag in MAY_WRAP)
     if not attributes or attributes.isspace():
@@ -79,9 +100,7 @@ def left_out(tag: str, attributes: str) -> int:
                 continue  # such as has-sidebar on a wrapper
             if tag not in INLINE and not SURE_MARKS.isdisjoint(parts):
                 return 2
-            for p in (parts[0], parts[-1]):  # such as cookie-notice, site-footer; not elementor-menu-anchor
-                if p in MARKS or p.startswith(MARK_STARTS):
-                    most = 1
+            most = max(most, int(marks(parts, in_article)))
     return most
 
 
@@ -184,7 +203,7 @@ class Page:
         self.parent.append(self.stack[-1])
         out = self.out[self.stack[-1]]
         if out < 2:
-            mark = left_out(name, attributes)
+            mark = left_out(name, attributes, bool(self.places.get("article")))
             if mark == 1:
                 self.marked.append(len(self.tag) - 1)
                 mark = self.spared is not None and self.marked[-1] not in self.spared

@@ -534,6 +534,20 @@ def test_forms_and_comments_beside_an_article_go_and_words_in_a_line_stay():
     assert html_extract.main_text(page) == f"{FLOOD}\n\nWrite a note or a letter to them, and wait for the answer."
 
 
+@pytest.mark.parametrize("head", ["<header>{}</header>", "<header class='entry-header'>{}</header>", "<div class='post-header'>{}</div>", "<div class=header>{}</div>"])
+def test_the_head_of_an_article_stays_and_that_of_the_page_goes(head):
+    title = "<h1>High water</h1><p>By A. Writer</p>"
+    page = f"<body><header><h1>The Daily</h1></header><div class='page-header'>Top of the page</div><article>{head.format(title)}<p>{FLOOD}</p></article></body>"
+    assert html_extract.main_text(page) == f"High water\n\nBy A. Writer\n\n{FLOOD}"
+
+
+def test_words_that_end_names_of_an_articles_blocks_mark_nothing_by_themselves():
+    own = "".join(f"<div class='{c}'>What {c} says.</div>" for c in ("market-share", "flood-notice", "letters-reply"))
+    gone = "".join(f"<div class='{c}'>Not this.</div>" for c in ("share", "post-share", "social-share", "site-notice", "privacy-notice", "notice", "notice-bar", "related", "reply-form"))
+    page = f"<body><article><p>{FLOOD}</p>{own}{gone}</article></body>"
+    assert html_extract.main_text(page) == "\n\n".join([FLOOD, "What market-share says.", "What flood-notice says.", "What letters-reply says."])
+
+
 def test_repeated_rows_of_near_copies_are_compared_once(spark, monkeypatch):
     rng = random.Random(3)
     base = sentence(rng, 120)
