@@ -122,17 +122,6 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() < cores else df
 
 
-def plan_bytes(df: DataFrame) -> int:
-    """Spark's own estimate of a table's size in bytes (file sizes for a scan)."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def text_volume(df: DataFrame, text: str) -> int:
-    """About the bytes of a table of texts: Spark's estimate, or where it has none (rows that no file holds) their sum."""
-    estimate = plan_bytes(df)
-    return estimate if estimate < 1 << 56 else df.agg(F.sum(F.octet_length(text))).first()[0] or 0
-
-
 # ---- vectorised tokens -------------------------------------------------------------------------------------------
 
 

@@ -21,11 +21,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusloom.llm.common import materialize, mix, share, spread, text_bytes, text_volume, word_hashes
+from corpusloom.llm.common import materialize, mix, share, spread, text_bytes, word_hashes
 from corpusloom.llm.language_id import fold
 
-#: Input bytes of a block by Spark's estimate (of compressed files), blocks at least, shares of training documents for the weights.
-BLOCK_BYTES, LEAST_BLOCKS, EM_SHARE = 4 << 20, 12, 10
+#: Bytes of a block's texts, blocks at least, shares of training documents for the weights.
+BLOCK_BYTES, LEAST_BLOCKS, EM_SHARE = 7 << 20, 12, 10
+#: Rows with equal id and text beyond which they are one row with a weight, so that no block gets them all.
+REPEATS = 100
 #: Context buckets, steps of the estimates' natural logarithms in the weights' histogram, rounds of expectation-maximisation.
 BUCKETS, STEP, ROUNDS = 24, 0.1, 60
 END, START = np.uint64(0x1D872B41A3C5E6F7), np.uint64(0x7E57AB1E0DDBA115)
@@ -95,15 +97,15 @@ _ANSWER = T.StructType().add("block", T.LongType()).add("bucket", T.LongType()).
 def ngram_counts(blocks: DataFrame, bits: int) -> DataFrame:
     """Training counts of every block's n-grams, by block, bucket and kind; and each bucket's totals (block -1).
 
-    blocks: block, text, trains. The bucket of an n-gram is the first `bits` bits of its hash.
+    blocks: block, text, trains, rows (that a row stands for). The bucket of an n-gram is the first `bits` bits of its hash.
     """
 
     def ask(table: pa.Table) -> pa.Table:
         grams, block = Grams(table.column("text")), table.column("block")[0].as_py()
-        trains = table.column("trains").to_numpy(zero_copy_only=False)[grams.document]
+        weight = np.where(table.column("trains").to_numpy(zero_copy_only=False), table.column("rows").to_numpy(), 0)[grams.document]
         rows = []
         for kind, keys in grams.distinct.items():
-            counts = np.bincount(grams.of[kind][trains], minlength=len(keys))
+            counts = np.bincount(grams.of[kind], weight, len(keys)).astype(np.int64)
             cuts = np.searchsorted(keys >> np.uint64(64 - bits) if bits else np.zeros(len(keys), np.uint64), np.arange((1 << bits) + 1, dtype=np.uint64))
             rows += [(b, block, kind, _pack_keys(keys[x:y]), _pack_counts(counts[x:y])) for b, (x, y) in enumerate(zip(cuts, cuts[1:], strict=False)) if y > x]
         columns = list(zip(*rows, strict=True))
@@ -131,7 +133,7 @@ def ngram_counts(blocks: DataFrame, bits: int) -> DataFrame:
         kinds_of = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
         return pa.table([pa.array(c, t) for c, t in zip(columns, kinds_of, strict=True)], names=_ANSWER.names)
 
-    asked = blocks.select("block", "text", "trains").groupBy("block").applyInArrow(ask, _REQUEST)
+    asked = blocks.select("block", "text", "trains", "rows").groupBy("block").applyInArrow(ask, _REQUEST)
     return materialize(asked.groupBy("bucket").applyInArrow(answer, _ANSWER), "counts")
 
 
@@ -171,14 +173,32 @@ def learn_weights(cells: list[tuple[int, float]], uniform: float) -> np.ndarray:
     return weights
 
 
+def weigh_repeats(docs: DataFrame) -> tuple[DataFrame, int]:
+    """(docs with rows: how many rows a row stands for; bytes of all their texts). docs: doc_id, text, trains.
+
+    Rows of an id and text that occur more than REPEATS times become one; all others stay as they are, without a shuffle of texts.
+    """
+    key = F.xxhash64("doc_id", "text", "trains")
+    counted = docs.groupBy(key.alias("key")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes"))
+    most, volume = counted.agg(F.max("n"), F.sum(F.when(F.col("n") > REPEATS, F.col("bytes") / F.col("n")).otherwise(F.col("bytes")))).first()
+    if (most or 0) <= REPEATS:
+        return docs.withColumn("rows", F.lit(1).cast("long")), int(volume or 0)
+    hot = materialize(counted.where(F.col("n") > REPEATS).select("key"), "repeats")
+    keyed = docs.withColumn("key", key)
+    one = keyed.join(hot, "key", "left_semi").groupBy("doc_id", "text", "trains").agg(F.count("*").alias("rows"))
+    rest = keyed.join(hot, "key", "left_anti").select("doc_id", "text", "trains", F.lit(1).cast("long").alias("rows"))
+    return rest.unionByName(materialize(one, "weighed")), int(volume)
+
+
 def score(df: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, trains, n_tokens, n_known, train_tokens, base_score, score of every row; base and score are log10.
 
     A null text counts as empty: it has its end token alone. Rows are counted one by one, so repeated rows add to the counts
-    if they train. Without a training row every token is unknown. An empty table gives an empty one.
+    if they train; many repeats of one row are counted as one with a weight. Without a training row every token is unknown. An empty table gives an empty one.
     """
     docs = df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(trains, F.lit(False)).alias("trains"))
-    blocks = max(LEAST_BLOCKS, -(-text_volume(df, text) // BLOCK_BYTES))
+    docs, volume = weigh_repeats(docs)
+    blocks = max(LEAST_BLOCKS, -(-volume // BLOCK_BYTES))
     bits = max(3, math.ceil(math.log2(blocks)))
     dealt = F.xxhash64(F.col("doc_id"), F.col("text"))
     weighs = F.col("trains") & (F.pmod(F.xxhash64(F.col("doc_id"), F.lit("weights")), F.lit(EM_SHARE)) == 0)
@@ -188,7 +208,7 @@ def score(df: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "te
     answers = ngram_counts(docs, bits)
     totals = answers.where(F.col("kind") == TOTALS).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     tokens, known = int(totals[0]), int(totals[1])
-    texts = docs.where("trains").count()
+    texts = docs.where("trains").agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     uniform = 1 / (known + 1)
     back = answers.where(F.col("kind") != TOTALS).select("block", "bucket", "kind", "counts")
 
@@ -196,23 +216,24 @@ def score(df: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "te
         """Cells of context bucket and estimates, each token's own occurrence deleted."""
         if not docs.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64())], names=["cell", "n"])
-        _, one, context, two = _token_counts(docs, answers)
+        grams, one, context, two = _token_counts(docs, answers)
         context = np.where(context < 0, texts, context) - 1
         p2 = np.where(context > 0, (two - 1) / np.maximum(context, 1), 0.0)
         p1 = (one - 1) / max(tokens - 1, 1)
         quantum = [np.where(p > 0, np.minimum(1 + np.rint(-np.log(np.maximum(p, 1e-300)) / STEP), 4095), 0).astype(np.int64) for p in (p2, p1)]
-        cell, n = np.unique(context_bucket(context) << 24 | quantum[0] << 12 | quantum[1], return_counts=True)
-        return pa.table([pa.array(cell), pa.array(n, pa.int64())], names=["cell", "n"])
+        cell, of = np.unique(context_bucket(context) << 24 | quantum[0] << 12 | quantum[1], return_inverse=True)
+        n = np.bincount(of, docs.column("rows").to_numpy()[grams.document], len(cell)).astype(np.int64)
+        return pa.table([pa.array(cell), pa.array(n)], names=["cell", "n"])
 
-    learners = docs.where(F.col("block") >= blocks).select("block", "text")
+    learners = docs.where(F.col("block") >= blocks).select("block", "text", "rows")
     cells = learners.groupBy("block").cogroup(back.where(F.col("block") >= blocks).groupBy("block")).applyInArrow(tally, "cell long, n long")
     weights = learn_weights([(r["cell"], r["n"]) for r in cells.groupBy("cell").agg(F.sum("n").alias("n")).collect()], uniform)
     shared = share(df.sparkSession, weights)
-    schema = docs.select("doc_id", "trains").schema.add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
+    schema = docs.select("doc_id", "trains", "rows").schema.add("n_tokens", "long").add("n_known", "long").add("train_tokens", "long").add("base_score", "double").add("score", "double")
 
     def apply(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not docs.num_rows:
-            return pa.table([docs.column("doc_id"), docs.column("trains"), *[pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]], names=schema.names)
+            return pa.table([docs.column("doc_id"), docs.column("trains"), docs.column("rows"), *[pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())]], names=schema.names)
         mixture = pickle.loads(shared.value)
         grams, one, context, two = _token_counts(docs, answers)
         context = np.where(context < 0, texts, context)
@@ -222,11 +243,13 @@ def score(df: DataFrame, trains: Column, id_col: str = "doc_id", text: str = "te
         n = docs.num_rows
         sums = [np.bincount(grams.document, x, n) for x in (one > 0, base, np.log10(p))]
         return pa.table(
-            [docs.column("doc_id"), docs.column("trains"), pa.array(grams.sizes, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(np.full(n, tokens), pa.int64()), pa.array(sums[1]), pa.array(sums[2])],
+            [docs.column("doc_id"), docs.column("trains"), docs.column("rows"), pa.array(grams.sizes, pa.int64()), pa.array(sums[0].astype(np.int64)), pa.array(np.full(n, tokens), pa.int64()), pa.array(sums[1]), pa.array(sums[2])],
             names=schema.names,
         )
 
-    return docs.select("block", "doc_id", "trains", "text").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(apply, schema)
+    found = docs.select("block", "doc_id", "trains", "rows", "text").groupBy("block").cogroup(back.groupBy("block")).applyInArrow(apply, schema)
+    again = F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows")))
+    return found.withColumn("again", again).drop("again", "rows")
 
 
 def op8_lm_scoring(spark, sf_dir: str) -> DataFrame:

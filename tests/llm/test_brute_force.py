@@ -77,13 +77,15 @@ def test_language_is_that_of_fewest_phrases(spark):
 # ---- op 8: the interpolated score ---------------------------------------------------------------------------------
 
 
-def test_scores_equal_counting_by_hand(spark, monkeypatch):
+@pytest.mark.parametrize("repeats", [1, 100])
+def test_scores_equal_counting_by_hand(spark, monkeypatch, repeats):
+    monkeypatch.setattr(lm_scoring, "REPEATS", repeats)
     mixture = np.random.default_rng(1).dirichlet([2, 2, 1], lm_scoring.BUCKETS)
     mixture[0] = [0, 0.7, 0.3]
     monkeypatch.setattr(lm_scoring, "learn_weights", lambda cells, uniform: mixture)
     rng = random.Random(2)
     rows = [(i, text(rng, rng.randint(0, 30)).title(), i % 4 != 0) for i in range(80)] + [(90, None, True), (91, "", False), (92, "never seen words", False)]
-    rows += [rows[1], (None, "river stone", True)]
+    rows += [rows[1], (None, "river stone", True), rows[8], rows[8], (None, "river stone", True)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, trains boolean, n_tokens string").repartition(3)
     from pyspark.sql import functions as F
 

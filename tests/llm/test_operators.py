@@ -406,6 +406,24 @@ def test_scores_are_a_distribution_and_counts_are_exact(spark):
     assert lm_scoring.score(df.limit(0), F.lit(True)).count() == 0
 
 
+def test_repeats_of_a_row_weigh_what_they_weigh_one_by_one(spark, monkeypatch):
+    """Also for the weights that are learnt; and no block gets more rows of one id and text than the bound."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(18)
+    rows = [(i, sentence(rng, rng.randint(1, 30), ["p", "q", "r"]), "x") for i in range(40)]
+    df = spark.createDataFrame(rows + rows[5:15] * 30 + [(None, None, "x")] * 30, "doc_id long, text string, rows string").repartition(4)
+    trains = F.col("doc_id") % 10 != 0
+    results = []
+    for bound in (10, 1000):
+        monkeypatch.setattr(lm_scoring, "REPEATS", bound)
+        results.append(sorted((str(r["doc_id"]), r["n_tokens"], r["train_tokens"], round(r["base_score"], 8), round(r["score"], 6)) for r in lm_scoring.score(df, trains).collect()))
+    assert results[0] == results[1] and len(results[0]) == df.count()
+    monkeypatch.setattr(lm_scoring, "REPEATS", 10)
+    weighed, volume = lm_scoring.weigh_repeats(df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce(trains, F.lit(False)).alias("trains")))
+    assert weighed.count() == 41 and volume == sum(len(t) for _, t, _ in rows)
+
+
 def test_packed_keys_and_counts_come_back():
     rng = np.random.default_rng(0)
     for n, top in ((0, 1 << 40), (1, 1 << 40), (1000, 1 << 40), (50, (1 << 63))):
