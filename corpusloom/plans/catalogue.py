@@ -628,18 +628,19 @@ def policy_sections(spark, sf_dir):
     return rows.select("doc_id", "section", "heading", F.size("lines").alias("n_lines"), F.to_json(F.coalesce("clauses", F.array().cast("array<string>"))).alias("clauses"))
 
 
-@query(
-    "instruction_pairs",
-    rf"""WITH {POLICIES_SQL},
-bodies AS (SELECT r.*, title, '(a) ' || a || ' (b) ' || b || ' (c) The following are kept apart: - open boxes - returned goods; (d) ' || d AS body, string_split(b, ' ') AS w FROM rules r JOIN named USING (doc_id)),
+#: All pairs of the policies' sections; {title} is what a document's title comes from.
+PAIRS_SQL = rf"""{POLICIES_SQL},
+bodies AS (SELECT r.*, {{title}} AS title, '(a) ' || a || ' (b) ' || b || ' (c) The following are kept apart: - open boxes - returned goods; (d) ' || d AS body, string_split(b, ' ') AS w FROM rules r JOIN named USING (doc_id)),
 pairs AS (
-  SELECT doc_id, section, 0 AS pos, 'What does the ' || title || ' say about ' || lower(heading) || '?' AS instruction, body AS response, 'section_qa' AS type FROM bodies
-  UNION ALL SELECT doc_id, section, 1, 'Summarise the ''' || heading || ''' provisions of the ' || title || '.', body, 'section_sum' FROM bodies
-  UNION ALL SELECT doc_id, section, 2, 'What does the ' || title || ' require regarding keeper of ' || kind || '?', a, 'clause_rule' FROM bodies
-  UNION ALL SELECT doc_id, section, 3, 'Complete this rule from the ' || title || ' (section ''' || heading || '''): "' || array_to_string(w[1:greatest(5, len(w) // 2)], ' ') || ' ..."', b, 'clause_cloze' FROM bodies
-  UNION ALL SELECT doc_id, section, 4, 'What does the ' || title || ' require regarding stock that?', d, 'clause_rule' FROM bodies)
-SELECT doc_id, section, pos, instruction, sha256(response) AS response, type FROM pairs""",
-)
+  SELECT doc_id, section, heading, title, 0 AS pos, 'What does the ' || title || ' say about ' || lower(heading) || '?' AS instruction, body AS response, 'section_qa' AS type FROM bodies
+  UNION ALL SELECT doc_id, section, heading, title, 1, 'Summarise the ''' || heading || ''' provisions of the ' || title || '.', body, 'section_sum' FROM bodies
+  UNION ALL SELECT doc_id, section, heading, title, 2, 'What does the ' || title || ' require regarding keeper of ' || kind || '?', a, 'clause_rule' FROM bodies
+  UNION ALL SELECT doc_id, section, heading, title, 3, 'Complete this rule from the ' || title || ' (section ''' || heading || '''): "' || array_to_string(w[1:greatest(5, len(w) // 2)], ' ') || ' ..."', b, 'clause_cloze' FROM bodies
+  UNION ALL SELECT doc_id, section, heading, title, 4, 'What does the ' || title || ' require regarding stock that?', d, 'clause_rule' FROM bodies)
+"""
+
+
+@query("instruction_pairs", f"WITH {PAIRS_SQL.replace('{title}', 'named.title')} SELECT doc_id, section, pos, instruction, sha256(response) AS response, type FROM pairs")
 def instruction_pairs(spark, sf_dir):
     """All pairs that the templates make, before caps and dedup; each section has 5."""
     docs = policy_texts(spark, sf_dir)
@@ -647,12 +648,36 @@ def instruction_pairs(spark, sf_dir):
     return pairs.select("doc_id", "section", "pos", "instruction", F.sha2("response", 256).alias("response"), "type")
 
 
-@query("instruction_dataset")
+def sql_normal(x: str) -> str:
+    return rf"trim(regexp_replace(lower({x}), '[^\p{{L}}\p{{M}}\p{{N}}_]+', ' ', 'g'))"
+
+
+#: Capped pairs in order, each as [[question, answer, place]]; a pair is accepted if no accepted one has its question or answer.
+DATASET_SQL = rf"""{PAIRS_SQL.replace('{title}', "'Stock Policy of Brand' || replace(doc_id[6:], '_', ' ')")},
+ranked AS (SELECT *, doc_id || '::' || section AS "group", row_number() OVER (PARTITION BY doc_id ORDER BY sha256('42|' || doc_id || '|' || section || '|' || pos), section, pos) AS r FROM pairs),
+keyed AS (SELECT *, dense_rank() OVER (ORDER BY {sql_normal('instruction')}) AS q, dense_rank() OVER (ORDER BY {sql_normal('response')}) AS a, row_number() OVER (ORDER BY doc_id, section, pos) AS place FROM ranked WHERE r <= 150),
+firsts AS (SELECT q, a, min(place) AS place FROM keyed GROUP BY q, a),
+walk AS (SELECT list_reduce(list_concat([[]::BIGINT[][]], list([[q, a, place]] ORDER BY place)), lambda taken, x:
+  CASE WHEN list_contains(list_transform(taken, lambda t: t[1]), x[1][1]) OR list_contains(list_transform(taken, lambda t: t[2]), x[1][2]) THEN taken ELSE list_concat(taken, x) END) AS taken FROM firsts),
+kept AS (SELECT keyed.* FROM keyed JOIN (SELECT unnest(taken)[3] AS place FROM walk) USING (place)),
+sizes AS (SELECT "group", count(*) AS n FROM kept GROUP BY "group"),
+dealt AS (SELECT "group", coalesce(sum(n) OVER (ORDER BY sha256('42|' || "group"), "group" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM sizes),
+split AS (SELECT kept.*, CASE WHEN before < 0.8 * (SELECT count(*) FROM kept) THEN 'train' ELSE 'eval' END AS split FROM kept JOIN dealt USING ("group")),
+dataset AS (SELECT split, row_number() OVER (PARTITION BY split ORDER BY sha256('42|' || "group"), "group", doc_id, section, pos) - 1 AS id, instruction, response, type, "group", heading AS section, doc_id AS source, title AS document_title, 'heuristic' AS method FROM split)
+"""
+
+
+@query("instruction_dataset", f"WITH {DATASET_SQL} SELECT * FROM dataset")
 def instruction_dataset(spark, sf_dir):
     return instructions.instruction_dataset(policy_texts(spark, sf_dir))
 
 
-@query("instruction_statistics")
+@query(
+    "instruction_statistics",
+    f"""WITH {DATASET_SQL}, types AS (SELECT type, count(*) AS n FROM dataset GROUP BY type)
+SELECT count(*) AS pairs, count(*) FILTER (split = 'train') AS train_pairs, round(count(*) FILTER (split = 'train') / count(*), 3) AS train_fraction, count(DISTINCT source) AS source_documents,
+(SELECT '{{' || string_agg('"' || type || '":' || n, ',' ORDER BY type) || '}}' FROM types) AS pairs_by_type FROM dataset""",
+)
 def instruction_statistics(spark, sf_dir):
     return instructions.instruction_statistics(instruction_dataset(spark, sf_dir)).withColumn("pairs_by_type", F.to_json("pairs_by_type"))
 
