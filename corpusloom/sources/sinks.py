@@ -9,7 +9,8 @@ from corpusloom.operators.prefix import numbered
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").csv(path, header=True)
+    """With a header; quotes in a text are doubled, and blanks at its ends stay, so that read_manifest gives the same texts."""
+    df.write.mode("overwrite").csv(path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_json_report(df: DataFrame, path: str) -> None:

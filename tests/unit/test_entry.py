@@ -5,7 +5,7 @@ import os
 import pandas as pd
 import pytest
 
-from corpusloom.plans import catalogue
+from corpusloom.plans import catalogue, written  # noqa: F401  (written adds its queries to the catalogue's)
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
