@@ -167,10 +167,36 @@ def doc_word_counts(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", X.word_count(F.col("text")).cast("long").alias("word_count"), X.normalized_digest(F.col("text")).alias("digest"))
 
 
-@query("repaired_words")
+#: The policy texts, and the words that a space has split: joined from left to right, chr(1) at the end of what is joined.
+REPAIRED_SQL = rf"""
+s AS (SELECT regexp_replace(lower(p_brand), '[^a-z0-9]+', '_', 'g') || '_' || p_partkey // {PARTS} AS doc_id, p_partkey, array_to_string([
+    '2.' || (p_partkey % 90 + 1) || ' ' || array_to_string(list_transform(string_split(regexp_replace(p_type, '[^A-Za-z ]', ' ', 'g'), ' '), lambda w: upper(w[1:1]) || lower(w[2:])), ' ') || ' Storage',
+    '(a) Every keeper of ' || lower(p_type) || ' must count the stock within ' || p_size || ' days of its arrival at the store.',
+    '(b) The price of an item is entered only once, and a change of more than ' || floor(p_retailprice)::BIGINT || ' per unit is signed by the head of',
+    'the office before it takes effect.', '(c) The following are kept apart:', '- open boxes', '- returned goods;',
+    '(d) Stock that is not eli gible for sale after ' || p_size || ' weeks is reported to the board, and eligible stock is listed with it.'], chr(10)) AS section FROM part),
+texts AS (SELECT doc_id, 'Stock Policy of ' || upper(replace(doc_id, '_', ' ')) || chr(10) || 'This text binds all stores.' || chr(10) || string_agg(section, chr(10) ORDER BY p_partkey) || chr(10) || 'ANNEXURE FORMS' || chr(10) || 'Sign here on line 1.' || chr(10) ||
+    'Held as q' || translate(doc_id[7:], '0123456789_', 'abcdefghijx') || 'ware, but q' || translate(doc_id[7:], '0123456789_', 'abcdefghijx') || ' ware ware; is kept' AS text FROM s GROUP BY doc_id),
+own AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS word FROM texts) GROUP BY ALL),
+counts AS (SELECT doc_id, word, n + sum(n) OVER (PARTITION BY word) AS n FROM own),
+corpus AS (SELECT word, sum(n) AS n FROM own GROUP BY word),
+lines AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line, string_split(unnest(string_split(text, chr(10))), ' ') AS t FROM texts),
+neighbours AS (SELECT DISTINCT doc_id, t[u.i] AS a, t[u.i + 1] AS whole_b, regexp_replace(t[u.i + 1], '[.,;:]$', '') AS b FROM lines, unnest(range(1, len(t))) AS u(i)),
+candidates AS (SELECT DISTINCT doc_id, lower(a) AS a, b FROM neighbours WHERE regexp_matches(a, '^\p{{L}}+$') AND regexp_matches(whole_b, '^[a-z]+[.,;:]?$') AND lower(a) NOT IN {('o', 'i', *vocabulary.COMMON_WORDS)} AND b NOT IN {('i', *vocabulary.COMMON_WORDS)}),
+seen AS (SELECT c.*, coalesce(x.n, u.n, 0) AS n_a, coalesce(y.n, v.n, 0) AS n_b, coalesce(z.n, w.n, 0) AS n_ab FROM candidates c LEFT JOIN corpus u ON u.word = a LEFT JOIN corpus v ON v.word = b LEFT JOIN corpus w ON w.word = a || b
+    LEFT JOIN counts x ON x.doc_id = c.doc_id AND x.word = a LEFT JOIN counts y ON y.doc_id = c.doc_id AND y.word = b LEFT JOIN counts z ON z.doc_id = c.doc_id AND z.word = a || b),
+joined AS (SELECT doc_id, list(a || ' ' || b) AS pairs FROM seen WHERE n_ab >= CASE WHEN least(len(a), len(b)) = 1 THEN 3 ELSE 1 END AND least(n_a, n_b) <= 3 GROUP BY doc_id),
+mended AS (SELECT doc_id, line, replace(array_to_string(list_reduce(list_transform(t, lambda w: [w]), lambda kept, x:
+    CASE WHEN list_contains(coalesce(pairs, []), lower(kept[-1]) || ' ' || rtrim(x[1], '.,;:')) AND regexp_matches(x[1], '^\p{{Ll}}') THEN list_append(kept[:-2], kept[-1] || x[1] || chr(1)) ELSE list_concat(kept, x) END), ' '), chr(1), '') AS line_text FROM lines LEFT JOIN joined USING (doc_id))
+"""
+
+
+@query("repaired_words", f"WITH {REPAIRED_SQL} SELECT doc_id, string_agg(line_text, chr(10) ORDER BY line) AS text FROM mended GROUP BY doc_id")
 def repaired_words(spark, sf_dir):
-    """The policy texts with their split words joined; tested against a plain fold."""
-    docs = policy_texts(spark, sf_dir)
+    """The policy texts with their split words joined. Each gets a word of its own that is once whole and once split; one
+    that all policies have in two parts ("eli gible") stays, since neither part is rare."""
+    code = F.concat(F.lit("q"), F.translate(F.substr("doc_id", F.lit(7)), "0123456789_", "abcdefghijx"))
+    docs = policy_texts(spark, sf_dir).withColumn("text", F.concat("text", F.lit("\nHeld as "), code, F.lit("ware, but "), code, F.lit(" ware ware; is kept")))
     return vocabulary.repair_split_words(docs, vocabulary.vocabulary(docs))
 
 
