@@ -8,11 +8,10 @@ document knows its global place and is cut at the windows' ends; every piece is
 from __future__ import annotations
 
 import os
-import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +21,8 @@ from pyspark.sql import functions as F
 from corpusloom.llm.common import arrow_map, forget, in_worker, materialize, release, slices, spread
 
 #: Words no longer than this are remembered from task to task in each worker, in two generations of so many (some 200 bytes
-#: a word, so about 170 MB at most): when the young one is full it becomes the old one, and words still in use move back.
-REMEMBERED_BYTES, GENERATION = 64, 400_000
+#: a word, so about 40 MB at most): when the young one is full it becomes the old one, and words still in use move back.
+REMEMBERED_BYTES, GENERATION = 64, 100_000
 #: Totals of up to so many tasks are joined by broadcast (16 bytes each); more by a shuffle join.
 BROADCAST_TASKS = 100_000
 
@@ -34,8 +33,34 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: A run of ASCII signs that ends a word and stands behind an ASCII letter or digit: the tokenizer's split parts it anyway.
-_SIGNS = re.compile(rb"([a-z0-9])([!-/:-@\[-`{-~]+)(?=[ \t-\r]|\Z)")
+#: Kinds of bytes: 0 white space, 1 lower-case ASCII letters and digits, 2 ASCII signs, 3 the rest.
+_KIND = np.full(256, 3, np.uint8)
+_KIND[list(b" \t\n\x0b\x0c\r")] = 0
+_KIND[list(b"abcdefghijklmnopqrstuvwxyz0123456789")] = 1
+_KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 2
+
+
+def split_words(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray]:
+    """(the words of all texts in turn, words up to the end of each text). Words are parted by ASCII white space and in lower case,
+    and a run of ASCII signs that ends a word and stands behind an ASCII letter or digit is a word of its own: the tokenizer's
+    split parts it anyway. A text with a special token's name keeps its case and its signs."""
+    special = np.array([b"<|" in t for t in texts], bool)
+    raw = np.frombuffer(b"\n".join(t if s else t.lower() for t, s in zip(texts, special.tolist(), strict=True)) + b"\n", np.uint8)
+    closes = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1) - 1  # the line feed behind each text
+    kind = _KIND[raw]
+    solid, sign = kind != 0, kind == 2
+    turns = np.flatnonzero(solid[1:] != solid[:-1]) + 1
+    turns = np.concatenate([np.zeros(int(solid[0]), np.int64), turns])
+    starts, ends = turns[::2], turns[1::2]
+    signs = np.flatnonzero(sign[1:] & ~sign[:-1]) + 1  # where runs of signs begin, but for the first byte
+    last = np.flatnonzero(sign[ends - 1])
+    cut = np.append(signs, 0)[np.searchsorted(signs, ends[last] - 1, side="right") - 1]
+    cut = cut[(cut > starts[last]) & (kind[cut - 1] == 1) & ~special[np.searchsorted(closes, cut)]]
+    ends = np.sort(np.concatenate([ends, cut]))
+    # white space taken out, the words lie one behind the other
+    offsets = np.concatenate([[0], np.cumsum(solid)[ends - 1]]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw[solid])])
+    return words, np.searchsorted(ends, closes, side="right")
 
 
 class WordEncoder:
@@ -63,45 +88,64 @@ class WordEncoder:
 
     def learn(self, new: list[bytes], into: dict[bytes, bytes]) -> None:
         """Words of letters alone are one piece each, so many are encoded as one text and told apart by the pieces' ends."""
-        letters, rest = ([], []), ([], [])
+        letters, rest, strings = [], [], []
         for w in new:
+            if w.isalpha():  # ASCII alone
+                letters.append(w)
+                continue
             s = w.decode("utf-8", "replace")
-            one = s.isalpha() and (s.isascii() or s.lower().isalpha() and unicodedata.is_normalized("NFC", s))
-            for kept, x in zip(letters if one else rest, (w, s), strict=True):
-                kept.append(x)
-        for at in range(0, len(rest[0]), 20_000):
-            self.one_by_one(rest[0][at : at + 20_000], rest[1][at : at + 20_000], into)
+            if s.isalpha() and s.lower().isalpha() and unicodedata.is_normalized("NFC", s):
+                letters.append(w)
+            else:
+                rest.append(w)
+                strings.append(s)
+        for at in range(0, len(rest), 20_000):
+            self.one_by_one(rest[at : at + 20_000], strings[at : at + 20_000], into)
         width = int(self.kind[-1])
-        for at in range(0, len(letters[0]), 50_000):
-            words, strings = letters[0][at : at + 50_000], letters[1][at : at + 50_000]
-            joined = [" ".join(strings[k : k + 200]) for k in range(0, len(strings), 200)]
+        for at in range(0, len(letters), 50_000):
+            words = letters[at : at + 50_000]
+            joined = [b" ".join(words[k : k + 200]).decode() for k in range(0, len(words), 200)]
             ids = np.concatenate([np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
             cuts = ((np.flatnonzero(self.ends[ids]) + 1) * width).tolist()
             if len(cuts) == len(words):
                 whole = ids.tobytes()
                 into.update(zip(words, (whole[a:b] for a, b in zip([0, *cuts], cuts, strict=False)), strict=True))
             else:
-                self.one_by_one(words, strings, into)
+                self.one_by_one(words, [w.decode() for w in words], into)
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        # a special token's name must be seen whole and in its own case
-        parts = [(t if b"<|" in t else _SIGNS.sub(rb"\1 \2", t.lower())).split() for t in texts]
-        every = set(chain.from_iterable(parts))
+    def ids_of(self, every: list[bytes]) -> list[bytes]:
+        """The ids of different words; short ones are remembered."""
         if len(self.known) > GENERATION:
             self.old, self.known = self.known, {}
-        new = every.difference(self.known)
-        again = new.intersection(self.old)
-        self.known.update((w, self.old[w]) for w in again)
-        new -= again
-        short = [w for w in new if len(w) <= REMEMBERED_BYTES]
-        self.learn(short, self.known)
-        if len(short) == len(new):
-            get = self.known.__getitem__
-        else:
-            once: dict[bytes, bytes] = {}
-            self.learn([w for w in new if len(w) > REMEMBERED_BYTES], once)
-            get = lambda w: self.known[w] if w in self.known else once[w]
-        return [b"".join(map(get, p)) for p in parts]
+        known, old, new = self.known, self.old, []
+        for w in every:
+            if w not in known:
+                if w in old:
+                    known[w] = old[w]
+                else:
+                    new.append(w)
+        once: dict[bytes, bytes] = {}
+        self.learn([w for w in new if len(w) <= REMEMBERED_BYTES], known)
+        self.learn([w for w in new if len(w) > REMEMBERED_BYTES], once)
+        return [known[w] if w in known else once[w] for w in every] if once else [known[w] for w in every]
+
+    def encode(self, texts: list[bytes], end: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, ids up to the end of each text), with `end` behind each text.
+
+        Each different word of the texts is looked up once; ids are copied by word number.
+        """
+        width = int(self.kind[-1])
+        words, upto = split_words(texts)
+        coded = words.dictionary_encode()
+        found = [*self.ids_of(coded.dictionary.to_pylist()), end]
+        lengths = np.fromiter(map(len, found), np.int64, len(found)) // width
+        number = np.insert(coded.indices.to_numpy(zero_copy_only=False), upto, len(found) - 1)
+        upto = upto + np.arange(1, len(texts) + 1)
+        starts, whole = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(found), self.kind)
+        n = lengths[number]
+        sums = np.cumsum(n)
+        out = whole[np.repeat((starts[number] - (sums - n)).astype(np.int32), n) + np.arange(sums[-1] if len(sums) else 0, dtype=np.int32)]
+        return out, np.concatenate([[0], sums])[upto]
 
 
 def encode_documents(df: DataFrame, path: str, end_id: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -113,13 +157,14 @@ def encode_documents(df: DataFrame, path: str, end_id: int = 2, id_col: str = "d
 
         task, before, encoder = TaskContext.get().partitionId(), 0, in_worker(f"words {path}", lambda: WordEncoder(path))
         end, width = np.array([end_id], encoder.kind).tobytes(), int(encoder.kind[-1])
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", 1 << 20):
             texts = batch.column(1).cast(pa.binary()).fill_null(b"").to_pylist()
-            ids = [x + end for x in encoder.encode(texts)]
-            counts = [len(x) // width for x in ids]
-            starts = list(accumulate(counts, initial=before))
-            before = starts.pop()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([task] * len(ids), pa.int32()), pa.array(starts, pa.int64()), pa.array(counts, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "task", "before", "n_tokens", "ids"])
+            ids, upto = encoder.encode(texts, end)
+            upto = np.concatenate([[0], upto])
+            packed = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer((upto * width).astype(np.int32)), pa.py_buffer(ids)])
+            columns = [batch.column(0), pa.array(np.full(len(texts), task, np.int32)), pa.array(before + upto[:-1]), pa.array(np.diff(upto)), packed]
+            before += int(upto[-1])
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "task", "before", "n_tokens", "ids"])
 
     return materialize(arrow_map(df.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")), run, schema), "tokens")
 

@@ -594,3 +594,22 @@ def test_an_item_with_words_put_in_its_middle_is_found(spark, between, found):
     docs = spark.createDataFrame([(1, text), (2, " ".join(other)), (3, " ".join(other[:30] + item[:20]))], "doc_id long, text string")
     got = decontamination.contaminated(docs, spark.createDataFrame([(7, " ".join(item))], "item_id long, text string")).collect()
     assert [(r["doc_id"], r["item_id"], r["exact"]) for r in got] == ([(1, 7, True)] if found else [])
+
+
+def test_packing_cuts_words_as_a_plain_version_does_and_remembers_a_bounded_number():
+    import re
+
+    from corpusloom.llm import packing
+
+    signs = re.compile(rb"([a-z0-9])([!-/:-@\[-`{-~]+)(?=[ \t-\r]|\Z)")
+    rng = random.Random(5)
+    for _ in range(500):
+        texts = ["".join(rng.choice(["a", "B", "9", ".", "!", "<|", " ", "\n", "\x0b", "é", "\x00"]) for _ in range(rng.randrange(9))).encode() for _ in range(rng.randrange(1, 5))]
+        words, upto = packing.split_words(texts)
+        plain = [(t if b"<|" in t else signs.sub(rb"\1 \2", t.lower())).split() for t in texts]
+        assert words.to_pylist() == [w for p in plain for w in p]
+        assert upto.tolist() == [sum(map(len, plain[: k + 1])) for k in range(len(plain))]
+    encoder = packing.WordEncoder(packing.tokenizer_path())
+    for k in range(30):
+        encoder.encode([" ".join(f"w{k * 10_000 + i}" for i in range(10_000)).encode()])
+    assert len(encoder.known) + len(encoder.old) < 250_000
